@@ -148,7 +148,10 @@ def nearest_names(unknown: DataFrame, known: DataFrame) -> DataFrame:
     probes = probes.withColumn("at", F.expr("cast(i * len div (d + 1) as int)")).withColumn(
         "size", F.expr("cast((i + 1) * len div (d + 1) - i * len div (d + 1) as int)")
     )
-    probes = probes.withColumn("s", F.explode(F.expr("sequence(greatest(0, at - d), greatest(0, least(at + d, length(ul) - size)))")))
+    # piece i can only sit where the edits before it (at most i) and after it (at most d - i) allow
+    lo = F.expr("greatest(0, at - i, at + length(ul) - len - (d - i))")
+    hi = F.expr("least(at + i, at + length(ul) - len + (d - i), length(ul) - size)")
+    probes = probes.withColumn("lo", lo).withColumn("hi", hi).where("hi >= lo").withColumn("s", F.explode(F.sequence("lo", "hi")))
     probes = probes.select("unknown", "ul", "d", "len", "i", F.expr("substring(ul, s + 1, size)").alias("piece")).distinct()
     pairs = probes.join(pieces, ["d", "len", "i", "piece"]).select("unknown", "ul", "d", "known", "kl", "position").distinct()
     near = pairs.withColumn("distance", F.levenshtein("ul", "kl")).where("distance <= d")

@@ -48,29 +48,37 @@ def chunked_lag(
     order_col: str,
     columns: Mapping[str, str],
     rows_per_chunk: int = 1_000_000,
+    index: str | None = None,
 ) -> DataFrame:
     """``lag(col) OVER (PARTITION BY keys ORDER BY order_col)`` for each ``col -> alias``.
 
+    ``index`` also names a 1-based row number within the group.
+
     ``order_col`` is a global append sequence, so a chunk holds at most
     ``rows_per_chunk`` rows of all groups together.  Rows inside a chunk look one
     row back; the first row of a chunk takes the last row of the group's previous
     chunk from a table with one row per (group, chunk).
     """
     chunked = with_chunk(df, order_col, rows_per_chunk)
-    last = F.max_by(F.struct(*[F.col(c) for c in columns]), F.col(order_col)).alias("_last")
-    tails = chunked.groupBy(*keys, "_chunk").agg(last)
+    last = F.max_by(F.struct(*[F.col(c) for c in columns]), F.col(order_col)).alias("_cl_last")
+    tails = chunked.groupBy(*keys, "_chunk").agg(last, F.count("*").alias("_cl_rows"))
     across = W.partitionBy(*keys).orderBy("_chunk")
-    heads = tails.select(*keys, "_chunk", F.lag("_last").over(across).alias("_carry"))
+    earlier = F.sum("_cl_rows").over(across.rowsBetween(W.unboundedPreceding, -1))
+    heads = tails.select(
+        *keys, "_chunk", F.lag("_cl_last").over(across).alias("_cl_carry"), F.coalesce(earlier, F.lit(0)).alias("_cl_before")
+    )
     inside = W.partitionBy(*keys, "_chunk").orderBy(order_col)
-    rows = chunked.withColumn("_first", F.row_number().over(inside) == 1)
+    rows = chunked.withColumn("_cl_at", F.row_number().over(inside)).withColumn("_cl_first", F.col("_cl_at") == 1)
     for col, alias in columns.items():
-        rows = rows.withColumn(f"_in_{alias}", F.lag(col).over(inside))
+        rows = rows.withColumn(f"_cl_in_{alias}", F.lag(col).over(inside))
     out = rows.join(heads, [*keys, "_chunk"])
     for col, alias in columns.items():
         out = out.withColumn(
-            alias, F.when(F.col("_first"), F.col(f"_carry.{col}")).otherwise(F.col(f"_in_{alias}"))
-        ).drop(f"_in_{alias}")
-    return out.drop("_chunk", "_first", "_carry")
+            alias, F.when(F.col("_cl_first"), F.col(f"_cl_carry.{col}")).otherwise(F.col(f"_cl_in_{alias}"))
+        ).drop(f"_cl_in_{alias}")
+    if index:
+        out = out.withColumn(index, F.col("_cl_before") + F.col("_cl_at"))
+    return out.drop("_chunk", "_cl_first", "_cl_carry", "_cl_at", "_cl_before")
 
 
 def chunked_running_sum(
@@ -91,7 +99,7 @@ def _bin(value: Column) -> Column:
     v = F.greatest(value, F.lit(0)).cast("bigint")
     bits = F.length(F.bin(v))
     shift = F.greatest(bits - 8, F.lit(0))
-    return shift * 256 + F.expr("cast(0 as bigint)") + F.floor(v / F.pow(F.lit(2.0), shift))
+    return shift * 256 + F.floor(v / F.pow(F.lit(2.0), shift))
 
 
 def ranked_values(

@@ -467,6 +467,14 @@ class History:
         )
 
 
+class ByTrigger(History):
+    """The same history with the kind of trigger as the workflow: three large workflows per tenant."""
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return super().runs.withColumn("workflow_name", F.col("trigger_type"))
+
+
 def _error(k: str) -> str:
     code = f"element_at(array('HTTP_503','TIMEOUT','CARD_DECLINED','BAD_SCHEMA',NULL), cast({k} % 5 as int) + 1)"
     cls = f"element_at(array('transient','transient','business','contract',NULL), cast({k} % 5 as int) + 1)"
@@ -634,6 +642,9 @@ FROM (SELECT tenant_id || '/' || workflow_name || '/' || step_id AS id, tenant_i
 }
 
 
+BY_TRIGGER_SQL = {"runs": VIEW_SQL["runs"].replace("SELECT *,", "SELECT * REPLACE (trigger_type AS workflow_name),", 1)}
+
+
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the views it names, directly or through other views."""
     defs = {**VIEW_SQL, **(extra or {})}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions.canonical import canonical_json
+from tidemark.functions.values import try_json
 from tidemark.operators import joins as jn
 from tidemark.operators.skew import chunked_lag
 
@@ -183,7 +184,7 @@ def validate_json(df: DataFrame, column: str, fields: Mapping[str, Field], max_s
     Closed schema, no coercion; a text member without a limit gets ``max_string``.
     """
     bounded = {k: Field(**{**f.__dict__, "max_length": max_string}) if f.type == "string" and f.max_length is None else f for k, f in fields.items()}
-    doc = F.try_parse_json(column)
+    doc = try_json(C(column))
     is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     checks = [_issue(~is_object, ["$"], "type", "not a JSON object")]
     for name, spec in bounded.items():

@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 MIN_STEPS = 3
 MAX_DROP = 3  # tokens dropped when sub-bags are listed
 
@@ -112,8 +114,8 @@ def near_duplicates(plan_steps: DataFrame, t: float = 0.8) -> DataFrame:
 
     ``copies`` counts the workflows that share the shape of either side.
     """
-    bags = step_bags(plan_steps)
-    shapes = shapes_of(bags)
+    bags = cut_lineage(step_bags(plan_steps), "bags")  # read six times below
+    shapes = cut_lineage(shapes_of(bags), "shapes")
     cross = similar_shapes(shapes, t).select(
         "tenant_id", F.least("ax", "ay").alias("a"), F.greatest("ax", "ay").alias("b"), "similarity", "shared", "union",
         (F.col("mx") + F.col("my")).alias("copies"),

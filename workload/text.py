@@ -68,10 +68,10 @@ def detect_sql(name: str, key: str, text: str, keys: str) -> str:
     parts.append(f"SELECT {keys}, 'encoded-blob', 'medium', regexp_extract(t, '{pt.LONG_BASE64}', 0), t FROM {src} WHERE regexp_matches(t, '{pt.LONG_BASE64}')")
     space = f"[\\s\\x0b{pt.char_class(pt.SPACE, braced=True)}]+"
     # the first occurrence of the matched text is where the match is
-    return f"""SELECT {keys}, pattern, severity, at - 1 AS index, CASE pattern WHEN 'hidden-unicode' THEN 'U+' || upper(lpad(printf('%x', unicode(hit)), 4, '0'))
+    return f"""SELECT {keys}, pattern, severity, pos - 1 AS index, CASE pattern WHEN 'hidden-unicode' THEN 'U+' || upper(lpad(printf('%x', unicode(hit)), 4, '0'))
  WHEN 'encoded-blob' THEN left(hit, 24) || '… (' || length(hit) || ' chars)'
- ELSE regexp_replace(substr(t, greatest(0, at - 11) + 1, (at - 1) + least(length(hit), 120) + 10 - greatest(0, at - 11)), {q(space)}, ' ', 'g') END AS excerpt
-FROM (SELECT *, strpos(t, hit) AS at FROM ({' UNION ALL '.join(parts)}))"""
+ ELSE regexp_replace(substr(t, greatest(0, pos - 11) + 1, (pos - 1) + least(length(hit), 120) + 10 - greatest(0, pos - 11)), {q(space)}, ' ', 'g') END AS excerpt
+FROM (SELECT *, strpos(t, hit) AS pos FROM ({' UNION ALL '.join(parts)}))"""
 
 
 def _detect(name, key, text):

@@ -120,28 +120,27 @@ def map_items(df: DataFrame, items: str, keys: Sequence[str], fn: Callable[[pd.D
     """Run a user's function over every item of an array column; failures become rows, not job failures.
 
     ``fn`` gets a frame with ``keys, index, item`` and returns one value per row.
-    When a batch fails it is retried row by row, so only the bad items fail.
+    When a batch fails it is retried in halves, so only the bad items fail.
     """
     flat = df.select(*keys, F.posexplode(items).alias("index", "item"))
     schema = T.StructType([*[flat.schema[k] for k in keys], T.StructField("index", T.IntegerType()), T.StructField("ok", T.BooleanType()),
                            *T.StructType.fromDDL(f"value {result}, message string").fields])
 
+    def attempt(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            values, message = fn(pdf).to_numpy(), None
+        except Exception as e:
+            if len(pdf) > 1:
+                half = len(pdf) // 2
+                yield from attempt(pdf.iloc[:half])
+                yield from attempt(pdf.iloc[half:])
+                return
+            values, message = None, str(e) or type(e).__name__
+        yield pdf.drop(columns="item").assign(ok=message is None, value=values, message=message)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf.drop(columns="item")
-            try:
-                yield out.assign(ok=True, value=fn(pdf).to_numpy(), message=None)
-                continue
-            except Exception:
-                pass
-            values, messages = [], []
-            for i in range(len(pdf)):
-                try:
-                    values.append(fn(pdf.iloc[i : i + 1]).iloc[0])
-                    messages.append(None)
-                except Exception as e:
-                    values.append(None)
-                    messages.append(str(e) or type(e).__name__)
-            yield out.assign(ok=[m is None for m in messages], value=values, message=messages)
+            if len(pdf):
+                yield from attempt(pdf)
 
     return flat.mapInPandas(run, schema)

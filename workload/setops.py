@@ -39,11 +39,11 @@ def o04(h):
 
 @query(
     "o05_insert_if_absent",
-    """SELECT tenant_id, user_id, seq FROM (SELECT tenant_id, user_id, seq, row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY seq) AS rn FROM hist_events WHERE value > 20 AND (tenant_id, user_id) NOT IN (SELECT (tenant_id, user_id) FROM hist_events WHERE value > 95)) WHERE rn = 1""",
+    """SELECT tenant_id, user_id, seq FROM (SELECT tenant_id, user_id, seq, row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY seq) AS rn FROM hist_events WHERE value > 20 AND (tenant_id, user_id) NOT IN (SELECT (tenant_id, user_id) FROM hist_events WHERE value < 0.3)) WHERE rn = 1""",
 )
 def o05(h):
     cols = ["tenant_id", "user_id", "seq"]
-    return so.insert_if_absent(h.events.where("value > 20").select(*cols), h.events.where("value > 95").select(*cols), ["tenant_id", "user_id"], "seq")
+    return so.insert_if_absent(h.events.where("value > 20").select(*cols), h.events.where("value < 0.3").select(*cols), ["tenant_id", "user_id"], "seq")
 
 
 @query("o06_upsert_last", "SELECT tenant_id, user_id, arg_max(event_type, seq) AS event_type, max(seq) AS seq FROM hist_events GROUP BY 1, 2")

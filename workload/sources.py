@@ -142,12 +142,12 @@ def s14(h):
     return pick("approval", a).unionByName(pick("proposal", p)).unionByName(pick("delivery", d))
 
 
-@query("u03_map_items", "SELECT CAST(o_orderkey AS VARCHAR) AS id, idx AS index, CASE WHEN item > 0 THEN item * 2 END AS value, item > 0 AS ok FROM (SELECT o_orderkey, unnest([o_totalprice, -1.0, o_custkey + 1.0]) AS item, unnest([0, 1, 2]) AS idx FROM orders)")
+@query("u03_map_items", "SELECT CAST(o_orderkey AS VARCHAR) AS id, idx AS index, CASE WHEN item > 0 THEN item * 2 END AS value, item > 0 AS ok FROM (SELECT o_orderkey, unnest([o_totalprice, CASE WHEN o_custkey % 100 = 0 THEN -1.0 ELSE 1.0 END, o_custkey + 1.0]) AS item, unnest([0, 1, 2]) AS idx FROM orders)")
 def u03(h):
     def double(pdf: pd.DataFrame) -> pd.Series:
         if (pdf["item"] <= 0).any():
             raise ValueError("not positive")
         return pdf["item"] * 2
 
-    o = h.raw("orders").select(C("o_orderkey").cast("string").alias("id"), F.array(C("o_totalprice"), F.lit(-1.0), C("o_custkey") + 1.0).alias("items"))
+    o = h.raw("orders").select(C("o_orderkey").cast("string").alias("id"), F.array(C("o_totalprice"), F.when(C("o_custkey") % 100 == 0, -1.0).otherwise(1.0), C("o_custkey") + 1.0).alias("items"))
     return ex.map_items(o, "items", ["id"], double, "double").select("id", "index", "value", "ok")

@@ -23,6 +23,19 @@ SECRETS = [
     (r"\bomf_[A-Za-z0-9]{6,}_[A-Za-z0-9_-]{20,}\b", False),
 ]
 
+# Literal parts a text must contain before a credential pattern can match: every group needs one hit.
+SECRET_HINTS = [
+    [["PRIVATE KEY-----"]],
+    [["Bearer", "Basic"]],
+    [["AKIA"]],
+    [["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]],
+    [["xox"]],
+    [["sk-"]],
+    [["eyJ"]],
+    [["://"], ["@"]],
+    [["omf_"]],
+]
+
 # Characters removed from text, as code point ranges
 CONTROL = ((0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x7F))
 BIDI = ((0x200B, 0x200F), (0x202A, 0x202E), (0x2066, 0x2069), (0xFEFF, 0xFEFF))
@@ -83,6 +96,18 @@ INJECTION = [
         r"\bwhen\b[^.\n]{0,30}\b(nobody|no one|no human|reviewer|approver|admin)\b[^.\n]{0,20}\b(is|are)\b[^.\n]{0,15}\b(looking|watching|around|available|present)\b",
     ),
 ]
+# The same for the patterns above, in lower case.
+INJECTION_HINTS = [
+    [["ignore", "disregard", "forget", "override", "bypass"], ["instruction", "prompt", "rule", "guideline", "message", "constraint", "guardrail", "polic"]],
+    [["you are now", "from now on", "act as", "pretend", "jailbreak", "developer mode", "dan mode"]],
+    [["reveal", "print", "show", "output", "repeat", "leak", "display", "disclose"], ["prompt", "instruction", "message"], ["system", "hidden", "initial", "original", "secret"]],
+    [[">", "inst]", "system", "assistant"]],
+    [["instruction", "task", "directive", "order"], ["new", "updated", "revised", "additional", "real"], [":"]],
+    [["do not", "don't", "never"], ["tell", "inform", "notify", "mention", "alert", "show", "reveal"]],
+    [["secret", "credential", "token", "password", "key", "environment variable"], ["send", "post", "upload", "forward", "email", "exfiltrate", "transmit", "leak"]],
+    [["approve", "skip", "bypass", "disable", "remove"], ["approval", "review", "validation", "guard", "policy", "pentest", "audit"]],
+    [["when"], ["looking", "watching", "around", "available", "present"], ["nobody", "no one", "no human", "reviewer", "approver", "admin"]],
+]
 LONG_BASE64 = r"[A-Za-z0-9+/]{240,}={0,2}"
 
 # Shell and network checks of definitions
@@ -99,12 +124,13 @@ IP_LITERAL = r"^(\d{1,3}\.){3}\d{1,3}$|^\[?[0-9a-f:]+:[0-9a-f:]+\]?$"
 _WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def _adapt(pattern: str, edge: str, space: str, ascii_space: str) -> str:
+def _adapt(pattern: str, opening: str, edge: str, space: str, ascii_space: str) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not in_class:
-            out.append(edge)
+            # every pattern that opens with an edge goes on with a word character
+            out.append(opening if i == 0 else edge)
         elif two == r"\s":
             out.append(ascii_space + space if in_class else f"[{ascii_space}{space}]")
         elif two == r"\S":
@@ -129,14 +155,14 @@ def _adapt(pattern: str, edge: str, space: str, ascii_space: str) -> str:
 def for_java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     """For Spark's regex functions: ASCII word edges, ECMAScript white space, ``\\n`` as the only line end."""
     flags = ("i" if ignore_case else "") + ("m" if multiline else "")
-    return (f"(?{flags})" if flags else "") + _adapt(pattern, _WORD_EDGE, char_class(SPACE), r"\s")
+    return (f"(?{flags})" if flags else "") + _adapt(pattern, r"(?<![A-Za-z0-9_])", _WORD_EDGE, char_class(SPACE), r"\s")
 
 
 def for_python(pattern: str) -> str:
-    return _adapt(pattern, r"\b", char_class(SPACE), r"\s")
+    return _adapt(pattern, r"\b", r"\b", char_class(SPACE), r"\s")
 
 
 def for_re2(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     """For engines built on RE2, whose word edges are ASCII already."""
     flags = ("i" if ignore_case else "") + ("m" if multiline else "")
-    return (f"(?{flags})" if flags else "") + _adapt(pattern, r"\b", char_class(SPACE, braced=True), r"\s\x0b")
+    return (f"(?{flags})" if flags else "") + _adapt(pattern, r"\b", r"\b", char_class(SPACE, braced=True), r"\s\x0b")

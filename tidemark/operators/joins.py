@@ -118,7 +118,7 @@ def resume_waits(waits: DataFrame, events: DataFrame) -> DataFrame:
 
 def events_to_hooks(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """One row per (hook, event): the hook's list becomes part of the join key."""
-    h = hooks.select("hook_id", "tenant_id", F.explode(F.array_distinct("events")).alias("type"))
+    h = hooks.select("hook_id", "tenant_id", F.explode(F.array_distinct("events")).alias("type")).distinct()
     return events.join(h, ["tenant_id", "type"])
 
 

@@ -1,13 +1,15 @@
 """Static analysis of workflow definitions over plan_steps and plan_edges.
 
-Graph questions are answered for all plans at once.  Depth and reachability grow
-by one dependency level per round, and every round is an equality join on
-(plan, step), so the number of rounds is the longest chain of any plan, not the
-number of plans.
+Graph questions are answered for all plans at once.  A plan is one document, so
+its edges normally fit in a row: they are gathered by one shuffle and walked
+where they lie.  Plans with more than ``ROW_EDGES`` edges are never gathered;
+they are walked by equality joins on (plan, step), one round per dependency
+level, with every round's result written to the shared folder.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,17 +89,90 @@ def limit_checks(plan_steps: DataFrame, ceilings: DataFrame | None = None) -> Da
     return out.unionByName(hit.select(*PLAN, "code", F.when(low, C("estimated_cost")).otherwise(C("max_cost")).alias("value")))
 
 
-def cyclic_plans(plan_edges: DataFrame) -> DataFrame:
-    """Plans whose dependencies contain a cycle.
+ROW_EDGES = 10_000
+
+
+def _split(plan_edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(one row per ordinary plan with its edges, edges of oversized plans or None)."""
+    edges = plan_edges.select(*PLAN, "step_id", "depends_on")
+    sizes = edges.groupBy(*PLAN).agg(F.count("*").alias("n"))
+    huge = sizes.where(C("n") > ROW_EDGES).select(*PLAN)
+    if huge.isEmpty():
+        ordinary, rest = edges, None
+    else:
+        ordinary, rest = edges.join(huge, PLAN, "left_anti"), edges.join(huge, PLAN, "left_semi").distinct()
+    rows = ordinary.groupBy(*PLAN).agg(F.collect_set(F.struct("step_id", "depends_on")).alias("edges"))
+    return rows.select(*PLAN, F.transform("edges", lambda e: e["step_id"]).alias("steps"), F.transform("edges", lambda e: e["depends_on"]).alias("deps")), rest
+
+
+def _levels(steps, deps) -> tuple[dict[str, int], list[str]]:
+    """Depth of every step, dependencies first, and the steps on or behind a cycle."""
+    needs: dict[str, int] = {}
+    followers: dict[str, list[str]] = {}
+    for s, d in zip(steps, deps):
+        needs[s] = needs.get(s, 0) + 1
+        needs.setdefault(d, 0)
+        followers.setdefault(d, []).append(s)
+    depth = {s: 1 for s, n in needs.items() if n == 0}
+    queue = list(depth)
+    for s in queue:
+        for f in followers.get(s, ()):
+            needs[f] -= 1
+            depth[f] = max(depth.get(f, 1), depth[s] + 1)
+            if needs[f] == 0:
+                queue.append(f)
+    done = set(queue)
+    return {s: depth[s] for s in queue}, [s for s in needs if s not in done]
+
+
+def _row_depths(steps: Column, deps: Column) -> Column:
+    @F.pandas_udf("depth int, stuck int")
+    def run(s: pd.Series, d: pd.Series) -> pd.DataFrame:
+        out = [_levels(a, b) for a, b in zip(s, d)]
+        return pd.DataFrame({"depth": [max(x[0].values(), default=0) for x in out], "stuck": [len(x[1]) for x in out]})
+
+    return run(steps, deps)
+
+
+def _row_closure(steps: Column, deps: Column) -> Column:
+    """All (step, upstream) pairs of one plan, as two parallel arrays."""
+    @F.pandas_udf("step array<string>, up array<string>")
+    def run(s: pd.Series, d: pd.Series) -> pd.DataFrame:
+        left, right = [], []
+        for a, b in zip(s, d):
+            direct: dict[str, set[str]] = {}
+            for x, y in zip(a, b):
+                direct.setdefault(x, set()).add(y)
+            xs: list[str] = []
+            ys: list[str] = []
+            for x in direct:
+                seen, todo = set(), list(direct[x])
+                while todo:
+                    y = todo.pop()
+                    if y not in seen:
+                        seen.add(y)
+                        todo.extend(direct.get(y, ()))
+                xs += [x] * len(seen)
+                ys += seen
+            left.append(xs)
+            right.append(ys)
+        return pd.DataFrame({"step": left, "up": right})
+
+    return run(steps, deps)
 
-    Each round removes the steps that depend on nothing left (peeling); what
-    cannot be peeled away lies on or behind a cycle.
-    """
-    return _peel(plan_edges)[1].select(*PLAN).distinct()
+
+def cyclic_plans(plan_edges: DataFrame) -> DataFrame:
+    """Plans whose dependencies contain a cycle: some steps can never be reached."""
+    rows, rest = _split(plan_edges)
+    out = rows.select(*PLAN, _row_depths(C("steps"), C("deps")).alias("g")).where("g.stuck > 0").select(*PLAN)
+    return out if rest is None else out.unionByName(_peel(rest)[1].select(*PLAN).distinct())
 
 
 def _peel(plan_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(steps with their depth, edges that can never be released)."""
+    """For oversized plans: (steps with their depth, edges that can never be released).
+
+    Each round removes the steps that depend on nothing left.
+    """
     edges = plan_edges.select(*PLAN, "step_id", "depends_on").distinct()
     waiting = cut_lineage(edges, "edges")
     steps = waiting.select(*PLAN, "step_id").unionByName(waiting.select(*PLAN, C("depends_on").alias("step_id"))).distinct()
@@ -120,14 +195,27 @@ def _peel(plan_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def longest_chains(plan_steps: DataFrame, plan_edges: DataFrame) -> DataFrame:
     """Steps on the longest dependency chain of each acyclic plan."""
-    depths, stuck = _peel(plan_edges)
-    plans = plan_steps.select(*PLAN).distinct().join(stuck.select(*PLAN).distinct(), PLAN, "left_anti")
-    deepest = depths.groupBy(*PLAN).agg(F.max("depth").alias("depth"))
-    return plans.join(deepest, PLAN, "left").select(*PLAN, F.coalesce("depth", F.lit(1)).alias("depth"))
+    rows, rest = _split(plan_edges)
+    known = rows.select(*PLAN, _row_depths(C("steps"), C("deps")).alias("g")).select(*PLAN, "g.depth", (C("g.stuck") > 0).alias("cyclic"))
+    if rest is not None:
+        depths, stuck = _peel(rest)
+        huge = depths.groupBy(*PLAN).agg(F.max("depth").alias("depth"))
+        bad = stuck.select(*PLAN).distinct().withColumn("cyclic", F.lit(True))
+        known = known.unionByName(huge.join(bad, PLAN, "full_outer").select(*PLAN, "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
+    plans = plan_steps.select(*PLAN).distinct().join(known, PLAN, "left")
+    return plans.where(~F.coalesce("cyclic", F.lit(False))).select(*PLAN, F.coalesce("depth", F.lit(1)).alias("depth"))
 
 
 def transitive_dependencies(plan_edges: DataFrame) -> DataFrame:
-    """Every (step, upstream step) pair, reached directly or through others; path doubling, so few rounds."""
+    """Every (step, upstream step) pair, reached directly or through others."""
+    rows, rest = _split(plan_edges)
+    pairs = rows.select(*PLAN, _row_closure(C("steps"), C("deps")).alias("g")).select(*PLAN, F.explode(F.arrays_zip("g.step", "g.up")).alias("p"))
+    out = pairs.select(*PLAN, C("p.step").alias("step_id"), C("p.up").alias("depends_on"))
+    return out if rest is None else out.unionByName(_doubled(rest))
+
+
+def _doubled(plan_edges: DataFrame) -> DataFrame:
+    """Reachability of oversized plans by path doubling: each round doubles the distance covered."""
     reach = cut_lineage(plan_edges.select(*PLAN, "step_id", "depends_on").distinct(), "reach")
     n = reach.count()
     while True:
@@ -267,6 +355,7 @@ def plan_risks(plan_steps: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def all_risks(plan_steps: DataFrame, references: DataFrame, plans: DataFrame) -> DataFrame:
+    plan_steps = cut_lineage(plan_steps, "plan-steps")  # read by every rule
     crit = plans.select(*PLAN, "criticality")
     out = secret_literals(plan_steps)
     for part in (instruction_text(plan_steps), shell_risks(plan_steps), network_risks(plan_steps), effect_risks(plan_steps, crit),

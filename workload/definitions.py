@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.plans import definitions as df_
+from tidemark.session import cut_lineage
 from workload.registry import query
 
 WORK = "type IN ('capability','map')"
@@ -214,7 +215,7 @@ s AS (SELECT tenant_id, plan_hash, count(*) AS findings, least(100, sum(CASE sev
 SELECT tenant_id, plan_hash, findings, CAST(score AS BIGINT) AS score, CASE WHEN score >= 60 THEN 'critical' WHEN score >= 35 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'low' END AS level, blocking FROM s""",
 )
 def d06(h):
-    p = h.order_plans
+    p = cut_lineage(h.order_plans, "plans")  # read by five rules
     r = df_.secret_literals(p)
     for part in (df_.shell_risks(p), df_.network_risks(p), df_.approval_risks(p), df_.scope_risks(p)):
         r = r.unionByName(part)

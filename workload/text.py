@@ -53,7 +53,7 @@ def _scrub(name, key, text):
 
     @query(f"q07_scrub_{name}", sql)
     def run(h):
-        t = h.raw(name).withColumn("t", F.expr(planted(text, key)))
+        t = tx.spread(h.raw(name)).withColumn("t", F.expr(planted(text, key)))
         return t.select(*keys.split(", "), F.sha2(tx.scrub(F.col("t")), 256).alias("clean"))
 
 
@@ -79,7 +79,7 @@ def _detect(name, key, text):
 
     @query(f"q08_detect_injection_{name}", detect_sql(name, key, text, keys))
     def run(h):
-        t = h.raw(name).withColumn("t", F.expr(planted(text, key)))
+        t = tx.spread(h.raw(name)).withColumn("t", F.expr(planted(text, key)))
         return tx.detect_injection(t, "t", *keys.split(", "))
 
 

@@ -184,7 +184,7 @@ def test_map_items_isolates_failures(spark):
             raise ZeroDivisionError("zero")
         return 1 / pdf["item"]
 
-    got = sorted((r.index, r.ok, r.value, r.message) for r in ex.map_items(df, "xs", ["id"], inverse, "double").collect())
+    got = sorted((r["index"], r.ok, r.value, r.message) for r in ex.map_items(df, "xs", ["id"], inverse, "double").collect())
     assert got == [(0, True, 1.0, None), (1, True, 0.5, None), (2, False, None, "zero"), (3, True, 0.25, None)]
 
 

@@ -106,3 +106,14 @@ def test_waits_take_the_first_matching_event(spark):
     waits = spark.createDataFrame([("t", "r1", "s", "paid", "A"), ("t", "r2", "s", "paid", None), ("t", "r3", "s", "paid", "Z"), ("u", "r4", "s", "paid", None)], "tenant_id string, run_id string, step_id string, wait_event string, wait_correlation string")
     events = spark.createDataFrame([("t", "paid", "B", 1), ("t", "paid", "A", 2), ("t", "paid", "A", 3), ("t", "other", None, 4)], "tenant_id string, type string, correlation string, seq int")
     assert {r.run_id: r.seq for r in jn.resume_waits(waits, events).collect()} == {"r1": 2, "r2": 1}
+
+
+def test_first_event_at_or_after(spark):
+    rnd = random.Random(9)
+    asks = [(i, rnd.choice("ab"), rnd.randrange(5000)) for i in range(300)]
+    events = [(i, rnd.choice("abc"), rnd.randrange(5000)) for i in range(80)]
+    a = spark.createDataFrame(asks, "ask int, k string, t bigint")
+    e = spark.createDataFrame(events, "seq int, k string, at bigint")
+    got = {r.ask: (r.at, r.seq) for r in skew.first_at_or_after(a, e, ["k"], "t", "at", ["seq"], bucket_ms=400).collect()}
+    for ask, k, t in asks:
+        assert got[ask] == min(((at, s) for s, ek, at in events if ek == k and at >= t), default=(None, None))

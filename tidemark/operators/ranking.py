@@ -51,8 +51,7 @@ def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
 
 def top_errors_per_step(errors: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` most frequent errors of each step; ties by code, then class."""
-    w = W.partitionBy(*WF, "step_id").orderBy(F.desc("n"), "code", "error_class")
-    return errors.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return top_n_per_group(errors, [*WF, "step_id"], [F.desc("n"), F.asc("code"), F.asc("error_class")], n)
 
 
 def top_error_text(errors: DataFrame, n: int = 3) -> DataFrame:

@@ -135,3 +135,27 @@ def ranked_values(
     )
     aggs = [F.max(F.when(F.col("_name") == k, F.col(value))).alias(k) for k in ranks]
     return hits.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+
+
+def first_at_or_after(
+    askers: DataFrame, events: DataFrame, keys: Sequence[str], ask_ms: str, event_ms: str, payload: Sequence[str], bucket_ms: int = 3_600_000
+) -> DataFrame:
+    """Each asker with the first event of its key at or after its time, or nulls.
+
+    Time is cut into buckets.  Inside a bucket a running window looks ahead; an
+    asker with no later event in its bucket takes the head of the next bucket that
+    has one.  Nothing pairs askers with events, so a hot key stays linear.
+    """
+    hit = F.struct(F.col(event_ms).alias("ms"), *[F.col(c) for c in payload])
+    e = events.select(*keys, F.col(event_ms).alias("_ms"), F.lit(1).alias("_kind"), hit.alias("_hit"), F.lit(None).cast(askers.schema).alias("_row"))
+    null_hit = F.lit(None).cast(e.schema["_hit"].dataType)
+    a = askers.select(*keys, F.col(ask_ms).alias("_ms"), F.lit(0).alias("_kind"), null_hit.alias("_hit"), F.struct(*askers.columns).alias("_row"))
+    u = a.unionByName(e).withColumn("_bucket", F.floor(F.col("_ms") / bucket_ms))
+    # latest first, events before askers of the same moment: the last event so far is the next one in time
+    back = W.partitionBy(*keys, "_bucket").orderBy(F.desc("_ms"), F.desc("_kind"), F.desc("_hit")).rowsBetween(W.unboundedPreceding, 0)
+    u = u.withColumn("_near", F.last("_hit", ignorenulls=True).over(back))
+    heads = u.groupBy(*keys, "_bucket").agg(F.min("_hit").alias("_head"))
+    later = W.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.select(*keys, "_bucket", F.last("_head", ignorenulls=True).over(later).alias("_next"))
+    j = u.where("_kind = 0").join(heads, [*keys, "_bucket"]).withColumn("_hit", F.coalesce("_near", "_next"))
+    return j.select("_row.*", F.col("_hit.ms").alias(event_ms), *[F.col(f"_hit.{c}").alias(c) for c in payload])

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,15 +91,16 @@ def _number(v: Column) -> Column:
 
 
 def metric_lines(values: DataFrame, kind: str = "gauge", help_text: str = "") -> DataFrame:
-    """Text exposition of counters or gauges: ``metric, labels (text), value`` rows to ordered lines."""
-    w = W.partitionBy("metric").orderBy("labels")
-    ranked = values.withColumn("n", F.row_number().over(w))
+    """Text exposition of counters or gauges: ``metric, labels (text), value`` rows to lines.
+
+    Sorted by (metric, part, labels) the lines are the exposition.
+    """
     shown = F.when(C("labels") == "", "").otherwise(F.concat(F.lit("{"), C("labels"), F.lit("}")))
-    row = F.struct((C("n") + 1).alias("no"), F.concat(C("metric"), shown, F.lit(" "), _number(C("value"))).alias("line"))
-    help_ = F.struct(F.lit(0).alias("no"), F.concat(F.lit("# HELP "), C("metric"), F.lit(" " + help_text)).alias("line"))
-    type_ = F.struct(F.lit(1).alias("no"), F.concat(F.lit("# TYPE "), C("metric"), F.lit(" " + kind)).alias("line"))
-    lines = F.when(C("n") == 1, F.array(help_, type_, row)).otherwise(F.array(row))
-    return ranked.select("metric", F.inline(lines))
+    rows = values.select("metric", F.lit(2).alias("part"), "labels", F.concat(C("metric"), shown, F.lit(" "), _number(C("value"))).alias("line"))
+    names = values.select("metric").distinct()
+    help_ = names.select("metric", F.lit(0).alias("part"), F.lit("").alias("labels"), F.concat(F.lit("# HELP "), C("metric"), F.lit(" " + help_text)).alias("line"))
+    type_ = names.select("metric", F.lit(1).alias("part"), F.lit("").alias("labels"), F.concat(F.lit("# TYPE "), C("metric"), F.lit(" " + kind)).alias("line"))
+    return help_.unionByName(type_).unionByName(rows)
 
 
 def histogram_lines(metric: str, histogram: DataFrame) -> DataFrame:

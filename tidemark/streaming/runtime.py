@@ -20,15 +20,22 @@ def run_available(stream: DataFrame, purpose: str, mode: str = "append", timeout
     base = shared_dir(spark, purpose)
     out, state = f"{base}/out", f"{base}/checkpoint"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        # one state store per partition: on a single machine more stores than cores only cost time
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), spark.sparkContext.defaultParallelism)))
     writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
         query = writer.foreachBatch(_batch_writer(out)).start()
-    query.awaitTermination(timeout)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError(f"stream {purpose} did not finish in {timeout} s")
+    try:
+        query.awaitTermination(timeout)
+        if query.isActive:
+            query.stop()
+            raise TimeoutError(f"stream {purpose} did not finish in {timeout} s")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)

@@ -343,7 +343,7 @@ class _ApprovalTimer(StatefulProcessor):
             self.handle.registerTimer(int(row.expires_ms))
         elif self.cell.exists():
             self._forget()
-        yield pd.DataFrame({"tenant_id": [], "id": [], "action": [], "at_ms": pd.Series([], dtype="int64")})
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.cell.exists():

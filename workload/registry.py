@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from workload.views import History, with_views
 
+# row numbers and sizes are 32 bits wide in Spark and 64 in the oracle; results carry 64
+WIDE = ("rank", "place", "position", "priority", "distance", "union", "shared", "index", "new_attempt")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,9 +21,14 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
     def keep(fn: Callable[[History], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(History(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _widened(fn(History(spark, sf_dir)))
         if sql is not None:
             ORACLES[name] = with_views(sql, extra)
         return fn
 
     return keep
+
+
+def _widened(df: DataFrame) -> DataFrame:
+    narrow = [f.name for f in df.schema.fields if f.name in WIDE and f.dataType.typeName() == "integer"]
+    return df.withColumns({c: df[c].cast("bigint") for c in narrow}) if narrow else df

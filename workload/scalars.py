@@ -30,7 +30,7 @@ def reg(name, sql, fn):
 
 # documents: 'n' is the length in characters; the texts stay in the basic plane
 reg("x01_len", f"SELECT doc_id, length(text) AS n, 3 AS items FROM documents",
-    lambda h: h.raw("documents").select("doc_id", v.length_of_text(C("text")).alias("n"), v.length_of(F.array(C("text"), C("lang"), C("source"))).alias("items")))
+    lambda h: h.raw("documents").select("doc_id", v.length_of_text(C("text")).cast("bigint").alias("n"), v.length_of(F.array(C("text"), C("lang"), C("source"))).alias("items")))
 reg("x02_lower", "SELECT doc_id, sha256(lower(text)) AS t FROM documents", lambda h: h.raw("documents").select("doc_id", F.sha2(v.lower("text"), 256).alias("t")))
 reg("x03_upper", "SELECT c_custkey, upper(c_name) AS t FROM customer", lambda h: customer(h).select("c_custkey", v.upper("c_name").alias("t")))
 reg("x04_trim", "SELECT conv_id, turn, regexp_replace(regexp_replace(chr(9) || '  ' || text || ' ' || chr(10), '^\\s+', ''), '\\s+$', '') AS t FROM conversations",

@@ -102,14 +102,14 @@ FROM w LEFT JOIN e ON e.tenant_id = w.tenant_id AND (w.corr IS NULL OR w.corr =
 
 @query("t05_waits_with_timeout", WAITS)
 def t05(h):
-    m = so.first_resume(so.waits_with_timeout(waits_of(h.events), arrivals_of(h.events)))
+    m = so.waits_with_timeout(waits_of(h.events), arrivals_of(h.events))
     return m.select(C("step_id").cast("bigint").alias("wait_seq"), "seq", "outcome")
 
 
 @query("t05_waits_stream", WAITS.replace("SELECT w.seq AS wait_seq", "SELECT * FROM (SELECT w.seq AS wait_seq") + ") WHERE outcome = 'resumed'")
 def t05s(h):
     # timeouts younger than the watermark are still open when the source ends, so matches are compared
-    m = rt.run_available(so.waits_with_timeout(waits_of(stream(h)), arrivals_of(stream(h))), "waits")
+    m = rt.run_available(so.waits_stream(waits_of(stream(h)), arrivals_of(stream(h))), "waits")
     return so.first_resume(m.where("outcome = 'resumed'")).select(C("step_id").cast("bigint").alias("wait_seq"), "seq", "outcome")
 
 

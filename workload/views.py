@@ -540,7 +540,7 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber""",
   CASE WHEN flag = 'R' THEN {_CLS.format(k='k')} END AS error_class,
   CASE WHEN flag = 'R' THEN 'problem ' || (k % 5) END AS error_message,
   CASE WHEN flag = 'N' AND k % 9 = 0 THEN 'done' WHEN flag = 'N' AND k % 9 = 1 THEN 'failed' END AS compensation_status,
-  CASE WHEN flag = 'N' THEN n END AS completed_seq, updated_at
+  CASE WHEN flag = 'N' THEN CAST(n AS BIGINT) END AS completed_seq, updated_at
 FROM steps0""",
     "live0": """SELECT s.*, r.status AS rs,
   r.status IN ('running','waiting-approval','waiting-event') AND s.step_id >= 's6' AS is_last,

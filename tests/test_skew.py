@@ -48,6 +48,24 @@ def test_top_n_is_exact(rows):
     assert {(r.g, r.seq) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 7, 200])
+def test_newest_is_exact(spark, n):
+    rnd = random.Random(6)
+    data = [(f"r{i:04d}", rnd.choice(["hot", "hot", "b", None]), rnd.randrange(40_000)) for i in range(900)]
+    df = spark.createDataFrame(data, "id string, g string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    want = {}
+    for i, g, s in data:
+        want.setdefault(g, []).append((s, i))
+    want = {(g, i) for g, xs in want.items() for s, i in sorted(xs, reverse=True)[:n]}
+    assert {(r.g, r.id) for r in skew.newest_per_group(df, ["g"], "ts", "id", n).collect()} == want
+
+
+def test_null_groups_are_ranked(spark):
+    df = spark.createDataFrame([(None, 5), (None, 7), ("a", 1)], "g string, v bigint")
+    got = {r.g: (r.n, r.m) for r in skew.ranked_values(df, ["g"], "v", {"m": upper_median()}).collect()}
+    assert got == {None: (2, 7), "a": (1, 1)}
+
+
 def test_ranked_values_match_sorting(rows):
     df, data = rows
     got = skew.ranked_values(df, ["g"], "v", {"p50": nearest_rank(50), "p95": nearest_rank(95), "p0": nearest_rank(0), "p100": nearest_rank(100), "med": upper_median()})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import model
 from tidemark.functions.stats import ms_between, nearest_rank
 from tidemark.operators import filters as flt
-from tidemark.operators.skew import ranked_values, top_n_per_group
+from tidemark.operators.skew import newest_per_group, ranked_values, top_n_per_group
 
 WF = ["tenant_id", "workflow_name"]
 
@@ -27,7 +27,7 @@ def run_timings(runs: DataFrame, since: Column | None = None, cap: int | None =
     r = r if since is None else r.where(F.col("created_at") >= since)
     r = r.select("tenant_id", "workflow_name", "id", "status", "trigger_type", "created_at", "started_at", "finished_at",
                  flt.scheduled_for().alias("scheduled_for"))
-    return r if cap is None else top_n_per_group(r, ["tenant_id"], _newest(), cap).drop("rank")
+    return r if cap is None else newest_per_group(r, ["tenant_id"], "created_at", "id", cap).drop("rank")
 
 
 def durations(timings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ row per chunk across chunk borders.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +34,23 @@ def top_n_per_group(
     return few.withColumn(rank, F.row_number().over(last)).where(F.col(rank) <= n)
 
 
+def newest_per_group(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
+    """The newest ``n`` rows of each group, for an ``n`` too large to be cut before the shuffle.
+
+    Rows are first counted per group and hour, which shuffles next to nothing; the
+    hour in which a group reaches ``n`` rows bounds what is then shuffled and ranked.
+    """
+    hour = F.date_trunc("hour", F.col(ts))
+    counts = df.groupBy(*keys, hour.alias("_hour")).agg(F.count("*").alias("_c"))
+    newer = W.partitionBy(*keys).orderBy(F.desc("_hour")).rowsBetween(W.unboundedPreceding, -1)
+    wanted = counts.withColumn("_newer", F.coalesce(F.sum("_c").over(newer), F.lit(0))).where(F.col("_newer") < n)
+    cut = wanted.groupBy(*keys).agg(F.min("_hour").alias("_cut"))
+    cut = cut.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cut")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    kept = df.join(cut, same & (F.col(ts) >= F.col("_cut"))).select(*df.columns)
+    return top_n_per_group(kept, keys, [F.desc(ts), F.desc(tie)], n, rank)
+
+
 def _is_complex(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("map", "variant")
 
@@ -128,8 +146,11 @@ def ranked_values(
         .select(*keys, "_bin", "n", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_upto") + F.col("_c")).alias("_at"))
     )
     inside = W.partitionBy(*keys, "_name").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    # null-safe: a null group key is a group, and both uses of ``counts`` stay the same plan, so its exchange is reused
+    picks = picks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_pick"), "n", "_name", "_at")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bin").eqNullSafe(F.col("_pick")))
     hits = (
-        binned.join(picks, [*keys, "_bin"])
+        binned.join(picks, same)
         .withColumn("_run", F.sum("_c").over(inside))
         .where("_run >= _at AND _run - _c < _at")
     )

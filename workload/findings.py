@@ -283,3 +283,20 @@ def k08(h):
 def j15(h):
     shapes = sim.shapes_of(sim.step_bags(order_workflows(h)))
     return sim.similar_shapes(shapes, 0.8).select("tenant_id", F.least("ax", "ay").alias("x"), F.greatest("ax", "ay").alias("y"), "shared", "union")
+
+
+@query(
+    "u04_custom_rule",
+    f"SELECT 'never-cheap' AS rule, 'low' AS severity, tenant_id, workflow_name AS workflow, CAST(NULL AS VARCHAR) AS step_id, 'never-cheap:' || workflow_name AS key, workflow_name || ' is never cheap' AS title FROM ({RUNS}) WHERE cost / total > 250000",
+)
+def u04(h):
+    def never_cheap(f, t):
+        w = f.workflows.where("total > 0 AND cost / total > 250000")
+        none = F.lit(None).cast("string")
+        wf = F.col("workflow_name")
+        return w.select(
+            F.lit("never-cheap").alias("rule"), F.lit("low").alias("severity"), "tenant_id", wf.alias("workflow"), none.alias("step_id"),
+            F.concat(F.lit("never-cheap:"), wf).alias("key"), F.concat(wf, F.lit(" is never cheap")).alias("title"),
+            none.alias("summary"), none.alias("recommendation"), F.to_json(F.struct("cost", "total")).alias("evidence"))
+
+    return show(fd.analyse(facts(h), T, {"never-cheap": never_cheap}))

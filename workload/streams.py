@@ -152,15 +152,15 @@ def t08(h):
     return d.select("tenant_id", "workflow_name", C("day").cast("string").alias("day"), st.half_up(C("cost"), 2).alias("cost"))
 
 
-def attempts(h):
+def attempts(events):
     op = "CASE event_type WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'complete' ELSE 'claim' END"
-    return h.events.select("seq", "tenant_id", F.lit("http").alias("capability"), F.expr("cast(user_id % 30 as string)").alias("key"), F.unix_millis("ts").alias("ms"),
+    return events.select("seq", "tenant_id", F.lit("http").alias("capability"), F.expr("cast(user_id % 30 as string)").alias("key"), F.unix_millis("ts").alias("ms"),
                            F.expr(op).alias("op"), F.concat(F.lit("run-"), (C("user_id") % 60).cast("string")).alias("owner"), C("props").alias("output"))
 
 
 @query("t09_idempotency_ledger")
 def t09(h):
-    r = sf.classify_attempts(attempts(h), lease_ms=7_200_000, ttl_ms=86_400_000)
+    r = sf.classify_attempts(attempts(h.events), lease_ms=7_200_000, ttl_ms=86_400_000)
     return r.groupBy("tenant_id", "result").agg(F.count("*").alias("n"), F.count_if("reclaimed").alias("reclaimed"))
 
 
@@ -306,3 +306,10 @@ def u01(h):
 
     text = F.concat(F.lit('{"x": [1.0, "\\u00e9", 5e-1], '), F.substring("props", F.lit(2), F.length("props")))
     return h.raw("events").select("event_id", canonical_json(text).alias("js"))
+
+
+@query("u05_keyed_state")
+def u05(h):
+    out = sf.on_stream(attempts(stream(h)), ["tenant_id", "capability", "key"], ["ms", "seq"], lambda: sf.Ledger(7_200_000, 86_400_000), sf.Ledger.fields)
+    r = rt.run_available(out, "ledger")
+    return r.groupBy("tenant_id", "result").agg(F.count("*").alias("n"), F.count_if("reclaimed").alias("reclaimed"))

@@ -25,6 +25,9 @@ def local_session(app: str = "tidemark", cores: str = "*", partitions: int = 8)
     )
 
 
+_LOCAL_ROOT: dict[str, str] = {}  # one temporary folder per local process
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -34,8 +37,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if "dir" not in _LOCAL_ROOT:
+            _LOCAL_ROOT["dir"] = tempfile.mkdtemp(prefix="tidemark-")
+        root = _LOCAL_ROOT["dir"]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +45,34 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Make this package importable in Python workers that do not have it installed.
+
+    Executors get it as an added file.  Workers of a local session also look in the
+    folder it was loaded from.  Further folders of the same source tree may be named.
+    """
+    sc = spark.sparkContext
+    if _SHIPPED.get("to") == sc.applicationId:
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="tidemark-src-"), "tidemark_src.zip")
+    with zipfile.ZipFile(bundle, "w") as z:
+        for package in ("tidemark", *packages):
+            for folder, _, files in os.walk(os.path.join(here, package)):
+                for f in files:
+                    if f.endswith(".py"):
+                        path = os.path.join(folder, f)
+                        z.write(path, os.path.relpath(path, here))
+    sc.addPyFile(bundle)
+    if sc.master.startswith("local"):
+        have = sc.environment.get("PYTHONPATH", "")
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (here, have) if p)
+    _SHIPPED["to"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def cut_lineage(df, purpose: str):
     """Write an intermediate table to the shared folder and read it back.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import ship
 from workload.views import History, with_views
 
 # row numbers and sizes are 32 bits wide in Spark and 64 in the oracle; results carry 64
@@ -21,7 +22,11 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
     def keep(fn: Callable[[History], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: _widened(fn(History(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark, "workload")
+            return _widened(fn(History(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql, extra)
         return fn

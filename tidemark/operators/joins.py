@@ -7,7 +7,6 @@ broadcasts one only when it is really small, and splits skewed partitions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import model

@@ -6,7 +6,7 @@ from tidemark.plans import findings as fd
 from tidemark.operators import ranking as rk
 from tidemark.plans import similarity as sim
 from workload.aggregates import APPROVAL_STATS as APPROVALS0
-from workload.aggregates import FINISHED, human_sql, pct_sql, rank_sql
+from workload.aggregates import human_sql, pct_sql, rank_sql
 from workload.aggregates import RUN_STATS as RUNS0
 from workload.aggregates import STEP_ERRORS as ERRORS0
 from workload.aggregates import STEP_STATS as STATS0

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats as st
 from tidemark.operators import aggregates as ag
-from tidemark.operators import filters as flt
 from tidemark.operators import joins as jn
 from workload.aggregates import RUN_STATS, money, since
 from workload.registry import query

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats as st
 from tidemark.operators import aggregates as ag
 from tidemark.operators import ranking as rk
-from workload.aggregates import ACTIVE, APPROVAL_STATS, FAILED, FAILING_STEPS, FINISHED, RUN_STATS, STEP_ERRORS, rank_sql, since
+from workload.aggregates import ACTIVE, FAILED, FAILING_STEPS, FINISHED, RUN_STATS, STEP_ERRORS, rank_sql, since
 from workload.registry import query
 from workload.views import iso_sql
 

@@ -3,7 +3,6 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats as st
 from tidemark.operators import aggregates as ag
 from tidemark.operators import ranking as rk
 from tidemark.session import shared_dir

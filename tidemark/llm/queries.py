@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html, langid, mixing, neardup, quality, tokens
+from tidemark.llm import decontam, html, langid, mixing, neardup, quality, substring, tokens
 from tidemark.llm.common import fold, table
 from tidemark.session import ship
 
@@ -42,6 +42,31 @@ def language_model(docs: DataFrame) -> langid.Model:
     return langid.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
 
 
+WORDS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM w WHERE len(w) >= 35)
+), rep AS (
+  SELECT g FROM win GROUP BY g HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM win JOIN rep USING (g)
+), left_over AS (
+  SELECT doc_id, sha256(string_agg(x, ' ' ORDER BY p)) AS kept
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", WORDS_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -35,6 +35,8 @@ CHUNK = 1 << 18  # ids gathered into one chunk, unless one document has more
 BLOCK = 1 << 16  # ids shuffled together
 CACHE = 600_000  # pieces of text whose ids a worker remembers
 
+SPACE = "\u0120"  # how byte-level vocabularies write a space
+
 CHUNKS = (
     "shard long, chunk long, doc_ids array<long>, doc_tokens array<long>, block_ids array<int>, "
     "block_width array<int>, plane_bytes array<int>, payload binary"
@@ -59,6 +61,9 @@ class Encoder:
         self.by_parts = self.tokenizer.normalizer is None and b'"ByteLevel"' in spec and b'"use_regex":true' in spec.replace(b" ", b"") and b'"add_prefix_space":false' in spec.replace(b" ", b"")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,12 +79,29 @@ class Encoder:
         rest = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
         heads = self._ids([p[0] for _, p in rest])
         known = self.parts
-        new = list({x for _, p in rest for x in p[1:] if x not in known})
-        known.update(zip(new, self._ids([" " + x for x in new])))
-        for (i, p), head in zip(rest, heads):
-            out[i] = head + b"".join(map(known.__getitem__, p[1:]))
+        found = [list(map(known.get, p[1:])) for _, p in rest]
+        new = {x for (_, p), f in zip(rest, found) if None in f for x, ids in zip(p[1:], f) if ids is None}
+        if new:
+            known.update(self._parts(list(new)))
+        for (i, p), head, f in zip(rest, heads, found):
+            out[i] = head + b"".join(map(known.__getitem__, p[1:]) if None in f else f)
         return out
 
+    def _parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of parts that each follow a space.  Many are encoded as one text and cut where a space begins a token."""
+        plain = [x for x in parts if x and not x[-1].isspace()]
+        odd = [x for x in parts if not x or x[-1].isspace()]
+        yield from zip(odd, self._ids([" " + x for x in odd]))
+        for lo in range(0, len(plain), 2000):
+            some = plain[lo : lo + 2000]
+            ids = np.frombuffer(self._ids(["".join([" " + x for x in some])])[0], "<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(some):
+                yield from zip(some, self._ids([" " + x for x in some]))
+                continue
+            raw, ends = ids.tobytes(), (np.append(cuts[1:], len(ids)) * 4).tolist()
+            yield from zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)])
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -114,3 +114,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, keep: tupl
         "doc_id", *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         ids.alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item window occurs."""
+    hit = cut_lineage(phrase_hits(docs, items, n).select(F.col("doc_id").alias("__d"), "__k").distinct().withColumnRenamed("__k", "__j"), "contaminated")
+    rows = docs.withColumn("__k", F.xxhash64("text"))
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__j")), "left_anti").drop("__k")

@@ -44,8 +44,8 @@ def grams(points: np.ndarray, size: int, buckets: int) -> np.ndarray:
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """A text in overlapping pieces that together hold every n-gram once."""
-    yield text[: size + 0]
+    """A text in consecutive pieces."""
+    yield text[:size]
     for at in range(size, len(text), size):
         yield text[at : at + size]
 
@@ -141,3 +141,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str | Column] = ("doc_id"
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
     return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is recognised with a score of at least ``least``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return identify(docs, model, [row]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -251,12 +251,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that stay: one row of each group, the one with the smallest id (of rows repeating it, any one)."""
-    marks = near_duplicates(docs, shingle, threshold).where("kept").select(F.col("doc_id").alias("__d"), "k").groupBy("__d").agg(F.min("k").alias("__k"))
-    rows = docs.withColumn("__h", F.xxhash64("text"))
-    kept = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k"))).drop("__d", "__k")
-    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h") if _repeats(kept) else kept.drop("__h")
+    """The documents that stay, with all their columns: of each group the one with the smallest id.
 
-
-def _repeats(df: DataFrame) -> bool:
-    return bool(df.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    Of rows that repeat its id and text any one stays; of texts that share its id the one whose hash is smallest.
+    """
+    marks = cut_lineage(near_duplicates(docs, shingle, threshold), "marks")
+    kept = marks.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__d"), "k").groupBy("__d").agg(F.min("k").alias("__k"), F.count("*").alias("__n"))
+    repeated = kept.where("__n > 1").isEmpty() is False
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h": F.xxhash64("text")})
+    out = rows.join(kept, (F.col("__id") == F.col("__d")) & (F.col("__h") == F.col("__k")))
+    return (out.dropDuplicates(["__id"]) if repeated else out).select(*(f"`{c}`" for c in docs.columns))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import model
@@ -77,14 +78,39 @@ def search_workflows(
 
 
 def passes(predicate: str | None) -> Column:
-    """A user's row filter in Spark SQL: absent passes, null or an evaluation error rejects.
+    """A user's row filter in Spark SQL: absent passes, null rejects.
 
-    Under ANSI rules an error would stop the job, so wrap risky parts in ``try_*``
-    functions; whatever turns into null is rejected here.
+    Under ANSI rules an evaluation error stops the job; ``where_passes`` turns errors into null instead.
     """
     return F.lit(True) if not predicate else F.coalesce(F.expr(predicate).cast("boolean"), F.lit(False))
 
 
+@contextmanager
+def errors_as_null(spark: SparkSession):
+    """Expressions made and resolved inside give null where a cast, division or access fails.
+
+    The session's rule is restored at the end; frames built inside keep what they were built with.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def where_passes(df: DataFrame, predicate: str | None) -> DataFrame:
+    """Rows that pass a user's filter; a row on which it fails to evaluate is rejected, not the job."""
+    with errors_as_null(df.sparkSession):
+        return df.where(passes(predicate))
+
+
+def with_first_violation(df: DataFrame, invariants: Mapping[str, str], name: str = "violated") -> DataFrame:
+    """Adds ``first_violation``; an invariant that fails to evaluate counts as broken."""
+    with errors_as_null(df.sparkSession):
+        return df.withColumn(name, first_violation(invariants))
+
+
 def expect(df: DataFrame, checks: Mapping[str, str]) -> DataFrame:
     """Evaluate aggregate conditions over the whole input; one row per check."""
     one = df.agg(*[F.coalesce(F.expr(c).cast("boolean"), F.lit(False)).alias(n) for n, c in checks.items()])
@@ -129,7 +155,7 @@ def due(df: DataFrame, at: str, as_of: Column, condition: Column, limit: int | N
     return out if limit is None else out.limit(limit)
 
 
-def due_steps(steps: DataFrame, runs: DataFrame, as_of: Column, limit: int | None = 200) -> DataFrame:
+def due_steps(steps: DataFrame, runs: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
     """Timers that have elapsed on steps of runs that are still open."""
     open_runs = runs.where(F.col("status").isin("running", "waiting-event", "waiting-approval")).select(
         F.col("id").alias("run_id"), "tenant_id"

@@ -83,13 +83,13 @@ def filter_by_text(column: str, texts: list[str]) -> Column:
 
 
 def completions_to_triggers(runs: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Finished runs matched to completion triggers; the wanted outcome becomes part of the join key."""
+    """Finished runs matched to enabled completion triggers; the wanted outcome becomes part of the join key."""
     wanted = (
         F.when(F.col("want") == "any", F.array(*map(F.lit, model.FINISHED_RUN)))
         .when(F.col("want") == "failed", F.array(*map(F.lit, model.FAILED_RUN)))
         .otherwise(F.array(F.lit("succeeded")))
     )
-    t = triggers.select(
+    t = triggers.where("enabled AND type = 'completion'").select(
         F.col("id").alias("trigger_id"), "tenant_id", F.col("on_workflow").alias("workflow_name"), F.explode(wanted).alias("status")
     )
     done = runs.where(flt.is_finished(F.col("status"))).select(F.col("id").alias("run_id"), "tenant_id", "workflow_name", "status")

@@ -18,11 +18,8 @@ def _newest() -> list[Column]:
     return [F.desc("created_at"), F.desc("id")]
 
 
-def run_timings(runs: DataFrame, since: Column | None = None, cap: int | None = 5000) -> DataFrame:
-    """Timing facts of the newest ``cap`` runs per tenant; the cap shapes every latency built on it.
-
-    ``cap=None`` takes all runs.
-    """
+def run_timings(runs: DataFrame, since: Column | None = None, cap: int | None = None) -> DataFrame:
+    """Timing facts of all runs, or of the newest ``cap`` runs per tenant where a caller asks for that."""
     r = flt.not_dry(runs)
     r = r if since is None else r.where(F.col("created_at") >= since)
     r = r.select("tenant_id", "workflow_name", "id", "status", "trigger_type", "created_at", "started_at", "finished_at",
@@ -140,10 +137,23 @@ def capacity_report(runs: DataFrame, tenant_cap: int, workflow_cap: int) -> Data
     return wf.withColumn("startable", F.least("queued", room, tenant_room)).withColumn("tenant_room", tenant_room)
 
 
-def queue_positions(runs: DataFrame, n: int = 500) -> DataFrame:
-    """Place in the tenant's queue of the first ``n`` queued runs (one admission batch)."""
+def queue_positions(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Place of every queued run in its tenant's queue, or of the first ``n`` of each.
+
+    A long queue is counted by (priority, hour) first; only the runs of one hour are ordered together.
+    """
     q = runs.where(F.col("status") == "queued").select("tenant_id", "workflow_name", "id", "priority", "created_at")
-    return top_n_per_group(q, ["tenant_id"], [F.asc("priority"), F.asc("created_at"), F.asc("id")], n, rank="position")
+    if n is not None:
+        return top_n_per_group(q, ["tenant_id"], [F.asc("priority"), F.asc("created_at"), F.asc("id")], n, rank="position")
+    q = q.withColumn("_hour", F.date_trunc("hour", "created_at"))
+    keys = ["tenant_id", "priority", "_hour"]
+    before = W.partitionBy("tenant_id").orderBy("priority", "_hour").rowsBetween(W.unboundedPreceding, -1)
+    counts = q.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = counts.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("tenant_id").eqNullSafe(F.col("_q_tenant_id")) & F.col("priority").eqNullSafe(F.col("_q_priority")) & F.col("_hour").eqNullSafe(F.col("_q__hour"))
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy("created_at", "id"))
+    placed = q.withColumn("_at", inside).join(counts, same)
+    return placed.select("tenant_id", "workflow_name", "id", "priority", "created_at", (F.col("_before") + F.col("_at")).alias("position"))
 
 
 def next_completion_seq(steps: DataFrame) -> DataFrame:

@@ -60,6 +60,13 @@ def with_chunk(df: DataFrame, order_col: str, rows_per_chunk: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order_col) / F.lit(rows_per_chunk)))
 
 
+def _same_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group; a null key is a key like any other."""
+    renamed = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    return rows.join(renamed, same).drop(*[f"_g{i}" for i in range(len(keys))])
+
+
 def chunked_lag(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,7 +96,7 @@ def chunked_lag(
     rows = chunked.withColumn("_cl_at", F.row_number().over(inside)).withColumn("_cl_first", F.col("_cl_at") == 1)
     for col, alias in columns.items():
         rows = rows.withColumn(f"_cl_in_{alias}", F.lag(col).over(inside))
-    out = rows.join(heads, [*keys, "_chunk"])
+    out = _same_group(rows, heads, [*keys, "_chunk"])
     for col, alias in columns.items():
         out = out.withColumn(
             alias, F.when(F.col("_cl_first"), F.col(f"_cl_carry.{col}")).otherwise(F.col(f"_cl_in_{alias}"))
@@ -108,7 +115,8 @@ def chunked_running_sum(
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = W.partitionBy(*keys, "_chunk").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0)
-    rows = chunked.withColumn("_run", F.sum("_v").over(inside)).join(base, [*keys, "_chunk"])
+    rows = chunked.withColumn("_run", F.sum("_v").over(inside))
+    rows = _same_group(rows, base, [*keys, "_chunk"])
     return rows.withColumn(alias, F.col("_run") + F.col("_base")).drop("_chunk", "_v", "_run", "_base")
 
 
@@ -178,5 +186,5 @@ def first_at_or_after(
     heads = u.groupBy(*keys, "_bucket").agg(F.min("_hit").alias("_head"))
     later = W.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     heads = heads.select(*keys, "_bucket", F.last("_head", ignorenulls=True).over(later).alias("_next"))
-    j = u.where("_kind = 0").join(heads, [*keys, "_bucket"]).withColumn("_hit", F.coalesce("_near", "_next"))
+    j = _same_group(u.where("_kind = 0"), heads, [*keys, "_bucket"]).withColumn("_hit", F.coalesce("_near", "_next"))
     return j.select("_row.*", F.col("_hit.ms").alias(event_ms), *[F.col(f"_hit.{c}").alias(c) for c in payload])

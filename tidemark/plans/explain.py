@@ -24,8 +24,14 @@ def _quoted(step: Column) -> Column:
 
 
 def first_bad_step(steps: DataFrame) -> DataFrame:
-    """The first failed step of each run, unhandled ones before handled ones, with undo counts."""
-    order = F.struct(F.col("handled").isNotNull(), F.col("step_id"))
+    """The first failed step of each run, unhandled ones before handled ones, with undo counts.
+
+    Steps go by completion, those without one after the others, then by their place in the plan where
+    ``steps`` has it (``order``), then by the number in their id.
+    """
+    place = F.col("order") if "order" in steps.columns else F.lit(None).cast("int")
+    number = F.regexp_extract("step_id", r"(\d+)$", 1).try_cast("bigint")
+    order = F.struct(F.col("handled").isNotNull(), F.col("completed_seq").isNull(), F.col("completed_seq"), place, number, F.col("step_id"))
     failed = F.col("status") == "failed"
     return steps.groupBy("run_id").agg(
         F.min_by(F.when(failed, F.struct("step_id", "error")), F.when(failed, order)).alias("bad"),

@@ -15,8 +15,8 @@ WF = ["tenant_id", "workflow_name"]
 
 
 def look_back(as_of: Column, hours: int) -> Column:
-    """Start of a window of 1 to 720 hours."""
-    return as_of - F.expr(f"make_dt_interval(0, {min(720, max(1, hours))})")
+    """Start of a window of at least an hour."""
+    return as_of - F.expr(f"make_dt_interval(0, {max(1, hours)})")
 
 
 def totals(runs: DataFrame, approvals: DataFrame, as_of: Column, hours: int = 24, since: Column | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def _gate_median(gates: DataFrame) -> DataFrame:
 
 
 def hourly(runs: DataFrame, tenants: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
-    return ag.runs_by_hour(runs, tenants, as_of, min(max(1, hours), 72))
+    return ag.runs_by_hour(runs, tenants, as_of, max(1, hours))
 
 
 def workflows(runs: DataFrame, as_of: Column | None = None, hours: int = 24, since: Column | None = None) -> DataFrame:

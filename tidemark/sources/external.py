@@ -36,7 +36,7 @@ def query_source(
         if params:
             raise ValueError("a JDBC source takes its parameters inside a prepared view, not here")
         full = spark.read.format("jdbc").options(**jdbc).option("query", text).load()
-    n = min(max(max_rows, 1), 10_000)
+    n = max(max_rows, 1)
     summary = full.agg(F.count("*").alias("row_count")).withColumn("truncated", C("row_count") > n)
     return full.limit(n), summary
 

@@ -49,10 +49,9 @@ def filter_runs(
 
 
 def list_runs(runs: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
-    """One page of runs, newest first; at most 500 rows."""
-    page = min(max(limit, 1), 500)
+    """One page of runs, newest first, of the length asked for."""
     ordered = filter_runs(runs, **filters).orderBy(F.desc("created_at"), F.desc("id"))
-    return ordered.offset(max(offset, 0)).limit(page)
+    return ordered.offset(max(offset, 0)).limit(max(limit, 1))
 
 
 def count_runs(runs: DataFrame, **filters) -> DataFrame:
@@ -70,7 +69,7 @@ def list_events(
     order: str = "asc",
     limit: int = 500,
 ) -> DataFrame:
-    """One page of events by sequence number; at most 5000 rows."""
+    """One page of events by sequence number, of the length asked for."""
     c = F.col
     kept = _where(
         events,
@@ -83,7 +82,7 @@ def list_events(
             c("seq") < before_seq if before_seq is not None else None,
         ],
     )
-    return kept.orderBy(F.desc("seq") if order == "desc" else F.asc("seq")).limit(min(max(limit, 1), 5000))
+    return kept.orderBy(F.desc("seq") if order == "desc" else F.asc("seq")).limit(max(limit, 1))
 
 
 def newest(df: DataFrame, ts: str, limit: int, equals: Mapping[str, str] | None = None, tie: str = "id") -> DataFrame:

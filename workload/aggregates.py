@@ -276,7 +276,7 @@ def a19(h):
 a AS (SELECT tenant_id, count(*) FILTER (status IN {ACTIVE}) AS active, count(*) FILTER (status = 'queued') AS queued, min(created_at) FILTER (status = 'queued') AS oldest FROM runs GROUP BY 1),
 t AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, id DESC) AS rn FROM runs WHERE NOT dry_run AND created_at >= {SINCE_SQL}),
 d AS (SELECT tenant_id, ms, row_number() OVER (PARTITION BY tenant_id ORDER BY ms) AS rn, count(*) OVER (PARTITION BY tenant_id) AS n FROM
-  (SELECT tenant_id, epoch_ms(finished_at) - epoch_ms(started_at) AS ms FROM t WHERE rn <= 5000 AND status IN {FINISHED})),
+  (SELECT tenant_id, epoch_ms(finished_at) - epoch_ms(started_at) AS ms FROM t WHERE status IN {FINISHED})),
 l AS (SELECT tenant_id, max(ms) FILTER (rn = {rank_sql(50)}) AS p50_ms, max(ms) FILTER (rn = {rank_sql(95)}) AS p95_ms FROM d GROUP BY 1),
 i AS ({INTERVENTIONS}),
 g AS ({APPROVAL_STATS}),
@@ -298,7 +298,7 @@ def a20(h):
     f"""WITH w AS ({RUN_STATS}),
 t AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, id DESC) AS rk FROM runs WHERE NOT dry_run AND created_at >= {SINCE_SQL}),
 d AS (SELECT tenant_id, workflow_name, ms, row_number() OVER (PARTITION BY tenant_id, workflow_name ORDER BY ms) AS rn, count(*) OVER (PARTITION BY tenant_id, workflow_name) AS n FROM
-  (SELECT tenant_id, workflow_name, epoch_ms(finished_at) - epoch_ms(started_at) AS ms FROM t WHERE rk <= 5000 AND status IN {FINISHED})),
+  (SELECT tenant_id, workflow_name, epoch_ms(finished_at) - epoch_ms(started_at) AS ms FROM t WHERE status IN {FINISHED})),
 l AS (SELECT tenant_id, workflow_name, max(ms) FILTER (rn = {rank_sql(95)}) AS p95_ms FROM d GROUP BY 1, 2)
 SELECT w.tenant_id, w.workflow_name, total, succeeded, failed, CASE WHEN succeeded + failed > 0 THEN succeeded / (succeeded + failed)::DOUBLE END AS success_rate, p95_ms, cost
 FROM w LEFT JOIN l ON l.tenant_id = w.tenant_id AND l.workflow_name = w.workflow_name""",

@@ -70,9 +70,9 @@ def f07(h):
     return flt.search_workflows(w, "#0*7*BUILD", state="enabled").select("c_custkey", "name", "state")
 
 
-@query("f08_event_filter", "SELECT seq FROM hist_events WHERE value > 50 AND TRY_CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0")
+@query("f08_event_filter", "SELECT seq FROM hist_events WHERE value > 50 AND TRY_CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 AND seq % 5 > 0")
 def f08(h):
-    return h.events.where(flt.passes("value > 50 AND try_cast(get_json_object(data, '$.k') as int) % 2 = 0")).select("seq")
+    return flt.where_passes(h.events, "value > 50 AND cast(get_json_object(data, '$.k') as int) % 2 = 0 AND (seq % 5 > 0 OR 10 / (seq % 5) > cast(event_type as int))").select("seq")
 
 
 @query(
@@ -98,10 +98,11 @@ def f10(h):
 
 @query(
     "f11_invariants",
-    """SELECT id, CASE WHEN NOT cost > 1000 THEN 'has-cost' WHEN NOT coalesce(finished_at > started_at, false) THEN 'ended' WHEN dry_run THEN 'real' END AS violated FROM runs""",
+    """SELECT id, CASE WHEN NOT cost > 1000 THEN 'has-cost' WHEN CAST(id AS BIGINT) % 3 = 1 THEN 'plain' WHEN NOT coalesce(finished_at > started_at, false) THEN 'ended' WHEN dry_run THEN 'real' END AS violated FROM runs""",
 )
 def f11(h):
-    return h.runs.select("id", flt.first_violation({"has-cost": "cost > 1000", "ended": "finished_at > started_at", "real": "NOT dry_run"}).alias("violated"))
+    checks = {"has-cost": "cost > 1000", "plain": "1 / (cast(id as bigint) % 3 - 1) < 5", "ended": "finished_at > started_at", "real": "NOT dry_run"}
+    return flt.with_first_violation(h.runs, checks).select("id", "violated")
 
 
 @query(

@@ -195,7 +195,7 @@ TIMED = "SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at
 
 def p_sql(keys, ms):
     return f"""SELECT {keys}, n, max(ms) FILTER (rn = {rank_sql(95)}) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ms) AS rn, count(*) OVER (PARTITION BY {keys}) AS n
-FROM (SELECT {keys}, {ms} AS ms FROM ({TIMED}) WHERE rk <= 5000) WHERE ms IS NOT NULL) GROUP BY {keys}, n"""
+FROM (SELECT {keys}, {ms} AS ms FROM ({TIMED})) WHERE ms IS NOT NULL) GROUP BY {keys}, n"""
 
 
 R12 = finding_sql(

@@ -366,6 +366,8 @@ class History:
                 "element_at(array('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'), cast(s_suppkey % 5 as int) + 1)"
             ).alias("on_workflow"),
             F.expr("element_at(array('any','succeeded','failed'), cast(s_suppkey % 3 as int) + 1)").alias("want"),
+            F.expr("element_at(array('completion','event'), cast(s_suppkey % 11 = 4 as int) + 1)").alias("type"),
+            F.expr("s_suppkey % 7 <> 3").alias("enabled"),
         )
 
     @cached_property
@@ -615,7 +617,8 @@ FROM supplier""",
     "completion_triggers": """SELECT 'cmp-' || s_suppkey AS id,
   (['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'])[s_nationkey % 5 + 1] AS tenant_id,
   (['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'])[s_suppkey % 5 + 1] AS on_workflow,
-  (['any','succeeded','failed'])[s_suppkey % 3 + 1] AS want FROM supplier""",
+  (['any','succeeded','failed'])[s_suppkey % 3 + 1] AS want,
+  CASE WHEN s_suppkey % 11 = 4 THEN 'event' ELSE 'completion' END AS type, s_suppkey % 7 <> 3 AS enabled FROM supplier""",
     "hooks": """SELECT 'hook-' || s_suppkey AS hook_id, 't' || (s_nationkey % 5) AS tenant_id,
   CASE WHEN s_suppkey % 2 = 0 THEN ['run.succeeded','step.failed'] ELSE ['run.succeeded'] END AS events FROM supplier""",
     "tenants": """SELECT 'acct-' || c_custkey AS id, c_name AS name,

@@ -107,7 +107,7 @@ def _clean(text: str) -> str:
     return _HIDDEN.sub("", unicodedata.normalize("NFC", text))
 
 
-def scrub(text: str, limit: int | None = 8192) -> str:
+def scrub(text: str, limit: int | None = None) -> str:
     out = _clean(text)
     for p in _SECRETS:
         out = p.sub(pt.REDACTED, out)
@@ -116,8 +116,8 @@ def scrub(text: str, limit: int | None = 8192) -> str:
     return out
 
 
-def redacted(value, depth: int = 0, key: str | None = None, limits=(12, 8192, 200, 200)):
-    """Deep copy without sensitive members and credential-shaped strings."""
+def redacted(value, depth: int = 0, key: str | None = None, limits=(None, None, None, None)):
+    """Deep copy without sensitive members and credential-shaped strings; limits of depth, text, items and members only where given."""
     max_depth, max_text, max_items, max_keys = limits
     if key is not None and value is not None and _KEY.search(key):
         return value if isinstance(value, (bool, int, float)) else pt.REDACTED
@@ -125,14 +125,14 @@ def redacted(value, depth: int = 0, key: str | None = None, limits=(12, 8192, 20
         return scrub(value, max_text)
     if not isinstance(value, (list, dict)):
         return value
-    if depth >= max_depth:
+    if max_depth is not None and depth >= max_depth:
         return "[MaxDepth]"
     if isinstance(value, list):
         kept = [redacted(v, depth + 1, None, limits) for v in value[:max_items]]
-        return kept + ([f"…[{len(value) - max_items} more items]"] if len(value) > max_items else [])
+        return kept + ([f"…[{len(value) - max_items} more items]"] if max_items is not None and len(value) > max_items else [])
     out = {}
     for i, (k, v) in enumerate(value.items()):
-        if i >= max_keys:
+        if max_keys is not None and i >= max_keys:
             out["…"] = "truncated"
             break
         if k not in ("__proto__", "constructor", "prototype"):
@@ -140,8 +140,8 @@ def redacted(value, depth: int = 0, key: str | None = None, limits=(12, 8192, 20
     return out
 
 
-def redact_json(text: Column, max_depth: int = 12, max_text: int = 8192, max_items: int = 200, max_keys: int = 200) -> Column:
-    """Redacted, compact JSON text; invalid JSON gives null."""
+def redact_json(text: Column, max_depth: int | None = None, max_text: int | None = None, max_items: int | None = None, max_keys: int | None = None) -> Column:
+    """Redacted, compact JSON text; invalid JSON gives null.  Nothing is shortened unless a limit is given."""
     limits = (max_depth, max_text, max_items, max_keys)
 
     @F.pandas_udf("string")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions.stats import ms_between, nearest_rank, upper_median
 from tidemark.operators import filters as flt
 from tidemark.operators.joins import steps_of_runs
-from tidemark.operators.skew import ranked_values
+from tidemark.operators.skew import ranked_values, top_n_per_group
 
 WF = ["tenant_id", "workflow_name"]
 
@@ -244,14 +245,15 @@ def map_outcome(items: DataFrame, tolerance: DataFrame) -> DataFrame:
     """Outcome of fan-out steps: failed when failures exceed max(count, floor(percent * n / 100)).
 
     ``items``: run_id, step_id, index, ok, message.  ``tolerance``: step_id, tol_count, tol_percent.
-    Failure positions stay in the item rows; the outcome keeps the first ten, as the source system does.
+    All failures stay in the item rows; the outcome keeps the first ten of each step, by position.
     """
+    first = top_n_per_group(items.where(~F.col("ok")).select("run_id", "step_id", "index", "message"), ["run_id", "step_id"], [F.asc("index")], 10)
+    first = first.groupBy("run_id", "step_id").agg(F.array_sort(F.collect_list(F.struct("index", "message"))).alias("first_failures"))
     g = items.groupBy("run_id", "step_id").agg(
         F.count("*").alias("n"),
         _n(~F.col("ok")).alias("failures"),
-        F.min(F.when(~F.col("ok"), F.struct("index", "message"))).alias("first_failure"),
     )
-    t = g.join(tolerance, "step_id", "left")
+    t = g.join(first, ["run_id", "step_id"], "left").join(tolerance, "step_id", "left")
     allowed = F.greatest(
         F.coalesce(F.col("tol_count"), F.lit(0)),
         F.floor(F.coalesce(F.col("tol_percent"), F.lit(0)) / 100 * F.col("n")),
@@ -266,10 +268,22 @@ def map_outcome(items: DataFrame, tolerance: DataFrame) -> DataFrame:
         "allowed",
         F.when(over, "failed").otherwise("succeeded").alias("outcome"),
         F.when(over, "MAP_TOLERANCE_EXCEEDED").alias("code"),
-        F.when(over, F.col("first_failure.index")).alias("first_failed_index"),
+        F.when(over, F.col("first_failures")[0]["index"]).alias("first_failed_index"),
+        F.when(over, F.col("first_failures")).alias("first_failures"),
     )
 
 
+def map_results(items: DataFrame) -> DataFrame:
+    """Results of fan-out steps in the order of their items: one row per item with its place among all and among the failed ones.
+
+    ``items`` as for ``map_outcome``; positions are given, so nothing is gathered into one array.
+    """
+    of_step = W.partitionBy("run_id", "step_id").orderBy("index")
+    upto = of_step.rowsBetween(W.unboundedPreceding, 0)
+    failed = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(upto)
+    return items.withColumns({"place": F.row_number().over(of_step), "failure": F.when(~F.col("ok"), failed)})
+
+
 def parallel_join(dependencies: DataFrame) -> DataFrame:
     """Outcome of parallel joins over dependency states: run_id, step_id, mode, dep_status."""
     s = F.col("dep_status")

@@ -178,12 +178,12 @@ def _unknown(text: Column, path: Sequence[str], fields: Mapping[str, Field]) ->
     return F.when(F.size(extra) > 0, row)
 
 
-def validate_json(df: DataFrame, column: str, fields: Mapping[str, Field], max_string: int = 100_000) -> DataFrame:
+def validate_json(df: DataFrame, column: str, fields: Mapping[str, Field], max_string: int | None = None) -> DataFrame:
     """All problems of a JSON object against its declared members, and the object with defaults filled in.
 
-    Closed schema, no coercion; a text member without a limit gets ``max_string``.
+    Closed schema, no coercion; a text member without a limit gets ``max_string`` if that is given.
     """
-    bounded = {k: Field(**{**f.__dict__, "max_length": max_string}) if f.type == "string" and f.max_length is None else f for k, f in fields.items()}
+    bounded = {k: Field(**{**f.__dict__, "max_length": max_string}) if max_string is not None and f.type == "string" and f.max_length is None else f for k, f in fields.items()}
     doc = try_json(C(column))
     is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     checks = [_issue(~is_object, ["$"], "type", "not a JSON object")]

@@ -9,33 +9,37 @@ from pyspark.sql import DataFrame
 from tidemark.session import ROCKSDB, shared_dir
 
 
-def run_available(stream: DataFrame, purpose: str, mode: str = "append", timeout: int = 3600) -> DataFrame:
+def run_available(stream: DataFrame, purpose: str, mode: str = "append", timeout: int | None = None, partitions: int | None = None) -> DataFrame:
     """Process everything the source holds now and return the result as a table.
 
     Append mode writes Parquet files exactly once.  Update mode writes each
     micro-batch to its own folder, overwriting it when the batch is retried, and
-    adds the batch number, so the newest row of a key can be picked.
+    adds the batch number, so the newest row of a key can be picked.  ``partitions``
+    sets the number of state stores of this query; by default it is the session's number
+    of shuffle partitions.  The session's settings are as before once the query has ended.
     """
     spark = stream.sparkSession
     base = shared_dir(spark, purpose)
     out, state = f"{base}/out", f"{base}/checkpoint"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    if spark.sparkContext.master.startswith("local"):
-        # one state store per partition: on a single machine more stores than cores only cost time
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), spark.sparkContext.defaultParallelism)))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
         query = writer.foreachBatch(_batch_writer(out)).start()
     try:
-        query.awaitTermination(timeout)
+        query.awaitTermination(timeout) if timeout is not None else query.awaitTermination()
         if query.isActive:
             query.stop()
             raise TimeoutError(f"stream {purpose} did not finish in {timeout} s")
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)

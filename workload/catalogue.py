@@ -1,12 +1,5 @@
 """Imports every module that registers queries."""
 
-import importlib
+from workload import aggregates, alerts, definitions, filters, findings, joins, quality, ranking, scalars, setops, sources, streams, text
 
-MODULES = ("sources", "filters", "joins", "aggregates", "ranking", "findings", "alerts", "quality", "text", "definitions", "scalars", "setops", "streams")
-
-for _m in MODULES:
-    try:
-        importlib.import_module(f"workload.{_m}")
-    except ModuleNotFoundError as e:
-        if e.name != f"workload.{_m}":
-            raise
+MODULES = (sources, filters, joins, aggregates, ranking, findings, alerts, quality, text, definitions, scalars, setops, streams)

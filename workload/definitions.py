@@ -156,6 +156,10 @@ def d11(h):
     return show(df_.effect_risks(h.order_plans))
 
 
+URGENT = "EXISTS (SELECT 1 FROM runs r WHERE r.id = plan_hash AND r.workflow_name IN ('1-URGENT','2-HIGH'))"
+CRITICAL_EFFECT = EFFECT.replace("'low'", f"CASE WHEN {URGENT} THEN 'medium' ELSE 'low' END", 1)
+
+
 FLOW = f"""SELECT DISTINCT p.tenant_id, p.plan_hash, 'PT-LLM-001' AS rule, 'info' AS severity, false AS blocking, p.step_id FROM order_edges e JOIN order_plans p ON p.plan_hash = e.plan_hash AND p.step_id = e.step_id
  JOIN order_plans s ON s.plan_hash = e.plan_hash AND s.step_id = e.depends_on WHERE p.{WORK} AND p.family = 'llm' AND s.family IN ('http','shell','storage','database')
 UNION ALL SELECT p.tenant_id, p.plan_hash, 'PT-LLM-002', 'high', false, p.step_id FROM (SELECT DISTINCT plan_hash, step_id, depends_on FROM order_edges) e JOIN order_plans p ON p.plan_hash = e.plan_hash AND p.step_id = e.step_id
@@ -210,13 +214,10 @@ def d15(h):
 
 @query(
     "d06_risk_scores",
-    f"""WITH r AS ({SECRET} UNION ALL {SHELL} UNION ALL {NET} UNION ALL {APPR} UNION ALL {SCOPE}),
+    f"""WITH r AS ({SECRET} UNION ALL {SHELL} UNION ALL {NET} UNION ALL {CRITICAL_EFFECT} UNION ALL {FLOW} UNION ALL {APPR} UNION ALL {SCOPE} UNION ALL SELECT * FROM ({PLAN_RISK})),
 s AS (SELECT tenant_id, plan_hash, count(*) AS findings, least(100, sum(CASE severity WHEN 'low' THEN 3 WHEN 'medium' THEN 8 WHEN 'high' THEN 20 WHEN 'critical' THEN 40 ELSE 0 END)) AS score, bool_or(blocking) AS blocking FROM r GROUP BY 1, 2)
 SELECT tenant_id, plan_hash, findings, CAST(score AS BIGINT) AS score, CASE WHEN score >= 60 THEN 'critical' WHEN score >= 35 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'low' END AS level, blocking FROM s""",
 )
 def d06(h):
-    p = cut_lineage(h.order_plans, "plans")  # read by five rules
-    r = df_.secret_literals(p)
-    for part in (df_.shell_risks(p), df_.network_risks(p), df_.approval_risks(p), df_.scope_risks(p)):
-        r = r.unionByName(part)
+    r = df_.all_risks(h.order_plans, h.order_edges, plans(h))
     return df_.risk_scores(r.unionByName(r))  # said twice: equal findings count once

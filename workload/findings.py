@@ -245,14 +245,17 @@ def r15(h):
 R16_RULES = {k: v for k, v in fd.RULES.items() if k not in ("duplicate-workflows", "cost-hotspot-workflow", "cost-hotspot-step", "idle-workflow", "dead-step", "unexercised-compensation", "approval-rubber-stamp", "approval-often-denied", "approval-timeouts")}
 
 
-@query("r16_analyse", " UNION ALL ".join(f"({x})" for x in (R01, R02, R04, R11, R12, R13)))
+SIX = " UNION ALL ".join(f"({x})" for x in (R01, R02, R04, R11, R12, R13))
+
+
+@query("r16_analyse", SIX)
 def r16(h):
     return show(rk.by_severity(fd.analyse(facts(h), LOOSE, R16_RULES)))
 
 
 @query(
     "r17_reconcile",
-    f"""WITH f AS (SELECT tenant_id, key FROM ({R01}) UNION ALL SELECT tenant_id, key FROM ({R02})),
+    f"""WITH f AS (SELECT tenant_id, key FROM ({SIX})),
 p AS (SELECT tenant_id, key, bool_or(status = 'open') AS is_open, max(created_at) FILTER (status = 'open') AS opened,
   bool_or(status <> 'open' AND decided_by <> 'analysis' AND decided_at > TIMESTAMP '2001-08-02 00:00:00' - CASE WHEN status = 'accepted' THEN to_days(14) ELSE to_days(30) END) AS cooling FROM proposals GROUP BY 1, 2)
 SELECT * FROM (SELECT coalesce(f.tenant_id, p.tenant_id) AS tenant_id, coalesce(f.key, p.key) AS key,
@@ -261,16 +264,14 @@ SELECT * FROM (SELECT coalesce(f.tenant_id, p.tenant_id) AS tenant_id, coalesce(
 FROM f FULL OUTER JOIN p ON p.tenant_id = f.tenant_id AND p.key = f.key) WHERE action IS NOT NULL""",
 )
 def r17(h):
-    rules = {k: fd.RULES[k] for k in ("ignored-failure", "failing-step")}
-    return fd.reconcile(fd.analyse(facts(h), LOOSE, rules), h.proposals, ts(RUNS_AS_OF)).select("tenant_id", "key", "action")
+    return fd.reconcile(fd.analyse(facts(h), LOOSE, R16_RULES), h.proposals, ts(RUNS_AS_OF)).select("tenant_id", "key", "action")
 
 
-@query("k08_severity_order", f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, key) AS place FROM ({R01} UNION ALL {R02})")
+@query("k08_severity_order", f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, key) AS place FROM ({SIX})")
 def k08(h):
     from pyspark.sql import Window as W
 
-    rules = {k: fd.RULES[k] for k in ("ignored-failure", "failing-step")}
-    f = show(fd.analyse(facts(h), LOOSE, rules))
+    f = show(fd.analyse(facts(h), LOOSE, R16_RULES))
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in {"high": 0, "medium": 1, "low": 2, "info": 3}.items() for x in kv]), F.col("severity"))
     return f.withColumn("place", F.row_number().over(W.partitionBy("tenant_id").orderBy(rank, F.collate("key", "UNICODE"))))
 

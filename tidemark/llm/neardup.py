@@ -8,8 +8,8 @@
    band are candidates.  A pair at the threshold misses all bands with a probability of 3e-6.
 3. Inside a band nothing is paired with everything: each class meets the *hub* of its band.  The
    similarity is estimated from both sketches by maximum likelihood, then pairs that are not
-   clearly too far are verified on the whole sets, and linked classes become components.  Other
-   hubs follow in a second round for bands that still hold several components.
+   clearly too far are verified on the whole sets, and linked classes become components.  The hub
+   leaves its band; bands that still hold several components get another hub in a second round.
 4. Bands that still do are settled exactly: their classes meet on their rarest shingles (two sets
    above the threshold must share one of the rarest n - ceil(t n) + 1), only across components.
 
@@ -118,45 +118,46 @@ def _each(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def sketch_table(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, k`` (hash of the text), ``size`` of the set, ``s1, s2`` (hashes of the set) and ``bands``."""
+    """``doc_id, k`` (hash of the text), ``size`` of the set, ``s1, s2`` (hashes of the set), ``bands`` and ``registers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, bands = [], [], [], []
+            sizes, one, two, bands, kept = [], [], [], [], []
             for s, counts in _each(batch.column(2), n):
                 ends = np.cumsum(counts)
                 for out, h in ((one, mix(s + np.uint64(5))), (two, mix(s ^ np.uint64(0xABCDEF)))):
                     sums = np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])
                     out.append(mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64))
                 sizes.append(counts)
-                bands.append(bands_of(sketches(s, counts)))
+                registers = sketches(s, counts)
+                bands.append(bands_of(registers))
+                kept += [r.tobytes() for r in registers]
             flat = np.concatenate(bands) if bands else np.zeros((0, BANDS), np.int64)
             array = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.reshape(-1)))
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cat(sizes), cat(one), cat(two), array], ["doc_id", "k", "size", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cat(sizes), cat(one), cat(two), array, pa.array(kept, pa.binary())], ["doc_id", "k", "size", "s1", "s2", "bands", "registers"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("k"), "text")
-    return rows.mapInArrow(run, "doc_id long, k long, size long, s1 long, s2 long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, k long, size long, s1 long, s2 long, bands array<long>, registers binary")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Sets and registers of the documents ``wanted(node, k)``: ``node, size, registers, shingles``."""
+    """Sets of the classes ``wanted(node, low, k)``, read from the document ``low``: ``node, size, shingles``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for s, counts in _each(batch.column(1), n):
-                regs = sketches(s, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.array(counts), pa.array([r.tobytes() for r in regs], pa.binary()), lists], ["node", "size", "registers", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.array(counts), lists], ["node", "size", "shingles"])
                 at += len(counts)
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), F.xxhash64("text").alias("k"), "text")
-    return texts.join(wanted, ["node", "k"], "left_semi").select("node", "text").mapInArrow(run, "node long, size long, registers binary, shingles array<long>").dropDuplicates(["node"])
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("low"), F.xxhash64("text").alias("k"), "text")
+    return texts.join(wanted, ["low", "k"]).select("node", "text").mapInArrow(run, "node long, size long, shingles array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough: estimated from registers first, then compared whole."""
+def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` that are not clearly too far by the estimate from their registers."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,25 +165,38 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 k1, k2 = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : BANDS * BAND] for i in (2, 3))
                 n1, n2 = (part.column(i).to_numpy().astype(float) for i in (4, 5))
-                keep = likely_similarity(k1, k2, n1, n2) >= threshold - MARGIN
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], ["a", "b"])
+                keep = pa.array(likely_similarity(k1, k2, n1, n2) >= threshold - MARGIN)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     per_cent = round(threshold * 100)
-    small = sets.select("node", "size", "registers")
+    small = classes.select("node", "size", "registers")
     x, y = small.toDF("a", "na", "ra"), small.toDF("b", "nb", "rb")
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.col("na") > 0)
-    likely = pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(estimate, "a long, b long")
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent
+    return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(estimate, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets are similar enough."""
+    per_cent = round(threshold * 100)
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return likely.join(x, "a").join(y, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * per_cent).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * per_cent).select("a", "b")
 
 
-def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """Each node with the hub of every band it shares; ``members(band, node, component)``."""
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _hubs(members: DataFrame, seed: int) -> DataFrame:
+    """One member of each band: ``band, hub, of`` (its component)."""
     rank = F.struct(F.xxhash64("node", F.lit(seed)).alias("r"), F.col("node").alias("node"), F.col("component").alias("component"))
-    hubs = members.groupBy("band").agg(F.min(rank).alias("hub"))
-    pairs = members.join(hubs, "band").where("component <> hub.component")
-    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    return members.groupBy("band").agg(F.min(rank).alias("m")).select("band", F.col("m.node").alias("hub"), F.col("m.component").alias("of"))
+
+
+def _hub_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each node with the hub of every band it is in, where their components differ; ``members(band, node, component)``."""
+    pairs = members.join(hubs, "band").where("component <> of")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -202,7 +216,7 @@ def rare_token_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> D
     ranked = each.join(each.groupBy("token").count().where("count > 1"), "token", "left")  # alone: rarest, but meets nobody
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "token")))
     per_cent = round(threshold * 100)
-    prefix = F.col("size") - F.ceil(F.col("size") * per_cent / 100) + 1
+    prefix = F.col("size") - F.ceil(F.col("size") * per_cent / 100) + 1  # whole numbers: no rounding error reaches the ceiling
     first = ranked.groupBy("node", "component", "size").agg(order.alias("o")).select("node", "component", "size", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("t"))
     first = first.where("t.count > 1").select("node", "component", "size", F.col("t.token").alias("token"))
     shared = first.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
@@ -219,28 +233,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     """
     sketched = cut_lineage(sketch_table(docs, shingle), "sketches")
     classes = cut_lineage(
-        sketched.where("size > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k", "bands")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("node"), "r.k", "r.bands"), "classes"
+        sketched.where("size > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k", "size", "bands", "registers")).alias("r")).select("s1", "s2", F.col("s1").alias("node"), F.col("r.doc_id").alias("low"), "r.k", "r.size", "r.bands", "r.registers"), "classes"
     )
-    banded = classes.select("node", "k", F.posexplode("bands").alias("no", "h")).select("node", "k", F.xxhash64("no", "h").alias("band"))
+    banded = classes.select("node", F.posexplode("bands").alias("no", "h")).select("node", F.xxhash64("no", "h").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    met = cut_lineage(banded.join(shared, "band", "left_semi"), "bands")
-    sets = cut_lineage(set_table(docs, met.select("node", "k").distinct(), shingle), "sets")
-    members = met.select("band", "node", F.col("node").alias("component"))
+    members = cut_lineage(banded.join(shared, "band", "left_semi").withColumn("component", F.col("node")), "bands")
     # an id that stands for texts of several classes ties those together
     of_id = sketched.where("size > 0").select("doc_id", "s1", "s2").distinct().join(classes.select("s1", "s2", "node"), ["s1", "s2"])
     ties = of_id.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1).select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
     links = [cut_lineage(ties, "links")]
-    for pairs_of in (lambda m: _hub_pairs(m, 1), lambda m: _hub_pairs(m, 2), lambda m: rare_token_pairs(m, sets, threshold)):
-        links.append(cut_lineage(verified(pairs_of(members), sets, threshold), "links"))
+    source = classes.select("node", "low", "k")
+    for seed in (1, 2, 0):
+        if seed:
+            hubs = cut_lineage(_hubs(members, seed), "hubs")
+            pairs = cut_lineage(likely(_hub_pairs(members, hubs), classes, threshold), "likely")
+            # a hub has met everyone in its band
+            members = members.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
+        else:
+            rest = cut_lineage(set_table(docs, members.select("node").distinct().join(source, "node"), shingle), "sets")
+            pairs = cut_lineage(likely(rare_token_pairs(members, rest, threshold), classes, threshold), "likely")
+        sets = cut_lineage(set_table(docs, _nodes(pairs).join(source, "node"), shingle), "sets")
+        links.append(cut_lineage(verified(pairs, sets, threshold), "links"))
         found = components(_union(links))
         members = cut_lineage(_several(_labelled(members, found)), "bands")
         if members.isEmpty():
             break
-    by_class = classes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    by_class = classes.select("s1", "s2", "node", "low").join(found, "node", "left").select("s1", "s2", "low", F.coalesce("component", "node").alias("component"))
+    least = by_class.groupBy("component").agg(F.min("low").alias("least"))
+    by_class = by_class.join(least, "component").select("s1", "s2", "least")
     out = sketched.select("doc_id", "k", "size", "s1", "s2").join(by_class, ["s1", "s2"], "left")
-    component = F.coalesce("component", "doc_id")
-    real = F.when(component != NO_ID, component)
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "k", F.col("size").alias("n_shingles"), real.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    least = F.coalesce("least", "doc_id")
+    return out.select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "k", F.col("size").alias("n_shingles"),
+        F.when(least != NO_ID, least).alias("component_id"), (least == F.col("doc_id")).alias("kept"),
+    )
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

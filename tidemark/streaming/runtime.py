@@ -45,6 +45,17 @@ def run_available(stream: DataFrame, purpose: str, mode: str = "append", timeout
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
 
 
+def run_each(stream: DataFrame, purpose: str, make: Callable[[str], Callable[[DataFrame, int], None]]) -> str:
+    """Run a ``foreachBatch`` function over everything the source holds now; returns its folder in the shared one.
+
+    ``make(folder)`` builds the function.
+    """
+    base = shared_dir(stream.sparkSession, purpose)
+    query = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(make(base)).start()
+    query.awaitTermination()
+    return base
+
+
 def _batch_writer(out: str) -> Callable[[DataFrame, int], None]:
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")

@@ -86,6 +86,19 @@ def s09(h):
     return xt.apply_once(e.where("event_type <> 'error'").select(*cols), e.where("event_type = 'error'").select("idempotency_key"))
 
 
+@query(
+    "s09_once_stream",
+    """SELECT idempotency_key, seq, value FROM (SELECT user_id || '/' || json_extract_string(props, '$.k') AS idempotency_key, seq, value, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY seq) AS rn FROM hist_events) e WHERE rn = 1""",
+)
+def s09s(h):
+    from tidemark.streaming import runtime as rt
+    from workload.streams import stream
+
+    e = stream(h).withColumn("idempotency_key", F.concat_ws("/", "user_id", F.get_json_object("props", "$.k"))).select("idempotency_key", "seq", "value")
+    base = rt.run_each(e, "once", lambda at: xt.once_writer(f"{at}/table", f"{at}/keys"))
+    return h.spark.read.schema(f"{e.schema.toDDL()}, batch bigint").parquet(f"{base}/table").drop("batch")
+
+
 @query("s10_list_files")
 def s10(h):
     return xt.list_files(h.spark, h.dir, glob="*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "type", "size")

@@ -183,6 +183,19 @@ def t10(h):
     return al.transitions(now, open_, at).select("tenant_id", "key", "event", "open_for_ms")
 
 
+@query("t10_alert_lifecycle_stream", "SELECT DISTINCT tenant_id, 'k' || (user_id % 40) AS key, 'raised' AS event FROM hist_events WHERE event_type = 'error'")
+def t10s(h):
+    e = stream(h).where("event_type = 'error'").select("tenant_id", F.expr("concat('k', user_id % 40)").alias("key"))
+
+    def evaluate(batch):
+        found = batch.distinct().select("tenant_id", "key", *[F.lit(x).alias(x) for x in ("severity", "title", "message")])
+        return found, ts("2024-02-01 00:00:00"), True
+
+    base = rt.run_each(e, "alerts", lambda at: so.alert_lifecycle(evaluate, f"{at}/alerts"))
+    done = h.spark.read.schema("tenant_id string, key string, event string, batch bigint").parquet(f"{base}/alerts")
+    return rt.newest_per_key(done, ["tenant_id", "key"])
+
+
 @query("t11_fan_out_stream", "SELECT e.seq, h.hook_id, e.type FROM hist_events e JOIN hooks h ON h.tenant_id = e.tenant_id AND list_contains(h.events, e.type) WHERE e.seq > 500")
 def t11(h):
     e = stream(h).select("seq", "tenant_id", "ts", "type")
@@ -269,23 +282,33 @@ def t15(h):
     return sf.lockouts(l, rows_per_chunk=100_000).select("seq", "failures", "locked", "locked_until_ms")
 
 
-@query(
-    "t16_canary_stream",
-    """WITH r AS (SELECT tenant_id, 'wf' || (user_id % 4) AS wf, seq, event_type, row_number() OVER (PARTITION BY tenant_id, user_id % 4 ORDER BY ts DESC, seq DESC) AS rn FROM hist_events)
+CANARY = """WITH r AS (SELECT tenant_id, 'wf' || (user_id % 4) AS wf, seq, event_type, row_number() OVER (PARTITION BY tenant_id, user_id % 4 ORDER BY ts DESC, seq DESC) AS rn FROM hist_events)
 SELECT tenant_id, wf AS workflow_name, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failed, count(*) >= 5 AND count(*) FILTER (event_type = 'error') / count(*)::DOUBLE > 0.3 AS roll_back
-FROM r WHERE rn <= 100 AND event_type IN ('error','purchase') AND seq % 2 = 0 GROUP BY 1, 2""",
-)
-def t16(h):
-    e = stream(h)
-    runs = e.select(
+FROM r WHERE rn <= 100 AND event_type IN ('error','purchase') AND seq % 2 = 0 GROUP BY 1, 2"""
+
+
+def canary_runs(e):
+    return e.select(
         "tenant_id", F.expr("concat('wf', user_id % 4)").alias("workflow_name"), F.lpad(C("seq").cast("string"), 12, "0").alias("id"),
         F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'running' END").alias("status"),
         (C("seq") % 2 == 0).alias("canary"), F.lit("2.0.0").alias("workflow_version"), C("ts").alias("created_at"))
-    history = rt.run_available(runs, "canary")
+
+
+@query("t16_canary_stream", CANARY)
+def t16(h):
+    history = rt.run_available(canary_runs(stream(h)), "canary")
     settings = history.select("tenant_id", C("workflow_name").alias("name")).distinct().withColumn("canary_version", F.lit("2.0.0")).withColumn("canary_percent", F.lit(10))
     return rk.canary_verdicts(history, settings).drop("canary_version")
 
 
+@query("t16_canary_watch", CANARY)
+def t16w(h):
+    settings = canary_runs(h.events).select("tenant_id", C("workflow_name").alias("name")).distinct().withColumn("canary_version", F.lit("2.0.0")).withColumn("canary_percent", F.lit(10))
+    base = rt.run_each(canary_runs(stream(h)), "canary-watch", lambda at: so.canary_watch(f"{at}/history", settings, f"{at}/verdicts"))
+    told = h.spark.read.parquet(f"{base}/verdicts")
+    return told.where(C("batch") == told.agg(F.max("batch")).first()[0]).drop("batch", "canary_version")
+
+
 @query("s05_tail_events", "SELECT seq, type FROM hist_events WHERE tenant_id = 't2' AND seq > 300")
 def s05(h):
     e = stream(h).select("seq", "tenant_id", "ts", "type", "run_id")

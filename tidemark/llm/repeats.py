@@ -95,15 +95,19 @@ def repeated_windows(docs: DataFrame, units_of: UnitsOf, resolve: Callable[[Data
 
 
 def with_speakers(texts: DataFrame, speakers: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(text_bytes, units)`` for each text that has speakers; ``units`` are dicts of their columns, results Arrow batches."""
-    by_text = speakers.groupBy(*ROW).agg(F.collect_list(F.struct(*KEYS, "first", "last")).alias("units"))
+    """``run(text_bytes, u, hull, first, last, base)`` for each text that has speakers, with arrays of their columns; yields Arrow batches.
+
+    ``base`` (0 if absent) is what ``first`` lies behind the first window of the unit.
+    """
+    base = F.col("base") if "base" in speakers.columns else F.lit(0).cast("long").alias("base")
+    by_text = speakers.groupBy(*ROW).agg(F.collect_list(F.struct(*KEYS, "first", "last", base)).alias("units"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 units = batch.column(1).slice(i, 1).flatten()
                 buf, _ = text_buffer(batch.column(0).slice(i, 1))
-                yield from run(buf, *(units.field(f).to_numpy() for f in (*KEYS, "first", "last")))
+                yield from run(buf, *(units.field(f).to_numpy() for f in (*KEYS, "first", "last", "base")))
 
     return texts.join(by_text, ROW).select("text", "units").mapInArrow(each, schema)
 

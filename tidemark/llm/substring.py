@@ -141,7 +141,7 @@ def word_units(buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW, round
 def repeated_word_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, k, ranges`` of word positions at which windows start whose words also start a window elsewhere."""
 
-    def windows_of(buf: np.ndarray, u, hull, first, last) -> Iterator[pa.RecordBatch]:
+    def windows_of(buf: np.ndarray, u, hull, first, last, base) -> Iterator[pa.RecordBatch]:
         _, _, h, _ = words(buf, np.array([0, len(buf)]))
         prefix = Prefix(h)
         n = last - first + 1
@@ -149,7 +149,7 @@ def repeated_word_windows(docs: DataFrame, window: int = WINDOW, rounds: int = R
         at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         start = first[own] + at
         hashes = prefix.of(start, start + window)
-        yield pa.RecordBatch.from_arrays([pa.array(u[own]), pa.array(hull[own]), pa.array(at), pa.array(hashes.view(np.int64))], ["u", "hull", "at", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(u[own]), pa.array(hull[own]), pa.array(base[own] + at), pa.array(hashes.view(np.int64))], ["u", "hull", "at", "h"])
 
     def resolve(texts: DataFrame, speakers: DataFrame) -> DataFrame:
         return repeated_hashes(with_speakers(texts, speakers, windows_of, "u long, hull long, at long, h long"))

@@ -13,8 +13,9 @@ of a bucket then compare by the ranks of their first and their last covered plac
 everything but up to 31 bytes at either end, compared directly.  Memory is that of the block's
 text and its cover.
 
-A bucket of very many contents would not fit a block: its windows are compared by 128-bit
-fingerprints of whole windows, counted by Spark.  That is exact in the same sense.
+A bucket of very many contents would not fit a block.  Its contents are cut into parts of 16
+windows and counted by what all windows of a part hold; only parts that share this, but not
+everything, are compared window by window, by 128-bit fingerprints that Spark counts.
 
 Defined cases: a null text is empty; texts shorter than 400 bytes keep everything; strings never
 span texts; rows that repeat are texts of their own; runs of one byte and very long texts are
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SUB_BATCH, Prefix, mix, seeded
-from tidemark.llm.repeats import KEYS, Units, covered, digest, repeated_hashes, repeated_windows, with_speakers
+from tidemark.llm.repeats import KEYS, ROW, Units, covered, digest, repeated_hashes, repeated_windows, with_speakers
+from tidemark.session import cut_lineage
 
 LENGTH = 400
 GRAM = 64  # bytes of the fingerprint that names a bucket
@@ -40,6 +42,7 @@ MODULUS = 32
 REACH = 256  # bytes that a cover rank tells apart
 BLOCK_BYTES = 4 << 20
 MOST_CONTENTS = 2_000  # contents of a bucket that are sorted in one block
+PART = 16  # windows of a part
 _BYTE = seeded(256, 606)
 _MIX = seeded(4, 707)
 
@@ -209,21 +212,34 @@ def repeated_byte_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     if length < REACH + 2 * MODULUS:
         raise ValueError(f"length must be at least {REACH + 2 * MODULUS}")
 
-    def contents_of(buf: np.ndarray, u, hull, first, last) -> Iterator[pa.RecordBatch]:
-        raw, shift = buf.tobytes(), np.zeros(len(u), np.int64)
+    def shifts_of(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How far behind its first window the anchor of each unit lies, found as in ``anchors``."""
         at = np.arange(length - gram + 1)
-        for i, f in enumerate(first):
-            h = Prefix(_BYTE[buf[f : f + length]]).of(at, at + gram)
-            shift[i] = np.argmin(h >> np.uint64(22))  # the anchor, found as in ``anchors``
+        return np.array([np.argmin(Prefix(_BYTE[buf[f : f + length]]).of(at, at + gram) >> np.uint64(22)) for f in first], np.int64)
+
+    def contents_of(buf: np.ndarray, u, hull, first, last, base) -> Iterator[pa.RecordBatch]:
+        raw, shift = buf.tobytes(), shifts_of(buf, first)
         contents = pa.array([raw[f : e + length] for f, e in zip(first, last)], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(hull), pa.array(shift), contents], [*KEYS, "shift", "content"])
 
-    def windows_of(buf: np.ndarray, u, hull, first, last) -> Iterator[pa.RecordBatch]:
+    def parts_of(buf: np.ndarray, u, hull, first, last, base) -> Iterator[pa.RecordBatch]:
+        """Units in parts of neighbouring windows, cut at fixed distances from the anchor: what all windows of a part hold, and what any does."""
+        prefix, anchor = Prefix(_BYTE[buf]), first + shifts_of(buf, first)
+        low, high = (first - anchor) // PART, (last - anchor) // PART
+        own = np.repeat(np.arange(len(u)), high - low + 1)
+        begin = anchor[own] + PART * (low[own] + np.arange(len(own)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1))
+        a, b = np.maximum(first[own], begin), np.minimum(last[own], begin + PART - 1)
+        core = mix(prefix.of(begin + PART - 1, begin + length) + (begin - anchor[own]).astype(np.uint64) * _MIX[3] + u[own].view(np.uint64))
+        whole = mix(prefix.of(a, b + length) + (a - begin).astype(np.uint64) * _MIX[0] + (b - a).astype(np.uint64) * _MIX[1])
+        columns = (u[own], hull[own], a - first[own], b - first[own], core.view(np.int64), whole.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*KEYS, "a", "b", "core", "whole"])
+
+    def windows_of(buf: np.ndarray, u, hull, first, last, base) -> Iterator[pa.RecordBatch]:
         prefix, second = Prefix(_BYTE[buf]), Prefix(mix(_BYTE[buf] ^ _MIX[2]))
         for i, (f, e) in enumerate(zip(first, last)):
             at = np.arange(f, e + 1)
             h = [hashlib.blake2b(a.tobytes() + b.tobytes(), digest_size=16).digest() for a, b in zip(prefix.of(at, at + length), second.of(at, at + length))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), u[i])), pa.array(np.full(len(at), hull[i])), pa.array(at - f), pa.array(h, pa.binary())], [*KEYS, "at", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), u[i])), pa.array(np.full(len(at), hull[i])), pa.array(base[i] + at - f), pa.array(h, pa.binary())], [*KEYS, "at", "h"])
 
     def sort_block(rows: pa.Table) -> pa.Table:
         u, hull, shift = (rows.column(c).to_numpy() for c in (*KEYS, "shift"))
@@ -241,7 +257,15 @@ def repeated_byte_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         sorted_ = contents.groupBy("block").applyInArrow(sort_block, "u long, hull long, a long, b long")
         if many.isEmpty():
             return sorted_
-        return sorted_.union(repeated_hashes(with_speakers(texts, many, windows_of, "u long, hull long, at long, h binary")))
+        # many contents: first in parts, then window by window where parts share what all their windows hold
+        parts = cut_lineage(with_speakers(texts, many, parts_of, "u long, hull long, a long, b long, core long, whole long"), "parts")
+        same = parts.groupBy("core", "whole").agg(F.count("*").alias("n"))
+        shared = same.groupBy("core").agg(F.sum("n").alias("t"), F.count("*").alias("wholes")).where("t > 1").select("core", "wholes")
+        parts = cut_lineage(parts.join(same.join(shared, "core"), ["core", "whole"]), "parts")
+        rest = parts.where("wholes > 1").select(*KEYS, "a", "b").join(many, KEYS)
+        rest = rest.select(*KEYS, *ROW, (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"), F.col("a").alias("base"))
+        alike = repeated_hashes(with_speakers(texts, rest, windows_of, "u long, hull long, at long, h binary"))
+        return sorted_.union(parts.where("n > 1").select(*KEYS, "a", "b")).union(alike)
 
     return repeated_windows(docs, lambda b, o: byte_units(b, o, length, gram), resolve)
 

@@ -9,6 +9,8 @@ level, with every round's result written to the shared folder.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,6 @@ PLAN = ["tenant_id", "plan_hash"]
 # Platform limits of one definition
 MAX_MAP_ITEMS = 100_000
 MAX_INVOCATIONS = 250_000
-MAX_DEPTH_ROUNDS = 200
 
 
 def sensitivity_rank(level: Column) -> Column:
@@ -178,7 +179,7 @@ def _peel(plan_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = waiting.select(*PLAN, "step_id").unionByName(waiting.select(*PLAN, C("depends_on").alias("step_id"))).distinct()
     ready = steps.join(waiting.select(*PLAN, "step_id").distinct(), [*PLAN, "step_id"], "left_anti").withColumn("depth", F.lit(1))
     done, n = ready, waiting.count()
-    for level in range(2, MAX_DEPTH_ROUNDS + 2):
+    for level in count(2):  # ends when a round releases nothing
         # an edge is released once the step it depends on has a depth
         freed = ready.select(*PLAN, C("step_id").alias("depends_on"))
         left = cut_lineage(waiting.join(freed, [*PLAN, "depends_on"], "left_anti"), "edges")
@@ -188,9 +189,10 @@ def _peel(plan_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         held = left.select(*PLAN, "step_id").distinct()
         ready = waiting.select(*PLAN, "step_id").distinct().join(held, [*PLAN, "step_id"], "left_anti").withColumn("depth", F.lit(level))
         done, waiting, n = done.unionByName(ready), left, now
+        if level % 20 == 0:  # keeps the plan of a long chain short
+            done, ready = cut_lineage(done, "depths"), cut_lineage(ready, "ready")
         if n == 0:
             return done, left
-    raise ValueError(f"a dependency chain is longer than {MAX_DEPTH_ROUNDS}")
 
 
 def longest_chains(plan_steps: DataFrame, plan_edges: DataFrame) -> DataFrame:
@@ -228,11 +230,57 @@ def _doubled(plan_edges: DataFrame) -> DataFrame:
         n = now
 
 
+def _row_spread(steps: Column, deps: Column, names: Column, ranks: Column) -> Column:
+    """The highest rank that reaches each step of one plan: every edge is walked once, highest ranks first."""
+    @F.pandas_udf("step array<string>, read array<int>")
+    def run(s: pd.Series, d: pd.Series, n: pd.Series, r: pd.Series) -> pd.DataFrame:
+        left, right = [], []
+        for a, b, own, rank in zip(s, d, n, r):
+            readers: dict[str, list[str]] = {}
+            for x, y in zip(a, b):
+                readers.setdefault(y, []).append(x)
+            read: dict[str, int] = {}
+            for level, name in sorted(((int(k), x) for x, k in zip(own, rank)), reverse=True):
+                todo = [name]
+                while todo:
+                    for x in readers.get(todo.pop(), ()):
+                        if x not in read:
+                            read[x] = level
+                            todo.append(x)
+            left.append(list(read))
+            right.append(list(read.values()))
+        return pd.DataFrame({"step": left, "read": right})
+
+    return run(steps, deps, names, ranks)
+
+
+def _spread(ranks: DataFrame, references: DataFrame) -> DataFrame:
+    """The same for oversized plans, level by level: only steps whose rank has risen pass it on."""
+    edges = cut_lineage(references.select(*PLAN, "step_id", "depends_on").distinct(), "edges")
+    best = None
+    front = ranks.join(edges.select(*PLAN).distinct(), PLAN, "left_semi")
+    while True:
+        given = front.select(*PLAN, C("step_id").alias("depends_on"), "read")
+        next_ = edges.join(given, [*PLAN, "depends_on"]).groupBy(*PLAN, "step_id").agg(F.max("read").alias("read"))
+        if best is None:
+            best = front = cut_lineage(next_, "spread")
+        else:
+            risen = next_.join(best.withColumnRenamed("read", "had"), [*PLAN, "step_id"], "left").where("had IS NULL OR read > had")
+            front = cut_lineage(risen.select(*PLAN, "step_id", "read"), "spread")
+            best = cut_lineage(best.unionByName(front).groupBy(*PLAN, "step_id").agg(F.max("read").alias("read")), "spread")
+        if front.isEmpty():
+            return best
+
+
 def propagate_sensitivity(plan_steps: DataFrame, references: DataFrame) -> DataFrame:
     """Effective sensitivity: the highest of the step's own and everything it reads, directly or through others."""
     own = plan_steps.select(*PLAN, "step_id", sensitivity_rank(F.coalesce("sensitivity", F.lit("internal"))).alias("own"))
-    up = transitive_dependencies(references).join(own.withColumnRenamed("step_id", "depends_on").withColumnRenamed("own", "read"), [*PLAN, "depends_on"])
-    most = up.groupBy(*PLAN, "step_id").agg(F.max("read").alias("read"))
+    rows, rest = _split(references)
+    known = own.groupBy(*PLAN).agg(F.collect_list("step_id").alias("names"), F.collect_list("own").alias("ranks"))
+    spread = rows.join(known, PLAN).select(*PLAN, _row_spread(C("steps"), C("deps"), C("names"), C("ranks")).alias("g"))
+    most = spread.select(*PLAN, F.explode(F.arrays_zip("g.step", "g.read")).alias("p")).select(*PLAN, C("p.step").alias("step_id"), C("p.read").alias("read"))
+    if rest is not None:
+        most = most.unionByName(_spread(own.withColumnRenamed("own", "read"), rest))
     j = own.join(most, [*PLAN, "step_id"], "left")
     return j.select(*PLAN, "step_id", sensitivity_name(F.greatest("own", F.coalesce("read", "own"))).alias("sensitivity"))
 

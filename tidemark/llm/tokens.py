@@ -35,21 +35,22 @@ CHUNK = 1 << 18  # ids gathered into one chunk, unless one document has more
 BLOCK = 1 << 16  # ids shuffled together
 CACHE = 600_000  # pieces of text whose ids a worker remembers
 
-SPACE = "\u0120"  # how byte-level vocabularies write a space
+OPENS = ("\u0120", "\u010a")  # how byte-level vocabularies write a space and a line end
 
 CHUNKS = (
     "shard long, chunk long, doc_ids array<long>, doc_tokens array<long>, block_ids array<int>, "
     "block_width array<int>, plane_bytes array<int>, payload binary"
 )
-_AWKWARD = re.compile(r"\s ")
+_AWKWARD = re.compile(r"\s[ \n]")
+_MARKS = ".,;:!?"
 
 
 class Encoder:
     """Ids of whole texts by the tokenizer file at ``path``.
 
-    In this kind of tokenizer a space that follows a non-space always begins a new piece, and
-    pieces are encoded apart; so the ids of each space-separated part are looked up once and
-    joined.  Texts for which that does not hold go through the library whole.
+    In this kind of tokenizer a space or line end that follows something else always begins a new
+    piece, and pieces are encoded apart; so the ids of each part that begins there are looked up
+    and joined.  Texts for which that does not hold go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -61,9 +62,10 @@ class Encoder:
         self.by_parts = self.tokenizer.normalizer is None and b'"ByteLevel"' in spec and b'"use_regex":true' in spec.replace(b" ", b"") and b'"add_prefix_space":false' in spec.replace(b" ", b"")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(OPENS)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,28 +78,38 @@ class Encoder:
             out[i] = ids
         if len(self.parts) > CACHE:
             self.parts.clear()
-        rest = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
+        rest = [(i, t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if out[i] is None]
         heads = self._ids([p[0] for _, p in rest])
         known = self.parts
         found = [list(map(known.get, p[1:])) for _, p in rest]
         new = {x for (_, p), f in zip(rest, found) if None in f for x, ids in zip(p[1:], f) if ids is None}
         if new:
-            known.update(self._parts(list(new)))
+            self._learn(new)
         for (i, p), head, f in zip(rest, heads, found):
             out[i] = head + b"".join(map(known.__getitem__, p[1:]) if None in f else f)
         return out
 
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of parts that follow a space, or begin with a line end.  A mark after letters only is a piece of its own."""
+        known = self.parts
+        marked = [x for x in parts if x[-1:] in self.marks and x[:-1].isalpha()]
+        plain = parts.difference(marked)
+        plain.update([x[:-1] for x in marked if x[:-1] not in known])
+        known.update(self._parts(list(plain)))
+        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in marked])
+
     def _parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of parts that each follow a space.  Many are encoded as one text and cut where a space begins a token."""
+        """Many parts are encoded as one text, which is cut where a space or line end begins a token."""
+        text = lambda x: x if x[:1] == "\n" else " " + x
         plain = [x for x in parts if x and not x[-1].isspace()]
         odd = [x for x in parts if not x or x[-1].isspace()]
-        yield from zip(odd, self._ids([" " + x for x in odd]))
+        yield from zip(odd, self._ids(list(map(text, odd))))
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
-            ids = np.frombuffer(self._ids(["".join([" " + x for x in some])])[0], "<u4")
+            ids = np.frombuffer(self._ids(["".join(map(text, some))])[0], "<u4")
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(some):
-                yield from zip(some, self._ids([" " + x for x in some]))
+                yield from zip(some, self._ids(list(map(text, some))))
                 continue
             raw, ends = ids.tobytes(), (np.append(cuts[1:], len(ids)) * 4).tolist()
             yield from zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)])

@@ -10,7 +10,7 @@ SENSITIVE_KEY = (
     r"|private[-_]?key|bearer|signature|client[-_]?secret|connection[-_]?string|dsn)"
 )
 
-# Credential shapes, and whether case is ignored
+# Credential shapes, and whether case is ignored; token shapes of a single product are left out
 SECRETS = [
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", False),
     (r"\b(?:Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{8,}", False),
@@ -20,7 +20,6 @@ SECRETS = [
     (r"\bsk-[A-Za-z0-9_-]{20,}\b", False),
     (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", False),
     (r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp):\/\/[^\s:@/]+:[^\s@/]+@\S+", True),
-    (r"\bomf_[A-Za-z0-9]{6,}_[A-Za-z0-9_-]{20,}\b", False),
 ]
 
 # Literal parts a text must contain before a credential pattern can match: every group needs one hit.
@@ -33,7 +32,6 @@ SECRET_HINTS = [
     [["sk-"]],
     [["eyJ"]],
     [["://"], ["@"]],
-    [["omf_"]],
 ]
 
 # Characters removed from text, as code point ranges

@@ -422,7 +422,9 @@ def test_empty_tables(spark):
     assert none.columns == ["query_id", "rank", "vec_id", "score"] and none.count() == 0
 
 
-def test_words_split_as_documented(corpus):
+@pytest.mark.parametrize("long", [1 << 22, 100])
+def test_words_split_as_documented(corpus, monkeypatch, long):
+    monkeypatch.setattr(common, "LONG", long)
     raw = [(t or "").encode() for t in corpus]
     buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     starts, ends, hashes, first = common.words(buf, offsets)

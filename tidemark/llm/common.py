@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SUB_BATCH = 1 << 20  # bytes of text that one numpy pass works on
+LONG = 4 << 20  # a longer text is taken apart between words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +116,30 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if n > LONG:
+        parts = []
+        for lo, hi in _between_words(buf):
+            s, e, h, _ = _words(buf[lo:hi], np.clip(offsets - lo, 0, hi - lo), lower)
+            parts.append((s + lo, e + lo, h))
+        starts, ends, hashes = (np.concatenate(x) for x in zip(*parts))
+        return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return _words(buf, offsets, lower)
+
+
+def _between_words(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A long text in pieces that end before a separator (or with the text)."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi = min(n, lo + LONG)
+        while hi < n and not _SEP[buf[hi]]:
+            gap = np.flatnonzero(_SEP[buf[hi : hi + LONG]])
+            hi = min(n, hi + (int(gap[0]) if len(gap) else LONG))
+        yield lo, hi
+        lo = hi
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(buf)
     inside = ~_SEP[buf]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -137,7 +162,3 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     place[~inside] = 0
     h = np.add.reduceat(_BYTE[src] * cached_powers(longest + 1)[place], starts - starts[0], dtype=np.uint64)
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * BASE), first
-
-
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)

@@ -8,8 +8,9 @@
    band are candidates.  A pair at the threshold misses all bands with a probability of 3e-6.
 3. Inside a band nothing is paired with everything: each class meets the *hub* of its band.  The
    similarity is estimated from both sketches by maximum likelihood, then pairs that are not
-   clearly too far are verified on the whole sets, and linked classes become components.  The hub
-   leaves its band; bands that still hold several components get another hub in a second round.
+   clearly too far are verified on the whole sets, and linked classes become components.  A few
+   bands suffice to join most of a large group, and bands inside one component are left out after;
+   hubs leave their bands, and what still holds several components gets further hubs.
 4. Bands that still do are settled exactly: their classes meet on their rarest shingles (two sets
    above the threshold must share one of the rarest n - ceil(t n) + 1), only across components.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, seeded, slices, text_buffer, words
@@ -38,6 +39,7 @@ BANDS = REGISTERS // BAND
 LOG_BASE = float(np.log(1.02))
 RATE = 20.0
 MARGIN = 0.2  # a pair whose estimate lies further than this below the threshold is not verified: six standard errors
+HUB_ROUNDS = ((4, 1), (BANDS, 1), (BANDS, 4), (BANDS, 0))  # bands used and hubs of each; 0 hubs: the exact end
 NO_ID = -(1 << 63)
 
 _A, _B = seeded(2, 101)
@@ -187,14 +189,15 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _hubs(members: DataFrame, seed: int) -> DataFrame:
-    """One member of each band: ``band, hub, of`` (its component)."""
-    rank = F.struct(F.xxhash64("node", F.lit(seed)).alias("r"), F.col("node").alias("node"), F.col("component").alias("component"))
-    return members.groupBy("band").agg(F.min(rank).alias("m")).select("band", F.col("m.node").alias("hub"), F.col("m.component").alias("of"))
+def _hubs(members: DataFrame, seed: int, n: int) -> DataFrame:
+    """The first ``n`` members of each band in a hashed order: ``band, hub, of`` (its component)."""
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(seed)), "node")
+    first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+    return first.select("band", F.col("node").alias("hub"), F.col("component").alias("of"))
 
 
 def _hub_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Each node with the hub of every band it is in, where their components differ; ``members(band, node, component)``."""
+    """Each node with the hubs of every band it is in, where their components differ; ``members(no, band, node, component)``."""
     pairs = members.join(hubs, "band").where("component <> of")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
@@ -206,7 +209,7 @@ def _several(members: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    return members.select("no", "band", "node").join(found, "node", "left").select("no", "band", "node", F.coalesce("component", "node").alias("component"))
 
 
 def rare_token_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     classes = cut_lineage(
         sketched.where("size > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k", "size", "bands", "registers")).alias("r")).select("s1", "s2", F.col("s1").alias("node"), F.col("r.doc_id").alias("low"), "r.k", "r.size", "r.bands", "r.registers"), "classes"
     )
-    banded = classes.select("node", F.posexplode("bands").alias("no", "h")).select("node", F.xxhash64("no", "h").alias("band"))
+    banded = classes.select("node", F.posexplode("bands").alias("no", "h")).select("no", "node", F.xxhash64("no", "h").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
     members = cut_lineage(banded.join(shared, "band", "left_semi").withColumn("component", F.col("node")), "bands")
     # an id that stands for texts of several classes ties those together
@@ -243,10 +246,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     ties = of_id.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1).select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
     links = [cut_lineage(ties, "links")]
     source = classes.select("node", "low", "k")
-    for seed in (1, 2, 0):
-        if seed:
-            hubs = cut_lineage(_hubs(members, seed), "hubs")
-            pairs = cut_lineage(likely(_hub_pairs(members, hubs), classes, threshold), "likely")
+    for bands, n in HUB_ROUNDS:
+        if n:
+            now = members.where(F.col("no") < bands)
+            hubs = cut_lineage(_hubs(now, bands + n, n), "hubs")
+            pairs = cut_lineage(likely(_hub_pairs(now, hubs), classes, threshold), "likely")
             # a hub has met everyone in its band
             members = members.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
         else:

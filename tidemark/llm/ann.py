@@ -11,7 +11,8 @@ vector is indexed.  Equal vectors form one entry that holds their ``k + 1`` smal
 all that any list of ``k`` neighbours can need; so a vector that a third of the rows share neither
 fills a leaf nor is lost.
 
-Neighbouring leaves form a cell of about ``CELL_ROWS`` entries for one task; a leaf that holds more
+A query's k-th best score within the sample bounds its result from below, so a task passes on only
+candidates that reach it.  Neighbouring leaves form a cell of about ``CELL_ROWS`` entries for one task; a leaf that holds more
 is split over several, so no group of vectors grows with the table.  How much a query must look at
 for a given recall depends on the data: ``share`` suits vectors without any clusters, the hardest
 case; clustered vectors need far less.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-TREES = 16
+TREES = 10
 LEAF_SAMPLE = 60  # sample points in a leaf at most
 CELL_ROWS = 8_000  # entries that one task compares at once
 SAMPLE = 20_000
-SHARE = 0.5  # of all entries that a query looks at, counted over all trees, while that is more than LEAST
+SHARE = 0.6  # of all entries that a query looks at, counted over all trees, while that is more than LEAST
 LEAST = 8_000
 
 
@@ -55,7 +56,8 @@ class Forest:
     roots: list[int]
     leaf_size: np.ndarray  # sample points of each leaf
     top: float  # largest length of a vector
-    scale: float = field(default=1.0)  # entries for each sample point
+    scale: float = 1.0  # entries for each sample point
+    sample: np.ndarray | None = None  # the sample points themselves
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -160,12 +162,20 @@ def _first(key: np.ndarray, *order: np.ndarray, n: int) -> np.ndarray:
     return rows[np.arange(len(k)) - np.searchsorted(k, k) < n]
 
 
+def _bounds(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """A score that the ``k`` best entries of each query reach for certain: the k-th best within the sample, which is part of the entries."""
+    if len(sample) < k:
+        return np.full(len(x), -np.inf)
+    best = -np.partition(-(x @ sample.T), k - 1, axis=1)[:, k - 1]
+    return best - 1e-9 * (1 + np.abs(best))  # sums in another order may differ in the last places
+
+
 def _best(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
     """The ``k`` nearest entries of each query within the leaves of a cell that it opens; scores summed from the first component on."""
     empty = pa.table({"qid": pa.array([], pa.int64()), "vid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not asked.num_rows or not held.num_rows:
         return empty
-    q, v = _matrix(asked.column("q")), _matrix(held.column("v"))
+    q, v, bound = _matrix(asked.column("q")), _matrix(held.column("v")), asked.column("bound").to_numpy()
     in_leaf = _group(held.column("leaf").to_numpy())
     spare = k + 8
     found = []
@@ -176,9 +186,8 @@ def _best(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
         for lo in range(0, len(qs), 512):
             part = qs[lo : lo + 512]
             s = q[part] @ v[vs].T
-            n = min(spare, len(vs))
-            top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            found.append((np.repeat(part, n), vs[top].reshape(-1), np.take_along_axis(s, top, 1).reshape(-1)))
+            i, j = np.nonzero(s >= bound[part][:, None])
+            found.append((part[i], vs[j], s[i, j]))
     if not found:
         return empty
     qi, vi, s = (np.concatenate(x) for x in zip(*found))
@@ -222,8 +231,8 @@ def _of_one_length(rows: DataFrame, k: int, trees: int, sample: int, share: floa
     points = np.array([r[0] for r in some.select("v").orderBy("vid").collect()])  # about ``sample`` vectors at most
     top = float(top) * (1 + 1e-12)
     forest = grow(lift(points, top), top, trees)
-    forest.scale = n / len(points)
-    wanted = max(least, share * n) if len(points) else 0
+    forest.scale, forest.sample = n / max(1, len(points)), points
+    wanted = max(least, share * n)
     shared = spark.sparkContext.broadcast(forest)  # about trees * sample / LEAF_SAMPLE planes
     expected = forest.leaf_size * forest.scale
     chunks = np.maximum(1, np.ceil(expected / CELL_ROWS)).astype(np.int64)
@@ -246,16 +255,17 @@ def _of_one_length(rows: DataFrame, k: int, trees: int, sample: int, share: floa
                 x = _matrix(part.column(1))
                 ask = np.hstack([x, np.zeros((len(x), 1))])
                 found = search(shared.value, ask, wanted)
+                bound = _bounds(x, shared.value.sample, k + 1)
                 leaf = np.array([f for fs in found for f in fs], np.int64)
                 own = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 times = chunks[leaf]
                 own, leaf_ = np.repeat(own, times), np.repeat(leaf, times)
                 chunk = np.arange(len(leaf_)) - np.repeat(np.cumsum(times) - times, times)
                 at = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[leaf_]), pa.array(chunk), pa.array(leaf_), part.column(0).take(at), part.column(1).take(at)], ["cell", "chunk", "leaf", "qid", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells[leaf_]), pa.array(chunk), pa.array(leaf_), part.column(0).take(at), part.column(1).take(at), pa.array(bound[own])], ["cell", "chunk", "leaf", "qid", "q", "bound"])
 
     index = entries.select("vid", "v").mapInArrow(place, f"cell long, chunk long, leaf long, vid long, v {kind}")
-    probes = entries.where("asked").select("vid", "v").mapInArrow(probe, f"cell long, chunk long, leaf long, qid long, q {kind}")
+    probes = entries.where("asked").select("vid", "v").mapInArrow(probe, f"cell long, chunk long, leaf long, qid long, q {kind}, bound double")
     near = probes.groupBy("cell", "chunk").cogroup(index.groupBy("cell", "chunk")).applyInArrow(lambda a, h: _best(a, h, k + 1), "qid long, vid long, score double")
     near = near.groupBy("qid", "vid").agg(F.max("score").alias("score"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))).where(F.col("r") <= k + 1)

@@ -144,7 +144,8 @@ def test_injection(spark):
 def test_redaction_of_open_json():
     deep = {"password": "x", "n": {"api_key": 5, "token": None, "list": ["Bearer abcdefgh12345", {"a": 1}]}, "constructor": 1}
     assert cj.redacted(deep) == {"password": "[REDACTED]", "n": {"api_key": 5, "token": None, "list": ["[REDACTED]", {"a": 1}]}}
-    assert cj.redacted([1] * 202)[-1] == "…[2 more items]"
+    assert cj.redacted([1] * 202) == [1] * 202
+    assert cj.redacted([1] * 202, limits=(12, 8192, 200, 200))[-1] == "…[2 more items]"
     nest = x = {}
     for _ in range(14):
         x["k"] = {}

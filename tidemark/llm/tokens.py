@@ -25,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import BASE, cached_powers, mix, seeded, slices
 from tidemark.session import shared_dir
 
 END_ID = 2
 CHUNK = 1 << 18  # ids gathered into one chunk, unless one document has more
 BLOCK = 1 << 16  # ids shuffled together
-CACHE = 600_000  # pieces of text whose ids a worker remembers
+CACHE = 1_000_000  # parts of texts whose ids a worker remembers
+BATCH = 2 << 20  # bytes of text encoded together
 
 OPENS = ("\u0120", "\u010a")  # how byte-level vocabularies write a space and a line end
 
@@ -42,15 +45,19 @@ CHUNKS = (
     "block_width array<int>, plane_bytes array<int>, payload binary"
 )
 _AWKWARD = re.compile(r"\s[ \n]")
-_MARKS = ".,;:!?"
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_BYTE = seeded(256, 808)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizer file at ``path``.
 
     In this kind of tokenizer a space or line end that follows something else always begins a new
-    piece, and pieces are encoded apart; so the ids of each part that begins there are looked up
-    and joined.  Texts for which that does not hold go through the library whole.
+    piece, and pieces are encoded apart.  So texts are cut there; the distinct parts of a batch are
+    found by 64-bit hashes, the ids of each are looked up or learned once, and the ids of all parts
+    are gathered.  Texts for which that does not hold go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -59,60 +66,88 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer is not None else b""
-        self.by_parts = self.tokenizer.normalizer is None and b'"ByteLevel"' in spec and b'"use_regex":true' in spec.replace(b" ", b"") and b'"add_prefix_space":false' in spec.replace(b" ", b"")
+        spec = spec.replace(b" ", b"")
+        self.by_parts = self.tokenizer.normalizer is None and all(x in spec for x in (b'"ByteLevel"', b'"use_regex":true', b'"add_prefix_space":false'))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
-        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith(OPENS)]] = True
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}  # hash of a part: its place in the arrays below
+        self.flat, self.start, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if not self.by_parts or _AWKWARD.search(t) or any(s in t for s in self.special)]
-        out: list[bytes | None] = [None] * len(texts)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        rest = [(i, t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        heads = self._ids([p[0] for _, p in rest])
-        known = self.parts
-        found = [list(map(known.get, p[1:])) for _, p in rest]
-        new = {x for (_, p), f in zip(rest, found) if None in f for x, ids in zip(p[1:], f) if ids is None}
-        if new:
-            self._learn(new)
-        for (i, p), head, f in zip(rest, heads, found):
-            out[i] = head + b"".join(map(known.__getitem__, p[1:]) if None in f else f)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._by_parts([texts[i].encode() for i in rest])):
+            out[i] = ids
         return out
 
-    def _learn(self, parts: set[str]) -> None:
-        """Ids of parts that follow a space, or begin with a line end.  A mark after letters only is a piece of its own."""
-        known = self.parts
-        marked = [x for x in parts if x[-1:] in self.marks and x[:-1].isalpha()]
-        plain = parts.difference(marked)
-        plain.update([x[:-1] for x in marked if x[:-1] not in known])
-        known.update(self._parts(list(plain)))
-        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in marked])
-
-    def _parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Many parts are encoded as one text, which is cut where a space or line end begins a token."""
-        text = lambda x: x if x[:1] == "\n" else " " + x
-        plain = [x for x in parts if x and not x[-1].isspace()]
-        odd = [x for x in parts if not x or x[-1].isspace()]
-        yield from zip(odd, self._ids(list(map(text, odd))))
+    def _by_parts(self, texts: list[bytes]) -> list[np.ndarray]:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        raw = b"".join(texts)
+        buf = np.frombuffer(raw, np.uint8)
+        if not len(buf):
+            return [np.zeros(0, "<u4")] * len(texts)
+        cut = (buf == 32) | (buf == 10)
+        over = np.append(cut[1:], True)  # what is followed by a space, a line end or the end of a text
+        over[bounds[1:][sizes > 0] - 1] = True
+        mark = _MARK[buf] & over
+        mark[1:] &= _LETTER[buf[:-1]]
+        cut |= mark  # a mark between a letter and such an end is a piece of its own
+        cut[bounds[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(buf))
+        place = np.arange(len(buf)) - np.repeat(starts, ends - starts)
+        h = np.add.reduceat(_BYTE[buf] * cached_powers(int((ends - starts).max()))[place], starts, dtype=np.uint64)
+        h = mix(h + (ends - starts).astype(np.uint64) * BASE)
+        distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self._forget()
+        at = np.array([self.known.get(x, -1) for x in distinct.tolist()], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn([raw[a:b].decode() for a, b in zip(starts[one[missing]].tolist(), ends[one[missing]].tolist())])
+            at[missing] = len(self.count) - len(missing) + np.arange(len(missing))
+            self.known.update(zip(distinct[missing].tolist(), at[missing].tolist()))
+        part = at[which]
+        counts = self.count[part]
+        upto = np.cumsum(counts)
+        out = self.flat[np.arange(upto[-1]) + np.repeat(self.start[part] - (upto - counts), counts)]
+        edges = np.concatenate([[0], upto])[np.searchsorted(starts, bounds)]
+        return [out[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Append the ids of parts.  Many that begin with a space or line end are encoded as one text, which is cut where one begins a token."""
+        start, count = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        plain = [i for i, x in enumerate(parts) if x[0] in " \n" and not x[-1].isspace()]
+        rest = sorted(set(range(len(parts))).difference(plain))
+        flats, size = [self.flat], len(self.flat)
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
-            ids = np.frombuffer(self._ids(["".join(map(text, some))])[0], "<u4")
+            ids = self._ids(["".join([parts[i] for i in some])])[0]
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(some):
-                yield from zip(some, self._ids(list(map(text, some))))
+                rest += some
                 continue
-            raw, ends = ids.tobytes(), (np.append(cuts[1:], len(ids)) * 4).tolist()
-            yield from zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)])
+            start[some], count[some] = size + cuts, np.diff(np.append(cuts, len(ids)))
+            flats.append(ids)
+            size += len(ids)
+        for i, ids in zip(rest, self._ids([parts[i] for i in rest])):
+            start[i], count[i] = size, len(ids)
+            flats.append(ids)
+            size += len(ids)
+        self.flat, self.start, self.count = np.concatenate(flats), np.concatenate([self.start, start]), np.concatenate([self.count, count])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -188,24 +223,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         shard = TaskContext.get().partitionId()
         schema = pa.schema([(n, {"l": pa.int64(), "al": pa.list_(pa.int64()), "ai": pa.list_(pa.int32()), "b": pa.binary()}[k]) for n, k in (("shard", "l"), ("chunk", "l"), ("doc_ids", "al"), ("doc_tokens", "al"), ("block_ids", "ai"), ("block_width", "ai"), ("plane_bytes", "ai"), ("payload", "b"))])
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = np.asarray([end_id], "<u4")
         enc, number = encoder(tokenizer), 0
         doc_ids: list = []
         tokens: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            row = {"shard": shard, "chunk": number, "doc_ids": doc_ids, "doc_tokens": tokens, **pack(np.frombuffer(b"".join(held), "<u4"), bits, level)}
+            row = {"shard": shard, "chunk": number, "doc_ids": doc_ids, "doc_tokens": tokens, **pack(np.concatenate(held), bits, level)}
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             keys, column = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(keys), 64):
-                texts = [t or "" for t in column.slice(lo, 64).to_pylist()]
-                for key, ids in zip(keys[lo : lo + 64], enc.encode(texts)):
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
+            for lo, hi in slices(offsets, BATCH):
+                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                for key, ids in zip(keys[lo:hi], enc.encode(texts)):
                     doc_ids.append(key)
-                    tokens.append(len(ids) // 4 + 1)
+                    tokens.append(len(ids) + 1)
                     held += (ids, end)
                     size += tokens[-1]
                     if size >= CHUNK:

@@ -150,7 +150,7 @@ def test_redaction_of_open_json():
     for _ in range(14):
         x["k"] = {}
         x = x["k"]
-    assert "[MaxDepth]" in json.dumps(cj.redacted(nest))
+    assert cj.redacted(nest) == nest and "[MaxDepth]" in json.dumps(cj.redacted(nest, limits=(12, None, None, None)))
 
 
 def test_retry_and_backoff(spark):

@@ -240,6 +240,15 @@ def test_nearest_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("n", [2000, 12000, 25000])
+def test_nearest_neighbours_lists_are_full(spark, n):
+    """What the trees miss is replaced by the next best found; some leaves stay closed at each size."""
+    v = np.random.default_rng(3).standard_normal((n, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id bigint, embedding array<float>")
+    got = Counter(r.query_id for r in ann.nearest(df, F.col("vec_id") % 100 == 0, 20).collect())
+    assert got == {q: 20 for q in range(0, n, 100)}
+
+
 LATIN = {"en": "the of and to in that was his with for", "de": "der die und das nicht ist ein mit von auf", "fr": "le la les des une est dans pour que qui"}
 
 

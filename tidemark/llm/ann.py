@@ -11,9 +11,10 @@ vector is indexed.  Equal vectors form one entry that holds their ``k + 1`` smal
 all that any list of ``k`` neighbours can need; so a vector that a third of the rows share neither
 fills a leaf nor is lost.
 
-A query's k-th best score within the sample bounds its result from below, so a task passes on only
-candidates that reach it.  Neighbouring leaves form a cell of about ``CELL_ROWS`` entries for one task; a leaf that holds more
-is split over several, so no group of vectors grows with the table.  How much a query must look at
+The k-th best score among the sample points in the leaves that a query opens bounds what it finds from
+below, so a task passes on only candidates that reach it; at least ``k`` always do.  Neighbouring leaves
+form a cell of about ``CELL_ROWS`` entries for one task; a leaf that holds more is split over several,
+so no group of vectors grows with the table.  How much a query must look at
 for a given recall depends on the data: ``share`` suits vectors without any clusters, the hardest
 case; clustered vectors need far less.
 
@@ -58,6 +59,7 @@ class Forest:
     top: float  # largest length of a vector
     scale: float = 1.0  # entries for each sample point
     sample: np.ndarray | None = None  # the sample points themselves
+    sample_leaf: np.ndarray | None = None  # their leaf in every tree
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -162,11 +164,16 @@ def _first(key: np.ndarray, *order: np.ndarray, n: int) -> np.ndarray:
     return rows[np.arange(len(k)) - np.searchsorted(k, k) < n]
 
 
-def _bounds(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
-    """A score that the ``k`` best entries of each query reach for certain: the k-th best within the sample, which is part of the entries."""
-    if len(sample) < k:
-        return np.full(len(x), -np.inf)
-    best = -np.partition(-(x @ sample.T), k - 1, axis=1)[:, k - 1]
+def _bounds(x: np.ndarray, forest: Forest, opened: list[list[int]], k: int) -> np.ndarray:
+    """A score that ``k`` entries in the opened leaves of each query reach for certain: the k-th best of the sample points in them, which are entries too."""
+    best = np.full(len(x), -np.inf)
+    scores = x @ forest.sample.T if len(forest.sample) else np.zeros((len(x), 0))
+    for i, leaves in enumerate(opened):
+        is_open = np.zeros(len(forest.leaf_size), bool)
+        is_open[leaves] = True
+        seen = scores[i, is_open[forest.sample_leaf].any(axis=1)]
+        if len(seen) >= k:
+            best[i] = -np.partition(-seen, k - 1)[k - 1]
     return best - 1e-9 * (1 + np.abs(best))  # sums in another order may differ in the last places
 
 
@@ -232,6 +239,7 @@ def _of_one_length(rows: DataFrame, k: int, trees: int, sample: int, share: floa
     top = float(top) * (1 + 1e-12)
     forest = grow(lift(points, top), top, trees)
     forest.scale, forest.sample = n / max(1, len(points)), points
+    forest.sample_leaf = leaves_of(forest, lift(points, top)) if len(points) else np.zeros((0, trees), np.int64)
     wanted = max(least, share * n)
     shared = spark.sparkContext.broadcast(forest)  # about trees * sample / LEAF_SAMPLE planes
     expected = forest.leaf_size * forest.scale
@@ -255,7 +263,7 @@ def _of_one_length(rows: DataFrame, k: int, trees: int, sample: int, share: floa
                 x = _matrix(part.column(1))
                 ask = np.hstack([x, np.zeros((len(x), 1))])
                 found = search(shared.value, ask, wanted)
-                bound = _bounds(x, shared.value.sample, k + 1)
+                bound = _bounds(x, shared.value, found, k + 1)
                 leaf = np.array([f for fs in found for f in fs], np.int64)
                 own = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 times = chunks[leaf]

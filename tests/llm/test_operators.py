@@ -423,6 +423,24 @@ def test_line_blocks():
     assert html.stretch(w(0, 0)) == (0, 0) and html.stretch(w()) == (0, 0)
 
 
+def test_html_whole_articles():
+    p = [f"{w} " * 40 for w in "abcdefgh"]
+    body = [x.strip() for x in p]
+    para = [f"<p>{x}</p>" for x in p]
+    for between in ("<aside><p>x</p><p>y</p><p>z</p><p>q</p></aside>", "<form><div>Mail</div><div>Name</div><div>Send</div></form>", "<div class='advert'><p>Buy</p><p>this</p><p>now</p></div>"):
+        page = PAGE % f"<div id='content'>{para[0]}{para[1]}{between}{para[2]}{between}{para[3]}</div>"
+        assert html.main_text(page) == "\n".join(body[:4])
+    # a heading, a byline and a date too short to surge
+    short = f"<h1>A title</h1><div>By someone</div><div>1 May</div><div>1 min</div>{para[0]}{para[1]}"
+    assert html.main_text(PAGE % f"<h1>Site</h1><div>a</div><div id='content'>{short}</div>") == "\n".join(["A title", "By someone", "1 May", "1 min", *body[:2]])
+    # teaser cards are not the body
+    card = "<article><h3>Card</h3><p>A teaser that is short.</p></article>"
+    got = html.main_text(PAGE % f"<div id='content'><h1>Head</h1>{para[0]}{para[1]}{para[2]}</div>{card}{card}").split("\n")
+    assert got[:4] == ["Head", *body[:3]]
+    # but an article is, whatever short lines surround it
+    assert html.main_text(PAGE % f"<div>before</div><article><h1>Head</h1>{para[0]}<p>End.</p></article><div>after</div>") == "\n".join(["Head", body[0], "End."])
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, ["x"]).limit(0)
     for f in (substring.removal_digest, suffixes.removal_digest, neardup.near_duplicates, neardup.deduplicated):

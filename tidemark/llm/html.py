@@ -3,13 +3,15 @@
 Markup is stripped to *lines* (the text of one block element each).  Sliding windows over
 consecutive lines sum their text lengths; the text surges where a window rises above a threshold
 after quiet lines and dives where it falls silent again; the stretch between the surge and the
-dive with the most text is the article.
+dive with the most text is the article.  A heading whose byline and date are too short to surge
+belongs to the stretch after it.
 
 What a line weighs is its length, corrected by what the markup says outright: lines in menus,
 headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
-comments weigh nothing and are never printed; lines inside ``article`` or ``main`` weigh at least a
-window's threshold, so a short heading or paragraph there does not end the stretch, and where such
-an element exists the lines outside it weigh nothing.
+comments are never printed and are taken out beforehand, so they do not interrupt an article; lines
+inside ``article`` or ``main`` weigh at least a window's threshold, so a short heading or paragraph
+there does not end the stretch, and where such elements hold most of the text that surges the lines
+outside them weigh nothing.  Where they hold less (teaser cards) they are lines like any other.
 
 Defined cases: a null or empty page gives an empty text; unclosed, overlapping and unknown tags
 are tolerated (a block element ends the line before it); a page of one long line is one block;
@@ -36,6 +38,7 @@ DROP = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog",
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|foot|masthead|site-?header|page-?header"
@@ -49,21 +52,23 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 SPACE = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """The blocks of a page in order, each with 1 (inside the main element), -1 (in an unwanted one) or 0."""
-    out: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """The blocks of a page in order, each with 1 (inside the main element), -1 (in an unwanted one) or 0, and with its level if it is a heading, else 0."""
+    out: list[tuple[str, int, int]] = []
     held: list[str] = []
-    state = 0
+    state = level = 0
     stack: list[tuple[str, bool, bool]] = []  # element, unwanted, main
     unwanted = main = 0
     at = 0
 
     def end_line():
+        nonlocal level
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, state))
+                out.append((text, state, level))
+                level = 0
 
     def note():
         nonlocal state
@@ -88,6 +93,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if name not in INLINE:
             end_line()
+        if name in HEADINGS:
+            level = 0 if m[1] else int(name[1])
         if m[1]:
             if any(name == x[0] for x in stack):
                 while stack[-1][0] != name:
@@ -139,16 +146,30 @@ def stretch(weights: np.ndarray, span: int = SPAN, surge: int = SURGE) -> tuple[
     return chosen
 
 
+def surging(weights: np.ndarray, span: int = SPAN, surge: int = SURGE) -> np.ndarray:
+    """Whether each line lies in a window that rises above the threshold."""
+    full = np.convolve(weights, np.ones(span), "full") >= surge  # window k holds the lines from k - span + 1 to k
+    return np.convolve(full, np.ones(span), "full")[span - 1 : span - 1 + len(weights)] > 0.5
+
+
+def with_heading(levels: list[int], start: int, span: int = SPAN) -> int:
+    """The last heading of the highest level before the surge's first window ends, if it lies before the surge."""
+    at = [i for i in range(min(len(levels), start + span)) if levels[i]]
+    return min(start, min(at, key=lambda i: (levels[i], -i), default=start))
+
+
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
-    lines = lines_of(page or "")
-    has_main = any(s > 0 for _, s in lines)
-    weights = np.array([0 if s < 0 or (has_main and s == 0) else max(len(t), surge) if s > 0 else len(t) for t, s in lines], float)
-    if has_main:  # nothing inside the main element is quiet, so what interrupts it is passed over
-        wanted = np.flatnonzero(weights)
-        a, b = stretch(weights[wanted], span, surge)
-        return "\n".join(lines[i][0] for i in wanted[a:b])
+    lines = [x for x in lines_of(page or "") if x[1] >= 0]
+    if not lines:
+        return ""
+    weights, inside = np.array([len(t) for t, _, _ in lines], float), np.array([s > 0 for _, s, _ in lines])
+    loud = weights * surging(weights, span, surge)
+    if inside.any() and loud[inside].sum() >= loud[~inside].sum():
+        lines = [x for x in lines if x[1] > 0]
+        weights = np.maximum(weights[inside], surge)
     a, b = stretch(weights, span, surge)
-    return "\n".join(t for (t, s) in lines[a:b] if s >= 0)
+    a = with_heading([level for _, _, level in lines], a, span)
+    return "\n".join(t for t, _, _ in lines[a:b])
 
 
 def extract(pages: DataFrame, keep: list[str | Column] = ("page_id", "url"), span: int = SPAN, surge: int = SURGE) -> DataFrame:

@@ -253,29 +253,70 @@ def r16(h):
     return show(rk.by_severity(fd.analyse(facts(h), LOOSE, R16_RULES)))
 
 
-@query(
-    "r17_reconcile",
-    f"""WITH f AS (SELECT tenant_id, key FROM ({SIX})),
+R17 = f"""WITH f AS (SELECT tenant_id, key FROM ({SIX})),
 p AS (SELECT tenant_id, key, bool_or(status = 'open') AS is_open, max(created_at) FILTER (status = 'open') AS opened,
   bool_or(status <> 'open' AND decided_by <> 'analysis' AND decided_at > TIMESTAMP '2001-08-02 00:00:00' - CASE WHEN status = 'accepted' THEN to_days(14) ELSE to_days(30) END) AS cooling FROM proposals GROUP BY 1, 2)
 SELECT * FROM (SELECT coalesce(f.tenant_id, p.tenant_id) AS tenant_id, coalesce(f.key, p.key) AS key,
   CASE WHEN f.key IS NOT NULL AND coalesce(is_open, false) THEN 'suppress-open' WHEN f.key IS NOT NULL AND coalesce(cooling, false) THEN 'suppress-cooling' WHEN f.key IS NOT NULL THEN 'raise'
    WHEN is_open AND opened <= TIMESTAMP '2001-08-01 00:00:00' THEN 'resolve' WHEN is_open THEN 'keep' END AS action
-FROM f FULL OUTER JOIN p ON p.tenant_id = f.tenant_id AND p.key = f.key) WHERE action IS NOT NULL""",
-)
+FROM f FULL OUTER JOIN p ON p.tenant_id = f.tenant_id AND p.key = f.key) WHERE action IS NOT NULL"""
+
+
+@query("r17_reconcile", R17)
 def r17(h):
     return fd.reconcile(fd.analyse(facts(h), LOOSE, R16_RULES), h.proposals, ts(RUNS_AS_OF)).select("tenant_id", "key", "action")
 
 
-@query("k08_severity_order", f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, key) AS place FROM ({SIX})")
-def k08(h):
+K08 = f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, key) AS place FROM ({SIX})"
+
+
+def placed(f):
     from pyspark.sql import Window as W
 
-    f = show(fd.analyse(facts(h), LOOSE, R16_RULES))
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in {"high": 0, "medium": 1, "low": 2, "info": 3}.items() for x in kv]), F.col("severity"))
     return f.withColumn("place", F.row_number().over(W.partitionBy("tenant_id").orderBy(rank, F.collate("key", "UNICODE"))))
 
 
+@query("k08_severity_order", K08)
+def k08(h):
+    return placed(show(fd.analyse(facts(h), LOOSE, R16_RULES)))
+
+
+# the same three over all rules and one window; r16, r17 and k08 stay as a check of a part
+ALL_VIEWS = {**DUP_VIEWS, "dtok": "SELECT tenant_id, workflow, capability AS token FROM plan_steps"}  # no capability comes twice in a plan here
+R05 = finding_sql("duplicate-workflows", "'medium'", "'duplicate-workflows:' || x || ':' || y", "'''' || x || ''' and ''' || y || ''' are near-duplicates'", "SELECT * FROM dpair", workflow="x", step=None)
+R08 = finding_sql(
+    "approval-rubber-stamp", "'low'", "'approval-rubber-stamp:' || workflow_name || ':' || step_id", "'Approval ''' || step_id || ''' was approved ' || approved || ' times out of ' || approved",
+    f"SELECT * FROM {GATES} WHERE denied = 0 AND timed_out = 0 AND approved >= 10")
+R09 = finding_sql(
+    "approval-often-denied", "'medium'", "'approval-often-denied:' || workflow_name || ':' || step_id", f"'Approval ''' || step_id || ''' is denied ' || {pct_sql('denied / fin::DOUBLE')} || ' of the time'",
+    f"SELECT * FROM {GATES} WHERE fin >= 10 AND denied / fin::DOUBLE >= 0.24")
+R10 = finding_sql(
+    "approval-timeouts", "'medium'", "'approval-timeouts:' || workflow_name || ':' || step_id", f"'Approval ''' || step_id || ''' times out ' || {pct_sql('timed_out / fin::DOUBLE')} || ' of the time'",
+    f"SELECT * FROM {GATES} WHERE fin >= 10 AND timed_out / fin::DOUBLE >= 0.2")
+R15_WIDE = finding_sql(
+    "idle-workflow", "'medium'", "'idle-workflow:' || name", "'Scheduled workflow ''' || name || ''' has not run in 1500 days'",
+    """SELECT s.tenant_id, s.name FROM settings s JOIN plan_steps p ON p.tenant_id = s.tenant_id AND p.workflow = s.name AND p.scheduled
+WHERE s.enabled AND NOT s.killed AND s.active_since <= TIMESTAMP '2001-08-02 00:00:00' - to_days(750) AND NOT EXISTS
+ (SELECT 1 FROM runs r WHERE r.tenant_id = s.tenant_id AND r.workflow_name = s.name AND NOT r.dry_run AND r.created_at >= TIMESTAMP '1997-06-24 00:00:00')""", workflow="name", step=None)
+FIFTEEN = " UNION ALL ".join(f"({x})" for x in (R01, R02, R03.format(STATS, 2 * LOOSE.min_samples), R04, R05, R06, R07, R08, R09, R10, R11, R12, R13, R14.format(RUNS, STATS, LOOSE.compensation_min_runs), R15_WIDE))
+
+
+@query("r18_analyse_all_rules", FIFTEEN, extra=ALL_VIEWS)
+def r18(h):
+    return show(rk.by_severity(fd.analyse(facts(h).written(), LOOSE)))
+
+
+@query("r19_reconcile_all_rules", R17.replace(SIX, FIFTEEN), extra=ALL_VIEWS)
+def r19(h):
+    return fd.reconcile(fd.analyse(facts(h).written(), LOOSE), h.proposals, ts(RUNS_AS_OF)).select("tenant_id", "key", "action")
+
+
+@query("k20_severity_order_all_rules", K08.replace(SIX, FIFTEEN), extra=ALL_VIEWS)
+def k20(h):
+    return placed(show(fd.analyse(facts(h).written(), LOOSE)))
+
+
 @query(
     "j15_shared_fingerprints",
     """SELECT tenant_id, x, y, shared, un AS "union" FROM dcross""",

@@ -1,8 +1,9 @@
-"""The queries over all rules: equal to their SQL twins, and more than the queries over a part of them."""
+"""The queries over all rules and all alert sources: equal to their SQL twins, and more than the queries over a part of them."""
 
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.plans import findings as fd
@@ -17,7 +18,7 @@ def rows(spark, name):
     return {tuple(r) for r in df.select(*sorted(df.columns)).collect()}
 
 
-@pytest.mark.parametrize("name", ["r18_analyse_all_rules", "r19_reconcile_all_rules", "k20_severity_order_all_rules"])
+@pytest.mark.parametrize("name", ["r18_analyse_all_rules", "r19_reconcile_all_rules", "k20_severity_order_all_rules", "l11_evaluate_all_sources", "a28_live_gauges_with_circuits"])
 def test_all_rules_equal_their_twins(spark, name):
     ok, text = compare(spark, connect(SF), SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, text
@@ -29,3 +30,18 @@ def test_all_rules_contain_the_six(spark, monkeypatch):
         monkeypatch.setitem(fd.RULES, k, lambda f, t, k=k, rule=rule: ran.add(k) or rule(f, t))
     got = rows(spark, "r18_analyse_all_rules")
     assert rows(spark, "r16_analyse") < got and ran == set(fd.RULES) and len(ran) == 15
+
+
+def test_alerts_of_all_sources(spark):
+    from workload import alerts
+    from workload.views import History
+
+    h = History(spark, SF)
+    h.chained_events = h.chained_events.withColumn("prev_hash", F.when(F.col("seq") % 500 == 7, "x").otherwise(F.col("prev_hash")))  # breaks the chain
+    got = {(r.tenant_id, r.key) for r in alerts.l11(h).collect()}
+    part = {(r.tenant_id, r.key) for r in alerts.l10(h).collect()}
+    broken = {(r.tenant_id, r.key) for r in alerts.l06(h).collect()}
+    open_ = {(r.tenant_id, r.key) for r in alerts.l05(h).collect()}
+    assert broken and got == part | broken | open_
+    gauges = {(r.metric, r.labels) for r in alerts.a28(h).collect()}
+    assert ("circuit_open", 'capability="cap-3"') in gauges and len(gauges) == 16

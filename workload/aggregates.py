@@ -363,12 +363,12 @@ def a25(h):
     return ag.parallel_join(d)
 
 
-@query(
-    "a26_live_gauges",
-    f"""SELECT 'active_runs' AS metric, '' AS labels, CAST(count(*) FILTER (status IN {ACTIVE}) AS DOUBLE) AS value FROM runs
+A26 = f"""SELECT 'active_runs' AS metric, '' AS labels, CAST(count(*) FILTER (status IN {ACTIVE}) AS DOUBLE) AS value FROM runs
 UNION ALL SELECT 'queue_depth', '', CAST(count(*) FILTER (status = 'queued') AS DOUBLE) FROM runs
 UNION ALL SELECT 'approvals_pending', '', CAST(count(*) FILTER (status = 'pending') AS DOUBLE) FROM approvals
-UNION ALL SELECT 'event_log_events', '', CAST(count(*) AS DOUBLE) FROM events""",
-)
+UNION ALL SELECT 'event_log_events', '', CAST(count(*) AS DOUBLE) FROM events"""
+
+
+@query("a26_live_gauges", A26)
 def a26(h):
     return ag.live_gauges(h.runs, h.approvals, h.events)

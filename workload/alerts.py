@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as st
+from tidemark.operators import aggregates as ag
 from tidemark.plans import alerts as al
 from tidemark.operators import quality as ql
-from workload.aggregates import FAILED, FINISHED, STALLED, human_sql, pct_sql
+from workload.aggregates import A26, FAILED, FINISHED, STALLED, human_sql, pct_sql
 from workload.ranking import LATEST_FAILED
 from workload.registry import query
 from workload.views import iso_sql, ts
@@ -57,15 +58,18 @@ def l04(h):
 CIRCUITS = """SELECT 'cap-' || (user_id % 12) AS capability, CASE WHEN count(*) FILTER (event_type = 'error' AND ts >= TIMESTAMP '2024-01-30 00:00:00') >= 5 THEN 'open' ELSE 'closed' END AS state FROM events GROUP BY 1"""
 
 
-@query(
-    "l05_circuit_open",
-    f"""SELECT 'default' AS tenant_id, 'circuit-open:' || capability AS key, 'warning' AS severity, 'Capability ' || capability || ' is failing fast' AS title,
-  'The circuit of ' || capability || ' is open: its steps fail at once until calls succeed again.' AS message FROM ({CIRCUITS}) WHERE state <> 'closed'""",
-)
-def l05(h):
-    c = h.raw("events").groupBy(F.expr("concat('cap-', user_id % 12)").alias("capability")).agg(
+L05 = f"""SELECT 'default' AS tenant_id, 'circuit-open:' || capability AS key, 'warning' AS severity, 'Capability ' || capability || ' is failing fast' AS title,
+  'The circuit of ' || capability || ' is open: its steps fail at once until calls succeed again.' AS message FROM ({CIRCUITS}) WHERE state <> 'closed'"""
+
+
+def circuits(h):
+    return h.raw("events").groupBy(F.expr("concat('cap-', user_id % 12)").alias("capability")).agg(
         F.expr("CASE WHEN count_if(event_type = 'error' AND ts >= timestamp_ntz'2024-01-30 00:00:00') >= 5 THEN 'open' ELSE 'closed' END").alias("state"))
-    return al.circuits_open(c)
+
+
+@query("l05_circuit_open", L05)
+def l05(h):
+    return al.circuits_open(circuits(h))
 
 
 VERIFY = """WITH e AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY tenant_id ORDER BY seq), 'genesis') AS want, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS rn FROM chained_events),
@@ -79,11 +83,11 @@ def verified(h):
     return ql.verify_chain(h.chained_events, content_hash=content, genesis="genesis", rows_per_chunk=100_000)
 
 
-@query(
-    "l06_audit_integrity",
-    f"""SELECT tenant_id, 'audit-integrity' AS key, 'critical' AS severity, 'The audit log failed its integrity check' AS title,
- 'The hash chain is broken at event ' || broken_at_seq || ': ' || reason || '. Treat it as a security incident.' AS message FROM ({VERIFY}) WHERE NOT ok""",
-)
+L06 = f"""SELECT tenant_id, 'audit-integrity' AS key, 'critical' AS severity, 'The audit log failed its integrity check' AS title,
+ 'The hash chain is broken at event ' || broken_at_seq || ': ' || reason || '. Treat it as a security incident.' AS message FROM ({VERIFY}) WHERE NOT ok"""
+
+
+@query("l06_audit_integrity", L06)
 def l06(h):
     return al.audit_integrity(verified(h))
 
@@ -134,3 +138,17 @@ def k13(h):
 @query("l10_evaluate_all", f"SELECT * FROM ({L01}) UNION ALL SELECT * FROM ({L02}) UNION ALL SELECT * FROM ({L03}) UNION ALL SELECT * FROM ({L04})")
 def l10(h):
     return al.evaluate(h.runs, h.live_steps, h.approvals, ts(AT), CFG)
+
+
+# with the circuits and the audit chain; l10 and a26 stay as a check of a part
+@query("l11_evaluate_all_sources", " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (L01, L02, L03, L04, L05, L06)))
+def l11(h):
+    return al.evaluate(h.runs, h.live_steps, h.approvals, ts(AT), CFG, circuits(h), verified(h))
+
+
+@query(
+    "a28_live_gauges_with_circuits",
+    f"""SELECT * FROM ({A26}) UNION ALL SELECT 'circuit_open', 'capability="' || capability || '"', CASE WHEN state = 'closed' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM ({CIRCUITS})""",
+)
+def a28(h):
+    return ag.live_gauges(h.runs, h.approvals, h.events, circuits(h))

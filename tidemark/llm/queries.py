@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, html, langid, mixing, neardup, quality, substring, suffixes, tokens
+from tidemark.llm import ann, contexts, decontam, divergence, html, langid, mixing, neardup, prefixes, quality, substring, suffixes, tokens
 from tidemark.llm.common import fold, table
 from tidemark.session import ship
 
@@ -214,3 +214,87 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), t AS (
+  SELECT lang, source, r, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), n_lang AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang
+), grp AS (
+  SELECT DISTINCT lang, source FROM d
+), own AS (
+  SELECT t.lang, source, term, count(*)::HUGEINT AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), n_grp AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM grp g LEFT JOIN own o ON g.lang = o.lang AND g.source = o.source GROUP BY ALL
+), rates AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (g.n + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.n + 5 * l.v) AS q
+  FROM n_grp g JOIN n_lang l USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum(abs(x.p - y.p)) AS v FROM rates x JOIN rates y USING (lang, term) GROUP BY ALL) m ON m.lang = a.lang AND m.s = a.source AND m.o = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM rates WHERE c > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT i AS n, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8
+), own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, conv_id::VARCHAR AS s, 0 AS pos, 4294967295 AS c FROM own
+  UNION ALL
+  SELECT conv_id, s, pos + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.k = 8 AND tab.n = xor(crc.c & 255, ascii(substr(s, pos + 1, 1))) WHERE pos < length(s)
+), head AS (
+  SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE pos = length(s)
+), conv AS (
+  SELECT o.conv_id, list_concat(coalesce(list_slice(b.t, 1, h), []), CASE WHEN len(o.t) > h THEN list_slice(o.t, h + 1, len(o.t)) ELSE [] END) AS t
+  FROM own o JOIN head USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), pre AS (
+  SELECT conv_id, t, d, CASE WHEN d = 0 THEN [] ELSE list_slice(t, 1, d) END AS p FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM conv)
+), node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(p[d]['text'])) END AS saved,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(t) = d) AS ends FROM pre GROUP BY p, d
+), kids AS (
+  SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL
+), full_node AS (
+  SELECT n.*, coalesce(k, 0) AS k FROM node n LEFT JOIN kids ON n.d = kids.d AND (n.d = 0 OR n.p = kids.p)
+), up AS (
+  SELECT CASE WHEN a = 0 THEN [] ELSE list_slice(p, 1, a) END AS p, a AS d, sum(saved) AS saved, count(*) FILTER (WHERE k = 0) AS leaves
+  FROM (SELECT p, saved, k, unnest(range(0, d + 1)) AS a FROM full_node) GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, par.conv_id AS parent_conv_id, n.n AS n_convs, n.k AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_node n JOIN up u ON u.d = n.d AND u.p = n.p LEFT JOIN node par ON par.d = n.d - 1 AND (n.d = 1 OR par.p = list_slice(n.p, 1, n.d - 1))
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.spliced(prefixes.paths(table(spark, sf_dir, "conversations"))))
+
+
+@query("op13_context_tree_scores")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold(F.col("doc_id"), 5)
+    return contexts.score(docs, contexts.fit(docs, remainder != 1), remainder == 1)

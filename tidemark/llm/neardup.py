@@ -6,13 +6,14 @@
    probability close to the Jaccard similarity.
 2. Documents of equal sets are one class.  Runs of six registers are banded; classes that share a
    band are candidates.  A pair at the threshold misses all bands with a probability of 3e-6.
-3. Inside a band nothing is paired with everything: each class meets the *hub* of its band.  The
-   similarity is estimated from both sketches by maximum likelihood, then pairs that are not
-   clearly too far are verified on the whole sets, and linked classes become components.  A few
-   bands suffice to join most of a large group, and bands inside one component are left out after;
-   hubs leave their bands, and what still holds several components gets further hubs.
-4. Bands that still do are settled exactly: their classes meet on their rarest shingles (two sets
-   above the threshold must share one of the rarest n - ceil(t n) + 1), only across components.
+3. Inside a band nothing is paired with everything: each class meets the *hub* of its band, the class
+   that shares the most bands with others, as the original of many copies does.  The similarity is
+   estimated from both sketches by maximum likelihood, then pairs that are not clearly too far are
+   verified on the whole sets, and linked classes become components.
+4. Bands that still hold several components are settled exactly: their classes meet on their rarest
+   shingles (two sets above the threshold must share one of the rarest n - ceil(t n) + 1), only across
+   components and only where enough shingles follow in both sets to reach the threshold.  The largest
+   component at a shingle meets the others, never itself.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that repeat an id are one node; a null id counts
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, seeded, slices, text_buffer, words
@@ -39,7 +40,6 @@ BANDS = REGISTERS // BAND
 LOG_BASE = float(np.log(1.02))
 RATE = 20.0
 MARGIN = 0.2  # a pair whose estimate lies further than this below the threshold is not verified: six standard errors
-HUB_ROUNDS = ((4, 1), (BANDS, 1), (BANDS, 4), (BANDS, 0))  # bands used and hubs of each; 0 hubs: the exact end
 NO_ID = -(1 << 63)
 
 _A, _B = seeded(2, 101)
@@ -189,11 +189,11 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _hubs(members: DataFrame, seed: int, n: int) -> DataFrame:
-    """The first ``n`` members of each band in a hashed order: ``band, hub, of`` (its component)."""
-    order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(seed)), "node")
-    first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    return first.select("band", F.col("node").alias("hub"), F.col("component").alias("of"))
+def _hubs(members: DataFrame) -> DataFrame:
+    """The member of each band that meets the most others over all its bands: ``band, hub, of`` (its component)."""
+    meets = members.join(members.groupBy("band").agg(F.count("*").alias("n")), "band").groupBy("node").agg(F.sum("n").alias("meets"))
+    best = F.max(F.struct("meets", "node", "component")).alias("hub")
+    return members.join(meets, "node").groupBy("band").agg(best).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"))
 
 
 def _hub_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -220,13 +220,19 @@ def rare_token_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> D
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "token")))
     per_cent = round(threshold * 100)
     prefix = F.col("size") - F.ceil(F.col("size") * per_cent / 100) + 1  # whole numbers: no rounding error reaches the ceiling
-    first = ranked.groupBy("node", "component", "size").agg(order.alias("o")).select("node", "component", "size", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("t"))
-    first = first.where("t.count > 1").select("node", "component", "size", F.col("t.token").alias("token"))
-    shared = first.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    first = first.join(shared, "token", "left_semi")
-    x, y = first.toDF(*(f"{c}_a" if c != "token" else c for c in first.columns)), first.toDF(*(f"{c}_b" if c != "token" else c for c in first.columns))
-    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * per_cent
-    return x.join(y, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    first = ranked.groupBy("node", "component", "size").agg(order.alias("o"))
+    first = first.select("node", "component", "size", F.posexplode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("place", "t")).where("t.count > 1")
+    first = first.select("node", "component", "size", (F.col("size") - F.col("place")).alias("left"), F.col("t.token").alias("token"))
+    sizes = first.groupBy("token", "component").agg(F.count("*").alias("n"))
+    shared = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("token", F.col("most.component").alias("most"))
+    first = cut_lineage(first.join(shared, "token"), "rare")
+    x = first.where("component <> most").drop("most").toDF(*(f"{c}_a" if c != "token" else c for c in first.columns if c != "most"))
+    y = first.toDF(*(f"{c}_b" if c != "token" else c for c in first.columns))
+    # at the first shingle that both share, what is left of each set must still reach the overlap that the threshold asks for
+    enough = F.least("left_a", "left_b") * (100 + per_cent) >= (F.col("size_a") + F.col("size_b")) * per_cent
+    once = (F.col("component_b") == F.col("most_b")) | (F.col("node_a") < F.col("node_b"))
+    pairs = x.join(y, "token").where((F.col("component_a") != F.col("component_b")) & enough & once)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -244,24 +250,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     # an id that stands for texts of several classes ties those together
     of_id = sketched.where("size > 0").select("doc_id", "s1", "s2").distinct().join(classes.select("s1", "s2", "node"), ["s1", "s2"])
     ties = of_id.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1).select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
-    links = [cut_lineage(ties, "links")]
     source = classes.select("node", "low", "k")
-    for bands, n in HUB_ROUNDS:
-        if n:
-            now = members.where(F.col("no") < bands)
-            hubs = cut_lineage(_hubs(now, bands + n, n), "hubs")
-            pairs = cut_lineage(likely(_hub_pairs(now, hubs), classes, threshold), "likely")
-            # a hub has met everyone in its band
-            members = members.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
-        else:
-            rest = cut_lineage(set_table(docs, members.select("node").distinct().join(source, "node"), shingle), "sets")
-            pairs = cut_lineage(likely(rare_token_pairs(members, rest, threshold), classes, threshold), "likely")
-        sets = cut_lineage(set_table(docs, _nodes(pairs).join(source, "node"), shingle), "sets")
-        links.append(cut_lineage(verified(pairs, sets, threshold), "links"))
-        found = components(_union(links))
-        members = cut_lineage(_several(_labelled(members, found)), "bands")
-        if members.isEmpty():
-            break
+    hubs = cut_lineage(_hubs(members), "hubs")
+    pairs = cut_lineage(likely(_hub_pairs(members, hubs), classes, threshold), "likely")
+    sets = cut_lineage(set_table(docs, _nodes(pairs).join(source, "node"), shingle), "sets")
+    found = cut_lineage(components(ties.union(verified(pairs, sets, threshold))), "components")
+    # a hub has met everyone in its band
+    members = members.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
+    members = cut_lineage(_several(_labelled(members, found)), "bands")
+    if not members.isEmpty():
+        sets = cut_lineage(set_table(docs, members.select("node").distinct().join(source, "node"), shingle), "sets")
+        pairs = likely(rare_token_pairs(members, sets, threshold), classes, threshold)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(pairs, sets, threshold)))
     by_class = classes.select("s1", "s2", "node", "low").join(found, "node", "left").select("s1", "s2", "low", F.coalesce("component", "node").alias("component"))
     least = by_class.groupBy("component").agg(F.min("low").alias("least"))
     by_class = by_class.join(least, "component").select("s1", "s2", "least")
@@ -273,13 +273,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     )
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-
 def deduplicated(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest id.
 

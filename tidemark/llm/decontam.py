@@ -2,14 +2,17 @@
 
 1. How often each benchmark word occurs in the corpus is counted (partial sums; one row per
    benchmark word is left).
-2. Every window (a run of consecutive words of an item) is looked up by its rarest word.  The
-   postings of those rare words are stored: word, document, position, and the words around it.
-3. The lists of a window's other words are intersected at their offsets: a posting of the rare
-   word at position p asks for word k of the window at p - offset + k, which the stored
-   neighbourhood answers without another shuffle.
-
-Common words therefore have no long lists, a document with many hits spreads over its postings,
-and nothing pairs documents with items.  ``near`` finds unordered matches by the same index.
+2. Every window (a run of consecutive words of an item) is known by a digest and looked up by its
+   rarest word.  The postings of those rare words are stored once per distinct text: text, position,
+   word, and the words around it.
+3. The list of a window's rarest word is met with those of its other words at their offsets: a posting
+   at position p asks for word k of the window at p - offset + k, which the stored neighbourhood
+   answers without another shuffle.  Documents come back by the digest of their text.
+
+Common words therefore have no long lists, a crowd of equal texts is indexed once, a document with
+many hits spreads over its postings, and nothing pairs documents with items.  Benchmark tables are
+sent to every task only below a row count; above it they are joined by shuffle.  ``near`` finds
+unordered matches by the same index.
 
 Defined cases: a null or wordless text has no words and no hits; an item with fewer words than a
 window is one window; an item without words matches nothing; repeated items and repeated rows
@@ -42,25 +45,35 @@ def windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, n))).alias("window"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("__k"), tokens(F.col("text")).alias("__w"))
+FEW = 200_000  # benchmark words or windows that are sent to every task at most
+
+
+def few(small: DataFrame) -> DataFrame:
+    """Sent to every task if its rows are few, else left to a shuffle."""
+    return F.broadcast(small) if small.count() <= FEW else small
+
+
+def text_key() -> Column:
+    """What stands for a text: null for a null text."""
+    return F.md5(F.col("text").cast("binary"))
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Occurrences in ``docs(text)`` of each word of ``vocabulary(term)``; words that never occur are left out."""
     seen = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-    return seen.join(vocabulary, "term", "left_semi").groupBy("term").count()
+    return seen.join(few(cut_lineage(vocabulary, "vocabulary")), "term", "left_semi").groupBy("term").count()
 
 
 def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
-    """The index of ``terms(term)``: one row per occurrence with up to ``around`` words on each side.
+    """The index of ``terms(term)``: one row per occurrence in a distinct text, with up to ``around`` words on each side.
 
-    ``term, doc_id, __k`` (hash of the text), ``pos`` (from 0), ``first`` (position of the first stored neighbour), ``near``.
+    ``term, __k`` (digest of the text), ``pos`` (from 0), ``first`` (position of the first stored neighbour), ``near``.
     """
-    words = _keyed(docs).where(F.size("__w") > 0)
-    each = words.select("doc_id", "__k", "__w", F.posexplode("__w").alias("pos", "term")).join(terms, "term", "left_semi")
+    words = docs.select(text_key().alias("__k"), tokens(F.col("text")).alias("__w")).where(F.size("__w") > 0)
+    each = words.select("__k", "__w", F.posexplode("__w").alias("pos", "term")).join(few(terms), "term", "left_semi")
     first = F.greatest(F.lit(0), F.col("pos") - around)
-    return each.select("term", "doc_id", "__k", "pos", first.alias("first"), F.slice("__w", first + 1, F.col("pos") - first + around + 1).alias("near"))
+    each = each.select("term", "__k", "pos", first.alias("first"), F.slice("__w", first + 1, F.col("pos") - first + around + 1).alias("near"))
+    return each.dropDuplicates(["__k", "pos"])
 
 
 def rarest_words(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -73,15 +86,15 @@ def rarest_words(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Occurrences of item windows in documents: ``doc_id, __k, item_id, start, length`` (in words)."""
-    wins = cut_lineage(windows(items, n), "item-windows")
+    """Occurrences of item windows in distinct texts: ``__k, item_id, start, length`` (in words)."""
+    wins = cut_lineage(windows(items, n).withColumn("wid", F.md5(F.array_join("window", " ").cast("binary"))), "item-windows")
     counts = word_counts(docs, wins.select(F.explode("window").alias("term")).distinct())
-    rare = cut_lineage(rarest_words(wins, counts), "rare-words")
+    rare = cut_lineage(rarest_words(wins, counts).withColumn("wid", F.md5(F.array_join("window", " ").cast("binary"))), "rare-words")
     index = cut_lineage(postings(docs, rare.select("term").distinct(), n - 1), "postings")
     at = F.col("pos") - F.col("off")
     same = F.slice("near", at - F.col("first") + 1, F.size("window")) == F.col("window")
-    found = index.join(rare, "term").where((at >= F.col("first")) & same).select("doc_id", "__k", at.alias("start"), "window")
-    return found.join(wins, "window").select("doc_id", "__k", "item_id", "start", F.size("window").alias("length"))
+    found = index.join(few(rare), "term").where((at >= F.col("first")) & same).select("__k", at.alias("start"), "wid", F.size("window").alias("length"))
+    return found.join(few(wins.select("wid", "item_id")), "wid").select("__k", "item_id", "start", "length")
 
 
 def near(docs: DataFrame, items: DataFrame, span: int = 20) -> DataFrame:
@@ -90,25 +103,24 @@ def near(docs: DataFrame, items: DataFrame, span: int = 20) -> DataFrame:
     counts = word_counts(docs, whole.select(F.explode("window").alias("term")).distinct())
     rare = cut_lineage(rarest_words(whole, counts), "rare-words")
     index = postings(docs, rare.select("term").distinct(), span)
-    found = index.join(rare, "term").where(F.size(F.array_except("window", "near")) == 0)
-    return found.join(whole, "window").select("doc_id", "item_id").distinct()
+    found = index.join(few(rare), "term").where(F.size(F.array_except("window", "near")) == 0)
+    found = found.join(whole, "window").select("__k", "item_id").distinct()
+    return docs.select("doc_id", text_key().alias("__k")).join(found, "__k").select("doc_id", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``docs(doc_id, text, …keep)`` with ``n_words, n_hit, n_items, item_ids, contaminated``."""
-    hits = phrase_hits(docs, items, n)
-    where = ["doc_id", "__k"]
+    hits = cut_lineage(phrase_hits(docs, items, n), "hits")
     # covered words: the gaps between consecutive distinct starts bound what each occurrence adds
-    spans = hits.groupBy(*where, "start").agg(F.max("length").alias("length"))
-    by_doc = Window.partitionBy(*where).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.groupBy("__k", "start").agg(F.max("length").alias("length"))
+    by_text = Window.partitionBy("__k").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
-    new = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(by_doc), F.lit(0))))
-    covered = spans.withColumn("__new", new).groupBy(*where).agg(F.sum("__new").alias("n_hit"))
-    items_of = hits.select(*where, "item_id").distinct().groupBy(*where).agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = covered.alias("c").join(items_of.alias("i"), F.col("c.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("c.__k") == F.col("i.__k")))
-    found = found.select(F.col("c.doc_id").alias("__d"), F.col("c.__k").alias("__j"), "n_hit", "item_ids")
-    rows = docs.select("doc_id", *keep, F.xxhash64("text").alias("__k"), F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__j")), "left")
+    new = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(by_text), F.lit(0))))
+    covered = spans.withColumn("__new", new).groupBy("__k").agg(F.sum("__new").alias("n_hit"))
+    items_of = hits.select("__k", "item_id").distinct().groupBy("__k").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
+    found = covered.join(items_of, "__k")
+    rows = docs.select("doc_id", *keep, text_key().alias("__k"), F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    out = rows.join(found, "__k", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(
         "doc_id", *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
@@ -118,6 +130,5 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, keep: tupl
 
 def uncontaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item window occurs."""
-    hit = cut_lineage(phrase_hits(docs, items, n).select(F.col("doc_id").alias("__d"), "__k").distinct().withColumnRenamed("__k", "__j"), "contaminated")
-    rows = docs.withColumn("__k", F.xxhash64("text"))
-    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__j")), "left_anti").drop("__k")
+    hit = cut_lineage(phrase_hits(docs, items, n).select("__k").distinct(), "contaminated")
+    return docs.withColumn("__k", text_key()).join(hit, "__k", "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -1,6 +1,7 @@
 """Cases that no bench view holds: null keys, ties in time, bad values, disabled rows."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,10 @@ from tidemark.operators import ranking as rk
 from tidemark.operators import skew
 from tidemark.plans import alerts as al
 from tidemark.plans import explain as ex
+from tidemark.operators.skew import spaced_firsts
 from tidemark.streaming import operators as so
+from tidemark.streaming import runtime as rt
+from tidemark.streaming import stateful as sf
 from tests.conftest import ERR
 
 T0 = dt.datetime(2026, 1, 1)
@@ -51,6 +55,42 @@ def test_once_forgets_after_its_time(spark):
     assert {r.seq for r in so.fire_once(fires).collect()} == {1, 3, 4}
 
 
+def test_repeats_do_not_prolong_the_memory(spark, tmp_path):
+    """Firings on days 0, 20, 40, 60 and 75: the record of day 0 is gone on day 40, that of day 40 on day 75."""
+    rows = [("g", "k", at(days=d), s) for s, d in enumerate((0, 20, 40, 60, 75, 75))] + [(None, "k", at(days=1), 9), (None, "k", at(days=2), 10)]
+    fires = spark.createDataFrame(rows, "trigger_id string, fire_key string, ts timestamp, seq bigint")
+    assert {r.seq for r in so.fire_once(fires).collect()} == {0, 2, 4, 9}
+    live = rt.run_available(so.fire_once(rt.replayed(fires, "ts", "fires", slices=3)), "once")
+    assert live.columns == fires.columns and {r.seq for r in live.collect()} == {0, 2, 4, 9}
+
+
+def test_spaced_firsts_of_a_long_chain(spark):
+    rnd = random.Random(8)
+    rows, want = [], set()
+    for k in ("hot", None, "z"):
+        t, last = 0, None
+        for _ in range(700 if k == "hot" else 20):
+            t += rnd.choice([0, 1, 3, 10, 60])
+            rows.append((k, t))
+            if last is None or t - last > 25:
+                last = t
+                want.add((k, t))
+    got = spaced_firsts(spark.createDataFrame(rows, "k string, at bigint"), ["k"], "at", 25)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert spaced_firsts(spark.createDataFrame([], "k string, at bigint"), ["k"], "at", 25).count() == 0
+
+
+def test_requests_without_a_key_are_accepted(spark):
+    ddl = "seq bigint, tenant_id string, workflow_name string, dedup_key string, ms bigint, cancelled boolean"
+    rows = [(1, "t", "w", None, 0, False), (2, "t", "w", None, 1, False), (3, "t", "w", "a", 2, True), (4, "t", "w", "a", 2, False), (5, "t", "w", "a", 2, False), (6, "t", "w", "a", 1003, False)]
+    requests = spark.createDataFrame(rows, ddl)
+    want = {1: "accepted", 2: "accepted", 3: "accepted", 4: "accepted", 5: "deduplicated", 6: "accepted"}
+    assert {r.seq: r.status for r in sf.dedup_requests(requests, 1000).collect()} == want
+    timed = requests.withColumn("ts", F.timestamp_millis("ms"))
+    live = sf.on_stream(rt.replayed(timed, "ts", "requests", slices=2), ["tenant_id", "workflow_name", "dedup_key"], ["ms", "seq"], lambda: sf.DedupWindow(1000), sf.DedupWindow.fields)
+    assert {r.seq: r.status for r in rt.run_available(live, "dedup").collect()} == want
+
+
 def test_first_failed_step_goes_by_completion(spark):
     steps = spark.createDataFrame(
         [("r", s, "failed", None, (s, "m", "transient", True), None, seq) for s, seq in (("s10", 4), ("s2", 3), ("s1", None))],

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.session import ROCKSDB
 from tidemark.sources.external import once_writer
 from tidemark.streaming import operators as so
 from tidemark.streaming import runtime as rt
@@ -138,11 +139,40 @@ def test_wait_times_out_on_the_stream(spark, tmp_path):
     events = [("t", "paid", "A", at(1), 1), ("t", "paid", "A", at(3), 2), ("t", "paid", "B", at(6), 3), ("t", "none", None, at(2000), 4)]
     batch = so.waits_with_timeout(spark.createDataFrame(waits, w), spark.createDataFrame(events, e))
     assert {r.run_id: (r.outcome, r.seq) for r in batch.collect()} == {"r1": ("resumed", 1), "r2": ("WAIT_TIMEOUT", None), "r3": ("resumed", 2), "last": ("WAIT_TIMEOUT", None)}
-    sw = files(spark, str(tmp_path / "w"), waits[:3], waits[3:], ddl=w)
-    se = files(spark, str(tmp_path / "e"), events[:3], events[3:], ddl=e)
-    got = so.first_resume(rt.run_available(so.waits_stream(sw, se), "w"))
+    rows = so.offers(spark.createDataFrame(waits, w), spark.createDataFrame(events, e))
+    got = rt.run_available(so.waits_stream(rt.replayed(rows, "ts", "offers", slices=3)), "w")
     got = {r.run_id: (r.outcome, r.seq) for r in got.collect()}
-    assert got["r1"] == ("resumed", 1) and got["r2"] == ("WAIT_TIMEOUT", None) and got["r3"] == ("resumed", 2)
+    assert got == {"r1": ("resumed", 1), "r2": ("WAIT_TIMEOUT", None), "r3": ("resumed", 2)}  # the last one is still open
+
+
+def test_waits_on_the_stream_equal_history(spark, tmp_path):
+    """Shuffled rows within the lateness, several micro-batches and a restart give the rows of the batch form."""
+    rnd = random.Random(6)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    waits = [("t", f"r{i}", "s", rnd.choice(["paid", "sent"]), rnd.choice(["A", "B", None]), at(s := rnd.randrange(36_000)), at(s + rnd.choice([0, 60, 4000]))) for i in range(150)]
+    events = [("t", rnd.choice(["paid", "sent"]), rnd.choice(["A", "B", "C", None]), at(rnd.randrange(40_000)), i) for i in range(200)]
+    w = spark.createDataFrame(waits, "tenant_id string, run_id string, step_id string, wait_event string, wait_correlation string, ts timestamp, wake_at timestamp")
+    e = spark.createDataFrame(events, "tenant_id string, type string, correlation string, ts timestamp, seq bigint")
+    want = sorted(map(tuple, so.waits_with_timeout(w, e).collect()))
+    offered = so.offers(w, e)
+    rows = sorted((tuple(r) for r in offered.collect()), key=lambda r: (r[4], rnd.random()))
+    near = sorted(rows, key=lambda r: r[4] + dt.timedelta(seconds=rnd.randrange(3000)))  # up to 50 minutes out of order
+    ddl = "tenant_id string, wait_event string, any boolean, corr string, ts timestamp, kind int, wake_us bigint, seq bigint, run_id string, step_id string"
+    path, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    end = [("", "", True, "", at(90_000), 1, None, 0, None, None)]
+    third = len(near) // 3
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        for i, part in enumerate((near[:third], near[third : 2 * third], near[2 * third :], end)):
+            spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(path)
+            if i in (1, 3):  # stopped after two files, then started again
+                src = spark.readStream.schema(offered.schema).option("maxFilesPerTrigger", 1).parquet(path)
+                q = so.waits_stream(src, "1 hour").writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", out).start()
+                q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.select("tenant_id", "run_id", "step_id", "wait_ts", "seq", "event_ts", "outcome").collect()), key=str) == sorted(want, key=str)
 
 
 def test_approval_timers(spark, tmp_path):

@@ -188,3 +188,30 @@ def first_at_or_after(
     heads = heads.select(*keys, "_bucket", F.last("_head", ignorenulls=True).over(later).alias("_next"))
     j = _same_group(u.where("_kind = 0"), heads, [*keys, "_bucket"]).withColumn("_hit", F.coalesce("_near", "_next"))
     return j.select("_row.*", F.col("_hit.ms").alias(event_ms), *[F.col(f"_hit.{c}").alias(c) for c in payload])
+
+
+def spaced_firsts(df: DataFrame, keys: Sequence[str], at: str, span: int) -> DataFrame:
+    """The distinct moments ``keys, at`` of each key that open a new span: the first, then always the first more than ``span`` after the last one.
+
+    ``at`` is a whole number.  Each moment points at the next that would follow it; the chain from the first moment is then
+    walked by pointer doubling, so a key of any length takes as many rounds as its chain has binary digits, each a join by moment.
+    """
+    from tidemark.session import cut_lineage
+
+    keys = list(keys)
+    moments = df.select(*keys, at).distinct()
+    asked = moments.withColumn("_due", F.col(at) + F.lit(span) + 1)
+    events = moments.withColumnRenamed(at, "_next")
+    jump = first_at_or_after(asked, events, keys, "_due", "_next", [], bucket_ms=max(1, span // 16)).where("_next IS NOT NULL")
+    jump = cut_lineage(jump.select(*keys, at, "_next"), "jumps")
+    found = cut_lineage(moments.groupBy(*keys).agg(F.min(at).alias(at)), "firsts")
+    n = found.count()
+    while True:
+        onward = _same_group(found, jump, [*keys, at]).select(*keys, F.col("_next").alias(at))
+        found = cut_lineage(found.unionByName(onward).distinct(), "firsts")
+        now = found.count()
+        if now == n:
+            return found
+        n = now
+        after = jump.select(*keys, F.col(at).alias("_next"), F.col("_next").alias("_then"))
+        jump = cut_lineage(_same_group(jump, after, [*keys, "_next"]).select(*keys, at, F.col("_then").alias("_next")), "jumps")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.session import ROCKSDB, shared_dir
+from tidemark.session import ROCKSDB, cut_lineage, shared_dir
 
 
 def run_available(stream: DataFrame, purpose: str, mode: str = "append", timeout: int | None = None, partitions: int | None = None) -> DataFrame:
@@ -65,8 +66,24 @@ def _batch_writer(out: str) -> Callable[[DataFrame, int], None]:
 
 def newest_per_key(table: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of each key in an update-mode table."""
-    from pyspark.sql import functions as F
-
     rest = [c for c in table.columns if c not in (*keys, "batch")]
     last = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def replayed(history: DataFrame, at: str, purpose: str, slices: int = 4, files: int = 1, closing: DataFrame | None = None) -> DataFrame:
+    """History as a stream of several micro-batches: slices of equal length in time, oldest first, then ``closing``.
+
+    Each slice is written as ``files`` files, which is what a micro-batch reads.
+    """
+    spark = history.sparkSession
+    history = cut_lineage(history, "history")
+    lo, hi = history.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    folder = shared_dir(spark, purpose)
+    part = F.lit(0) if lo is None else F.least(F.floor((F.unix_micros(at) - lo) * slices / (hi - lo + 1)), F.lit(slices - 1))
+    for i in range(slices):
+        mine = F.coalesce(part, F.lit(0)) == i
+        history.where(mine).repartition(files).write.mode("append").parquet(folder)
+    if closing is not None:
+        closing.select(history.columns).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(history.schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.operators.skew import chunked_lag, chunked_running_sum
+from tidemark.operators.skew import _same_group, chunked_running_sum, first_at_or_after, spaced_firsts
 
 Rule = Callable[[], Any]
 
@@ -36,6 +36,8 @@ class DedupWindow:
         self.window_ms, self.at, self.owner = window_ms, None, None
 
     def step(self, row) -> tuple:
+        if pd.isna(getattr(row, "dedup_key", "")):
+            return "accepted", row.seq  # a request without a key joins nobody
         if self.at is not None and row.ms - self.at <= self.window_ms:
             return "deduplicated", self.owner
         if not row.cancelled:
@@ -242,14 +244,21 @@ def on_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Ru
 def dedup_requests(requests: DataFrame, window_ms: int, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Accepted and joined run requests: tenant_id, workflow_name, dedup_key, seq, ms, cancelled.
 
-    ``seq`` follows time.  A pause longer than the window starts afresh, so the
-    history of a key is first split at its pauses and the pieces run in parallel.
+    ``seq`` follows time.  Requests that are not cancelled block their key for a window from the one that was
+    accepted; these form a chain that is walked by pointer doubling.  Every request then looks back at the last
+    blocking one.  A request without a key is always accepted.
     """
     keys = ["tenant_id", "workflow_name", "dedup_key"]
-    r = chunked_lag(requests, keys, "seq", {"ms": "_prev"}, rows_per_chunk)
-    pause = F.when(F.col("ms") - F.col("_prev") > window_ms, 1).otherwise(0)
-    r = chunked_running_sum(r, keys, "seq", pause, "part", rows_per_chunk).drop("_prev")
-    return fold_sorted(r, [*keys, "part"], ["ms", "seq"], lambda: DedupWindow(window_ms), DedupWindow.fields).drop("part")
+    free, keyed = requests.where("dedup_key IS NULL"), requests.where("dedup_key IS NOT NULL")
+    able = keyed.where(~F.coalesce("cancelled", F.lit(False)))
+    blocking = spaced_firsts(able, keys, "ms", window_ms)
+    able = able.groupBy(*keys, "ms").agg(F.min("seq").alias("owner"))
+    blocking = _same_group(blocking, able, [*keys, "ms"]).select(*keys, "owner", F.col("ms").alias("owner_ms"), (-F.col("owner")).alias("_at"))
+    looked = first_at_or_after(keyed.withColumn("_back", -F.col("seq")), blocking, keys, "_back", "_at", ["owner", "owner_ms"], bucket_ms=rows_per_chunk)
+    joins = (F.col("owner") < F.col("seq")) & (F.col("ms") - F.col("owner_ms") <= window_ms)
+    out = looked.withColumn("status", F.when(joins, "deduplicated").otherwise("accepted")).withColumn("joined", F.when(joins, F.col("owner")).otherwise(F.col("seq")))
+    free = free.withColumn("status", F.lit("accepted")).withColumn("joined", F.col("seq"))
+    return out.select(*requests.columns, "status", "joined").unionByName(free)
 
 
 def replay_circuits(operations: DataFrame, threshold: int = 5, cooldown_ms: int = 30_000, rows_per_chunk: int = 1_000_000) -> DataFrame:
@@ -367,3 +376,105 @@ def approval_timers(stream: DataFrame, late: str = "1 minute") -> DataFrame:
     """Approval expiry on a stream of approval rows (id, tenant_id, ts, seq, status, on_timeout, escalated, requested_ms, expires_ms)."""
     return stream.withWatermark("ts", late).groupBy("id").transformWithStateInPandas(
         statefulProcessor=_ApprovalTimer(), outputStructType=T.StructType.fromDDL(_ApprovalTimer.FIELDS), outputMode="append", timeMode="eventTime")
+
+
+class WaitsProcessor(StatefulProcessor):
+    """Open waits of one key, and what the watermark has not passed yet."""
+
+    LATER = (
+        T.StructType().add("kind", T.IntegerType()).add("us", T.LongType()).add("wake_us", T.LongType()).add("seq", T.LongType())
+        .add("run_id", T.StringType()).add("step_id", T.StringType())
+    )
+    OPEN = T.StructType().add("us", T.LongType()).add("wake_us", T.LongType()).add("run_id", T.StringType()).add("step_id", T.StringType())
+    FIELDS = "tenant_id string, run_id string, step_id string, wait_us bigint, seq bigint, event_us bigint, outcome string"
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.later = handle.getListState("later", self.LATER)
+        self.open = handle.getListState("open", self.OPEN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [
+            (int(r.kind), int(r.us), None if pd.isna(r.wake_us) else int(r.wake_us), None if pd.isna(r.seq) else int(r.seq), r.run_id, r.step_id)
+            for pdf in rows for r in pdf.itertuples(index=False)
+        ]
+        self.later.appendList(new)
+        return self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        limit = watermark_ms * 1000
+        rows = list(self.later.get()) if self.later.exists() else []
+        waiting = [tuple(w) for w in self.open.get()] if self.open.exists() else []
+        rest = [tuple(r) for r in rows if r[1] >= limit]
+        out = []
+        for kind, us, wake, seq, run, step in sorted((tuple(r) for r in rows if r[1] < limit), key=lambda r: (r[1], r[0], r[3] or 0)):
+            if kind == 0:
+                waiting.append((us, wake, run, step))
+                continue
+            out += [(key[0], w[2], w[3], w[0], seq, us, "resumed") if us <= w[1] else (key[0], w[2], w[3], w[0], None, None, "WAIT_TIMEOUT") for w in waiting]
+            waiting = []
+        out += [(key[0], w[2], w[3], w[0], None, None, "WAIT_TIMEOUT") for w in waiting if w[1] < limit]
+        waiting = [w for w in waiting if w[1] >= limit]
+        for state, left in ((self.later, rest), (self.open, waiting)):
+            state.put(left) if left else state.clear()
+        due = [r[1] for r in rest] + [w[1] for w in waiting]
+        if due:
+            self.handle.registerTimer(min(due) // 1000 + 1)
+        if out:
+            frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in self.FIELDS.split(", ")])
+            for c in ("seq", "event_us"):
+                frame[c] = frame[c].astype("Int64")
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def settle_waits(offered: DataFrame, processor: WaitsProcessor) -> DataFrame:
+    """Waits and events of a stream (see ``streaming.operators.offers``) through the processor."""
+    rows = offered.withColumn("us", F.unix_micros("ts"))
+    out = rows.groupBy("tenant_id", "wait_event", "any", "corr").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(WaitsProcessor.FIELDS), outputMode="append", timeMode="eventTime")
+    return out.select("tenant_id", "run_id", "step_id", F.timestamp_micros("wait_us").alias("wait_ts"), "seq", F.timestamp_micros("event_us").alias("event_ts"), "outcome")
+
+
+class OnceProcessor(StatefulProcessor):
+    """Lets a row of a key through unless another was within the span before; forgets the key when the watermark has passed its span."""
+
+    STATE = T.StructType().add("us", T.LongType())
+
+    def __init__(self, span_us: int, order: Sequence[str]):
+        self.span_us, self.order = span_us, list(order)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.cell = handle.getValueState("last", self.STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, ignore_index=True)
+        last = self.cell.get()[0] if self.cell.exists() else None
+        through = []
+        for us in pdf["once_us"]:
+            through.append(last is None or us - last > self.span_us)
+            last = int(us) if through[-1] else last
+        if any(through):
+            self.cell.update((last,))
+            self.handle.registerTimer((last + self.span_us) // 1000 + 1)
+        yield pdf[pd.Series(through, index=pdf.index)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.cell.exists() and self.cell.get()[0] + self.span_us < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.cell.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def let_through(timed: DataFrame, keys: Sequence[str], order: Sequence[str], span_us: int) -> DataFrame:
+    """Rows of a stream with a watermark and ``once_us``, once per key and span."""
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=OnceProcessor(span_us, order), outputStructType=timed.schema, outputMode="append", timeMode="eventTime")

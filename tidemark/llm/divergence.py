@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices, text_buffer, words
 from tidemark.session import cut_lineage
 
-SLICE = 4 << 20  # bytes of text counted together
+SLICE = 16 << 20  # bytes of text counted together
 KNOWN = 2_000_000  # digests that are sent to every task at most; more are joined by shuffle
+COMPARED = 1 << 18  # places compared with the first of their digest at a time
 TILE = 256  # sources compared with all others at a time
 CELLS = 1 << 21  # numbers in one comparison
 
@@ -41,17 +42,25 @@ _TERM[0x41:0x5B] = np.arange(0x61, 0x7B)
 _TERM[0x61:0x7B] = np.arange(0x61, 0x7B)
 _TERM[0x80:] = np.arange(0x80, 0x100)
 
-COUNTS = "lang string, source string, digest long, n_docs long, n long, low string, high string"
-SPLIT = "lang string, source string, digest long, term string, n_docs long, n long"
+COUNTS = "lang int, g int, digest long, n_docs long, n long, low string, high string"
+SPLIT = "lang int, g int, digest long, term string, n_docs long, n long"
 TERM = ["digest", "part"]
 
 
-def _groups(batch: pa.RecordBatch) -> tuple[list[tuple[str, str]], np.ndarray]:
-    """The groups of a batch and the number of each row's."""
-    numbers: dict[tuple[str, str], int] = {}
-    pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-    at = np.fromiter((numbers.setdefault(p, len(numbers)) for p in pairs), np.int64, batch.num_rows)
-    return list(numbers), at
+class Groups:
+    """The groups (language, source) of a corpus in order, and their numbers."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.pairs = sorted(pairs)
+        self.number = {p: i for i, p in enumerate(self.pairs)}
+        langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in self.pairs))}
+        self.lang = np.array([langs[lang] for lang, _ in self.pairs], np.int32)
+        self.first = np.searchsorted(self.lang, np.arange(len(langs)))  # number of each language's first group
+        self.size = np.bincount(self.lang, minlength=len(langs))
+
+    def of(self, batch: pa.RecordBatch) -> np.ndarray:
+        pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+        return np.fromiter((self.number[p] for p in pairs), np.int64, batch.num_rows)
 
 
 def _terms(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,34 +82,34 @@ def _gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _spellings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Smallest and largest string of each digest; ``first`` is the first place of each, ``number`` the digest of each place."""
+    """Smallest string of each digest, and the largest if it is another; ``first`` is the first place of each, ``number`` the digest of each place."""
     data, at = _gathered(buf, starts[first], ends[first])
     low = pa.StringArray.from_buffers(len(first), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
     size = ends - starts
     same = size == size[first][number]
-    here, there = starts[same], starts[first][number[same]]
-    mine, _ = _gathered(buf, here, here + size[same])
-    other, begin = _gathered(buf, there, there + size[same])
-    same[same] = np.add.reduceat(mine != other, begin[:-1]) == 0 if len(mine) else True
+    for lo in range(0, len(starts), COMPARED):
+        at = lo + np.flatnonzero(same[lo : lo + COMPARED])
+        mine, begin = _gathered(buf, starts[at], ends[at])
+        other, _ = _gathered(buf, starts[first][number[at]], ends[first][number[at]])
+        same[at] = ~np.logical_or.reduceat(mine != other, begin[:-1]) if len(at) else True
     if same.all():
-        return low, low
+        return low, pa.nulls(len(first), pa.string())
     strings: dict[int, set[str]] = defaultdict(set)
     for i in np.flatnonzero(np.isin(number, number[~same])):
         strings[int(number[i])].add(buf[starts[i] : ends[i]].tobytes().decode())
     smallest = low.to_pylist()
-    largest = list(smallest)
+    largest: list[str | None] = [None] * len(first)
     for k, found in strings.items():
         smallest[k], largest[k] = min(found, key=str.encode), max(found, key=str.encode)
     return pa.array(smallest, pa.string()), pa.array(largest, pa.string())
 
 
-def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(known: Groups, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in COUNTS.split(", ")]
         for batch in batches:
-            groups, group = _groups(batch)
+            group = known.of(batch)
             texts, offsets = text_buffer(batch.column("text"))
-            lang, source = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
             for lo, hi in slices(offsets, SLICE):
                 buf = _TERM[texts[offsets[lo] : offsets[hi]]]
                 starts, ends, digest, text = _terms(buf, offsets[lo : hi + 1] - offsets[lo], bits)
@@ -117,20 +126,21 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 g, at = cell[run_at] // len(ids), cell[run_at] % len(ids)
                 docs, n = np.diff(np.append(run_at, len(cell))), np.add.reduceat(n, run_at)
                 none = pa.nulls(len(g), pa.string())
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(g)), source.take(pa.array(g)), pa.array(ids[at]), pa.array(docs), pa.array(n), none, none], names)
-                none, gap = pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(known.lang[g]), pa.array(g.astype(np.int32)), pa.array(ids[at]), pa.array(docs), pa.array(n), none, none], names)
+                none, gap = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(ids), gap, gap, *_spellings(buf, starts, ends, first, number)], names)
 
     return run
 
 
-def _count_strings(bits: int, wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count_strings(known: Groups, bits: int, wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts by string; ``wanted`` are the sorted digests to look at (None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in SPLIT.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            groups, group = _groups(batch)
+            group = known.of(batch)
             texts, offsets = text_buffer(batch.column("text"))
             for lo, hi in slices(offsets, SLICE):
                 buf = _TERM[texts[offsets[lo] : offsets[hi]]]
@@ -140,12 +150,13 @@ def _count_strings(bits: int, wanted: np.ndarray | None) -> Callable[[Iterator[p
                 docs: Counter = Counter()
                 n: Counter = Counter()
                 for (t, d, term), k in each.items():
-                    key = (*groups[group[lo + t]], d, term)
+                    g = int(group[lo + t])
+                    key = (int(known.lang[g]), g, d, term)
                     docs[key] += 1
                     n[key] += k
                 columns = [list(c) for c in zip(*docs)] or [[], [], [], []]
                 columns += [list(docs.values()), [n[k] for k in docs]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (2, 4, 5) else pa.string()) for i, c in enumerate(columns)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
     return run
 
@@ -155,61 +166,66 @@ def _bounded(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
-def term_counts(docs: DataFrame, least_docs: int = 30, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Counts ``lang, source, digest, part, n_docs, n`` of terms that may be kept, and their texts ``digest, part, item``."""
-    rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = cut_lineage(rows.mapInArrow(_count(bits), COUNTS), "terms")
-    counts = found.where("n_docs IS NOT NULL").groupBy("lang", "source", "digest").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+def filled(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns))
+
+
+def term_counts(docs: DataFrame, known: Groups, least_docs: int = 30, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Counts ``lang, g, digest, part, n_docs, n`` of terms that may be kept, and their texts ``digest, part, item``."""
+    rows = filled(docs, "lang", "source", "text")
+    found = cut_lineage(rows.mapInArrow(_count(known, bits), COUNTS), "terms")
+    counts = found.where("n_docs IS NOT NULL").groupBy("lang", "g", "digest").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
     counts = cut_lineage(counts, "counts")
     enough = counts.groupBy("lang", "digest").agg(F.sum("n_docs").alias("d")).where(F.col("d") >= least_docs).select("digest").distinct()
     enough = cut_lineage(enough, "digests")
-    spelt = found.where("low IS NOT NULL").select("digest", "low", "high").join(_bounded(enough, KNOWN), "digest", "left_semi")
+    spelt = found.where("low IS NOT NULL").select("digest", "low", F.coalesce("high", "low").alias("high")).join(_bounded(enough, KNOWN), "digest", "left_semi")
     spelt = cut_lineage(spelt.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "spellings")
     counts = counts.join(_bounded(enough, KNOWN), "digest", "left_semi").withColumn("part", F.lit(0))
     texts = spelt.where("low = high").select("digest", F.lit(0).alias("part"), F.col("low").alias("item"))
     shared = cut_lineage(spelt.where("low <> high").select("digest"), "shared")
     clashes = shared.count()
     if clashes == 0:
-        return counts.select("lang", "source", *TERM, "n_docs", "n"), texts
+        return counts.select("lang", "g", *TERM, "n_docs", "n"), texts
     wanted = np.sort(np.array([r.digest for r in shared.collect()], np.int64)) if clashes <= KNOWN else None
-    split = rows.mapInArrow(_count_strings(bits, wanted), SPLIT).join(shared, "digest", "left_semi")
-    split = cut_lineage(split.groupBy("lang", "source", "digest", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), "split")
+    split = rows.mapInArrow(_count_strings(known, bits, wanted), SPLIT).join(shared, "digest", "left_semi")
+    split = cut_lineage(split.groupBy("lang", "g", "digest", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), "split")
     named = split.select("digest", "term").distinct().withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("term")))
     named = cut_lineage(named, "named")
     counts = counts.join(shared, "digest", "left_anti").unionByName(split.join(named, ["digest", "term"]).drop("term"))
-    return counts.select("lang", "source", *TERM, "n_docs", "n"), texts.unionByName(named.select(*TERM, F.col("term").alias("item")))
+    return counts.select("lang", "g", *TERM, "n_docs", "n"), texts.unionByName(named.select(*TERM, F.col("term").alias("item")))
 
 
 def rate(count: Column, total: Column, terms: Column, smoothing: int, scale: int) -> Column:
     """``1 + floor(scale * (count + smoothing) / (total + smoothing * terms))`` in whole numbers; null without terms."""
-    upper = (count + smoothing).cast("decimal(20,0)") * F.lit(scale).cast("decimal(18,0)")
-    lower = (total + terms * smoothing).cast("decimal(38,0)")
+    upper = (count.cast("long") + smoothing).cast("decimal(20,0)") * F.lit(scale).cast("decimal(18,0)")
+    lower = (total.cast("long") + terms.cast("long") * smoothing).cast("decimal(38,0)")
     return F.when(terms > 0, F.call_function("div", upper.cast("decimal(38,0)"), lower) + 1)
 
 
-def _pair_sums(first: dict[int, int], rest: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pair_sums(known: Groups, rest: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sums of differences for the tiles of a task.
 
-    ``first`` is the number of a language's first group, ``rest`` the rates of a term that its groups do not hold.
+    ``rest`` is each group's rate of a term that it does not hold.
     """
 
     def told(lang: int, tile: int, sums: np.ndarray) -> pa.RecordBatch:
         g, h = np.divmod(np.arange(sums.size), sums.shape[1])
         g = g + tile * TILE
         other = g != h
-        return pa.RecordBatch.from_arrays([pa.array(g[other] + first[lang]), pa.array(h[other] + first[lang]), pa.array(sums.ravel()[other])], ["g", "h", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(g[other] + known.first[lang]), pa.array(h[other] + known.first[lang]), pa.array(sums.ravel()[other])], ["g", "h", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, np.zeros(0, np.int64)
         for batch in batches:
-            langs, tiles = (batch.column(c).to_numpy() for c in ("lang_no", "tile"))
+            langs, tiles = (batch.column(c).to_numpy() for c in ("lang", "tile"))
             cells = batch.column("cells")
             at, flat = cells.offsets.to_numpy(), cells.values  # null cells hold nothing
-            no, p = flat.field("no").to_numpy(zero_copy_only=False), flat.field("p").to_numpy(zero_copy_only=False)
+            g_all, p = flat.field("g").to_numpy(zero_copy_only=False), flat.field("p").to_numpy(zero_copy_only=False)
             begins = _runs(langs.astype(np.int64) * (1 << 40) + tiles)
             for lo, hi in zip(begins, np.append(begins[1:], len(langs))):
                 key = (int(langs[lo]), int(tiles[lo]))
-                base = rest[key[0]]
+                begin = known.first[key[0]]
+                base = rest[begin : begin + known.size[key[0]]]
                 if key != now:
                     if now is not None:
                         yield told(*now, sums)
@@ -220,7 +236,7 @@ def _pair_sums(first: dict[int, int], rest: dict[int, np.ndarray]) -> Callable[[
                     counts = np.diff(at[i : j + 1])
                     held = np.repeat(np.arange(j - i), counts)
                     table = np.repeat(base[None, :], j - i, axis=0)
-                    table[held, no[at[i] : at[j]]] = p[at[i] : at[j]]
+                    table[held, g_all[at[i] : at[j]] - begin] = p[at[i] : at[j]]
                     table = table[counts > 0]
                     for k in range(len(sums)):
                         sums[k] += np.abs(table - table[:, key[1] * TILE + k, None]).sum(axis=0)
@@ -235,43 +251,38 @@ def audit(docs: DataFrame, least_docs: int = 30, smoothing: int = 5, scale: int
 
     A language keeps the terms in at least ``least_docs`` of its documents.  ``bits`` is the width of a digest.
     """
-    counts, texts = term_counts(docs, least_docs, bits)
+    spark = docs.sparkSession
+    known = Groups([(r.lang, r.source) for r in filled(docs, "lang", "source").distinct().collect()])
+    counts, texts = term_counts(docs, known, least_docs, bits)
     kept = counts.groupBy("lang", *TERM).agg(F.sum("n_docs").alias("d"), F.sum("n").alias("in_lang")).where(F.col("d") >= least_docs).drop("d")
     kept = cut_lineage(kept, "kept")
-    cells = cut_lineage(counts.join(kept, ["lang", *TERM]).select("lang", "source", *TERM, "n", "in_lang"), "cells")
+    cells = cut_lineage(counts.join(kept, ["lang", *TERM]).select("lang", "g", *TERM, "n", "in_lang"), "cells")
 
-    groups = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    groups = groups.join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
+    names = spark.createDataFrame([(g, int(known.lang[g]), *pair) for g, pair in enumerate(known.pairs)], "g int, lang int, lang_name string, source string")
+    groups = names.join(cells.groupBy("g").agg(F.sum("n").alias("total")), "g", "left")
     groups = groups.join(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("in_lang").alias("lang_total")), "lang", "left")
     groups = groups.fillna(0, ["total", "v", "lang_total"])
     zero = rate(F.lit(0).cast("long"), F.col("total"), F.col("v"), smoothing, scale)
-    groups = groups.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).withColumn("p0", F.coalesce(zero, F.lit(0).cast("long")))
-    groups = cut_lineage(groups, "groups")
-
-    listed = sorted(groups.select("lang", "no", "p0").collect())
-    lang_no = {lang: i for i, lang in enumerate(dict.fromkeys(r.lang for r in listed))}
-    first: dict[int, int] = {}
-    rest: dict[int, list[int]] = defaultdict(list)
-    for i, r in enumerate(listed):
-        first.setdefault(lang_no[r.lang], i)
-        rest[lang_no[r.lang]].append(r.p0)
-    spark = docs.sparkSession
-    langs = [(lang, n, first[n], (len(rest[n]) - 1) // TILE) for lang, n in lang_no.items()]
-    langs = spark.createDataFrame(langs, "lang string, lang_no int, first long, tiles int")
-    groups = groups.join(langs, "lang").withColumn("g", F.col("first") + F.col("no"))
-
-    rated = cells.join(groups, ["lang", "source"]).select("*", rate(F.col("n"), F.col("total"), F.col("v"), smoothing, scale).alias("p"), rate(F.col("in_lang"), F.col("lang_total"), F.col("v"), smoothing, scale).alias("q"))
-    favoured = rated.where("p > q").select("lang", "source", *TERM, (F.col("p") - F.col("q")).alias("value"))
-    w = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    groups = cut_lineage(groups.withColumn("p0", F.coalesce(zero, F.lit(0).cast("long"))), "groups")
+    rest = np.zeros(len(known.pairs), np.int64)
+    for r in groups.select("g", "p0").collect():
+        rest[r.g] = r.p0
+
+    total = groups.select("g", "total", "v", "lang_total")
+    rated = cells.join(total, "g").select("*", rate(F.col("n"), F.col("total"), F.col("v"), smoothing, scale).alias("p"), rate(F.col("in_lang"), F.col("lang_total"), F.col("v"), smoothing, scale).alias("q"))
+    favoured = rated.where("p > q").select("g", *TERM, (F.col("p") - F.col("q")).alias("value"))
+    w = Window.partitionBy("g").orderBy(F.desc("value"))
     favoured = favoured.withColumn("r", F.rank().over(w)).where(F.col("r") <= top).drop("r").join(texts, TERM)
     favoured = favoured.withColumn("rank", F.row_number().over(w.orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
 
-    rows = rated.groupBy("lang_no", "tiles", *TERM).agg(F.collect_list(F.struct("no", "p")).alias("cells"))
-    rows = rows.select("lang_no", F.pmod(F.xxhash64(*TERM), F.lit(64)).alias("shard"), F.explode(F.sequence(F.lit(0), "tiles")).alias("tile"), "cells")
-    rows = rows.unionByName(langs.select("lang_no", F.lit(0).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), "tiles")).alias("tile"), F.array().cast(rows.schema["cells"].dataType).alias("cells")))
-    sums = rows.repartition("lang_no", "tile", "shard").sortWithinPartitions("lang_no", "tile").select("lang_no", "tile", "cells")
-    sums = sums.mapInArrow(_pair_sums(first, {k: np.array(v, np.int64) for k, v in rest.items()}), "g long, h long, value long").groupBy("g", "h").agg(F.sum("value").alias("value"))
-    pairs = sums.join(groups.select("g", "lang", "source"), "g").join(groups.select(F.col("g").alias("h"), F.col("source").alias("item")), "h")
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
-    columns = ["lang", "source", "part", "item", "value", "rank"]
-    return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(favoured.withColumn("part", F.lit("term")).select(columns))
+    tiles = spark.createDataFrame([(i, (int(n) - 1) // TILE) for i, n in enumerate(known.size)], "lang int, tiles int")
+    rows = rated.groupBy("lang", *TERM).agg(F.collect_list(F.struct("g", "p")).alias("cells")).join(tiles, "lang")
+    rows = rows.select("lang", F.pmod(F.xxhash64(*TERM), F.lit(64)).alias("shard"), F.explode(F.sequence(F.lit(0), "tiles")).alias("tile"), "cells")
+    rows = rows.unionByName(tiles.select("lang", F.lit(0).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), "tiles")).alias("tile"), F.array().cast(rows.schema["cells"].dataType).alias("cells")))
+    sums = rows.repartition("lang", "tile", "shard").sortWithinPartitions("lang", "tile").select("lang", "tile", "cells")
+    sums = sums.mapInArrow(_pair_sums(known, rest), "g long, h long, value long").groupBy("g", "h").agg(F.sum("value").alias("value"))
+    pairs = sums.join(names.select(F.col("g").cast("long").alias("h"), F.col("source").alias("item")), "h")
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "item")))
+    columns = ["g", "part", "item", "value", "rank"]
+    found = pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(favoured.withColumn("part", F.lit("term")).select(columns))
+    return found.join(names.select("g", F.col("lang_name").alias("lang"), "source"), "g").select("lang", "source", "part", "item", "value", "rank")

@@ -441,6 +441,32 @@ def test_html_whole_articles():
     assert html.main_text(PAGE % f"<div>before</div><article><h1>Head</h1>{para[0]}<p>End.</p></article><div>after</div>") == "\n".join(["Head", body[0], "End."])
 
 
+def test_html_names_surge_and_dive():
+    words = [" ".join([w] * 40) for w in ("alpha", "beta", "gamma")]
+    para = [f"<p>{x}</p>" for x in words]
+    # names that mention something unwanted without being it, and names of an element with most of the text
+    for name in ("content with-sidebar", "layout has-sidebar", "top-story", "post no-comments", "main-content widget-area", "page sidebar-right", "story share-enabled", "tag-news"):
+        assert html.main_text(PAGE % f"<div class='{name}'><h1>Head</h1>{''.join(para)}</div>") == "\n".join(["Head", *words]), name
+    for name in ("ad", "sidebar-right", "siteFooter", "page__sidebar--wide", "comments", "post-comments", "comment-list", "cookie-notice"):
+        assert html.main_text(PAGE % f"<div class='body'><h1>Head</h1>{para[0]}</div><div class='{name}'>{para[1] * 5}</div>") == f"Head\n{words[0]}", name
+    # bylines, anchors and captions of an article stay
+    article = f"<article><h1>H</h1><div class='meta'>By me</div>{para[0]}<section id='related-work'><h2 id='social-context'>R</h2>{para[1]}</section><figure><img><figcaption>Cap</figcaption></figure></article>"
+    assert html.main_text(PAGE % article) == "\n".join(["H", "By me", words[0], "R", words[1], "Cap"])
+    # the dive ends an article before short lines, the surge begins it after them
+    assert html.main_text(f"<body><div>Home</div>{para[0]}{para[1]}{'<div>junk</div>' * 12}</body>") == "\n".join(words[:2])
+    # a list in the middle and short paragraphs at the end belong to it, lists of links do not
+    links = "<ul>" + "".join(f"<li><a href='{i}'>a story of some length that is linked {i}</a></li>" for i in range(9)) + "</ul>"
+    page = f"<div class='post'><h1>H</h1>{para[0]}<ul>{'<li>an item</li>' * 9}</ul>{para[1]}<p>short</p><p>shorter</p><p>end</p></div><div>{links}</div>"
+    assert html.main_text(PAGE % page) == "\n".join(["H", words[0], *["an item"] * 9, words[1], "short", "shorter", "end"])
+    assert html.main_text(PAGE % f"<div class='ad x'>{para[0]}</div><article><h1>H</h1><p>short</p></article>") == "H\nshort"
+
+
+def test_html_null_ids_and_repeated_pages(spark):
+    rows = [(None, None, PAGE % f"<article>{BODY}</article>")] * 2 + [(1, "u", None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, TEXT), (0, TEXT), (1, "")]
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, ["x"]).limit(0)
     for f in (substring.removal_digest, suffixes.removal_digest, neardup.near_duplicates, neardup.deduplicated):

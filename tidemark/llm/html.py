@@ -1,21 +1,26 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to *lines* (the text of one block element each).  Sliding windows over
-consecutive lines sum their text lengths; the text surges where a window rises above a threshold
-after quiet lines and dives where it falls silent again; the stretch between the surge and the
-dive with the most text is the article.  A heading whose byline and date are too short to surge
-belongs to the stretch after it.
-
-What a line weighs is its length, corrected by what the markup says outright: lines in menus,
-headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are never printed and are taken out beforehand, so they do not interrupt an article; lines
-inside ``article`` or ``main`` weigh at least a window's threshold, so a short heading or paragraph
-there does not end the stretch, and where such elements hold most of the text that surges the lines
+consecutive lines sum their text lengths, link text left out; the text surges where a window rises
+above a threshold and dives where the windows fall below it again; the stretch between surge and
+dive with the most text is the article.  Stretches are one where only paragraphs, list items, cells
+and headings lie between them, or where both sides lie in the same element.  Short paragraphs of
+the same element that follow or precede a stretch belong to it, and so does a heading whose byline
+and date are too short to surge; short lines of other elements at its ends do not.
+
+What the markup says outright comes first.  Lines in menus, page headers, footers, sidebars, notices,
+adverts, forms, scripts and styles are taken out beforehand, so they do not interrupt an article,
+and so are reader comments.  Where only the name of an element says so, the name has to be about
+the element (``with-sidebar``, ``no-comments`` and ``share-enabled`` are not), and an element that
+also has other names and holds most of the page's text stays, reader comments excepted.  Lines inside
+``article`` or ``main`` weigh at least a window's threshold, so a short heading or paragraph there
+does not end the stretch, and where such elements hold most of the text that surges the lines
 outside them weigh nothing.  Where they hold less (teaser cards) they are lines like any other.
 
 Defined cases: a null or empty page gives an empty text; unclosed, overlapping and unknown tags
 are tolerated (a block element ends the line before it); a page of one long line is one block;
-equal peaks go to the earlier stretch; rows that repeat give equal results.
+equal peaks go to the earlier stretch; names of inline elements, headings and the page itself say
+nothing; rows that repeat or have a null id give equal results.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,59 +41,97 @@ SURGE = 80  # code points in a window that count as text
 
 # what the elements and their names mean
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "noframes", "xmp"}
-DROP = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "head", "figcaption", "object", "embed", "canvas", "map", "label", "input", "option", "datalist"}
+DROP = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "head", "object", "embed", "canvas", "map", "label", "input", "option", "datalist"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|foot|masthead|site-?header|page-?header"
-    r"|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|social\w*|share\w*|sharing|related\w*|recommend\w*|widget\w*"
-    r"|comments?|comment-?list|respond|replies|reply|disqus|pagination|pager|copyright|legal|disclaimer|toolbar|skip\w*)(?:$|[\s_-])",
-    re.IGNORECASE,
+TEXT = {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "summary"} | HEADINGS
+FLOW = {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "hr", "br"}  # between a text element and the element it belongs to
+# words of class, id and role
+ABOUT_COMMENTS = re.compile(r"comments?|commentlist|respond|repl(?:y|ies)|disqus")
+ABOUT_UNWANTED = re.compile(
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay"
+    r"|newsletter|subscribe|signup|login|search|searchbox|social|share|sharing|related|recommended|recommendations|widgets?|pagination|pager|copyright|legal|disclaimer|toolbar|skip"
 )
-UNWANTED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|tags?|meta|top|bottom)(?:$|[\s_-])", re.IGNORECASE)  # only where no main element is open
+ABOUT_HEADER = {"site", "page", "main", "global", "top"}  # what a page's header is called besides
+NEGATED = {"no", "with", "has", "without", "is", "non", "not"}
+CONTAINERS = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "form", "holder", "icons", "inner", "item", "items", "label", "left", "link",
+    "links", "list", "main", "menu", "news", "outer", "panel", "posts", "primary", "right", "secondary", "section", "slot", "stories", "text", "title", "top", "topics", "unit", "widget", "wrap", "wrapper",
+}
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """The blocks of a page in order, each with 1 (inside the main element), -1 (in an unwanted one) or 0, and with its level if it is a heading, else 0."""
-    out: list[tuple[str, int, int]] = []
-    held: list[str] = []
-    state = level = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, unwanted, main
-    unwanted = main = 0
-    at = 0
+class Line(NamedTuple):
+    text: str
+    plain: int  # code points that are not link text
+    inside: bool  # in the main element
+    level: int  # of a heading, else 0
+    marked: bool  # in an element made for text
+    parent: int  # the element it belongs to
+    named: frozenset[int]  # elements around it with names that call them unwanted and others that do not
+
+
+@lru_cache(1 << 14)
+def about(token: str) -> str:
+    """What a name says of its element: ``comments``, ``unwanted``, ``header`` or nothing."""
+    words = [w.lower() for w in WORD.findall(token.split("--")[0])]
+    if not words or words[0] in NEGATED:
+        return ""
+    if words[-1] == "header" and set(words[:-1]) <= ABOUT_HEADER:
+        return "header"
+    for kind, pattern in (("comments", ABOUT_COMMENTS), ("unwanted", ABOUT_UNWANTED)):
+        if pattern.fullmatch(words[-1]) or (pattern.fullmatch(words[0]) and CONTAINERS.issuperset(words[1:])):
+            return kind
+    return ""
+
+
+def said(element: str, attributes: str) -> set[str]:
+    if element in INLINE or element in HEADINGS or element in ("html", "body"):
+        return set()
+    given = ((a.lower(), b or c or d) for a, b, c, d in NAMED.findall(attributes))
+    return {about(t) for a, names in given if element not in TEXT or a == "class" for t in names.split()}
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page in order, but for those that the markup puts into unwanted elements or reader comments."""
+    out: list[Line] = []
+    held: list[tuple[str, bool]] = []
+    stack: list[tuple[str, str, int]] = []  # element, what it is, number
+    counts = {"drop": 0, "main": 0, "link": 0, "named": 0, "text": 0}
+    level = number = at = 0
 
     def end_line():
         nonlocal level
-        if held:
-            text = SPACE.sub(" ", html.unescape("".join(held))).strip()
-            held.clear()
+        if held and not counts["drop"]:
+            text = SPACE.sub(" ", html.unescape("".join(t for t, _ in held))).strip()
             if text:
-                out.append((text, state, level))
+                links = sum(len(SPACE.sub(" ", html.unescape(t)).strip()) for t, linked in held if linked)
+                parent = next((k for e, _, k in reversed(stack) if e not in TEXT and e not in INLINE and e not in FLOW), 0)
+                named = frozenset(k for _, what, k in stack if what == "named") if counts["named"] else frozenset()
+                out.append(Line(text, max(0, len(text) - links), counts["main"] > 0, level, counts["text"] > 0, parent, named))
                 level = 0
-
-    def note():
-        nonlocal state
-        state = -1 if unwanted else 1 if main else 0
+        held.clear()
 
     def pop():
-        nonlocal unwanted, main
-        _, bad, good = stack.pop()
-        unwanted, main = unwanted - bad, main - good
+        element, what, _ = stack.pop()
+        if what:
+            counts[what] -= 1
+        counts["text"] -= element in TEXT
 
     n = len(page)
     while at < n:
         m = TAG.search(page, at)
+        end = n if m is None else m.start()
+        if end > at:
+            held.append((page[at:end], counts["link"] > 0))
         if m is None:
-            held.append(page[at:])
             break
-        if m.start() > at:
-            held.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -100,7 +145,6 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
-            note()
             continue
         if name in VOID or m[3].endswith("/"):
             continue
@@ -110,40 +154,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         if stack and name in CLOSED_BY_NEXT and stack[-1][0] == name:
             pop()
-        named = " ".join(a or b or c for a, b, c in NAMED.findall(m[3]))
-        good = name in MAIN
-        bad = name in DROP or (name == "header" and not main)
-        if named and not good and name not in ("html", "body"):
-            bad = bad or bool(UNWANTED.search(named)) or (not main and bool(UNWANTED_OUTSIDE.search(named)))
-        stack.append((name, bad, good))
-        unwanted, main = unwanted + bad, main + good
-        note()
+        names = said(name, m[3]) if m[3] else set()
+        if name in DROP or (name == "header" and not counts["main"]) or "comments" in names:
+            what = "drop"
+        elif name in MAIN:
+            what = "main"
+        elif "unwanted" in names or ("header" in names and not counts["main"]):
+            what = "named" if "" in names else "drop"
+        else:
+            what = "link" if name == "a" else ""
+        number += 1
+        stack.append((name, what, number))
+        if what:
+            counts[what] += 1
+        counts["text"] += name in TEXT
     end_line()
     return out
 
 
-def stretch(weights: np.ndarray, span: int = SPAN, surge: int = SURGE) -> tuple[int, int]:
-    """First and last line (exclusive) of the stretch with the most text between a surge and a dive."""
-    n = len(weights)
-    if n == 0 or not weights.any():
-        return 0, 0
-    sums = np.convolve(weights, np.ones(span), "full")[span - 1 :]  # the window that starts at each line
-    back = np.convolve(weights, np.ones(span), "full")[:n]  # the window that ends at each line
-    best, chosen, i = -1.0, (0, 0), 0
-    loud = surge if max(sums.max(), back.max()) >= surge else 1
-    while i < n:
-        if weights[i] == 0 or sums[i] < loud:
-            i += 1
-            continue
-        j = i
-        while j < n and (sums[j] > 0 if weights[j] == 0 else True) and (weights[j] > 0 or back[j] > 0):
-            j += 1
-        while weights[j - 1] == 0:
-            j -= 1
-        if weights[i:j].sum() > best:
-            best, chosen = weights[i:j].sum(), (i, j)
-        i = j
-    return chosen
+def without_named(lines: list[Line]) -> list[Line]:
+    """The lines outside elements called unwanted, unless such an element holds most of the text and no main element lies elsewhere."""
+    held: dict[int, int] = {}
+    for line in lines:
+        for k in line.named:
+            held[k] = held.get(k, 0) + line.plain
+    whole = sum(line.plain for line in lines)
+    gone = {k for k, size in held.items() if 2 * size <= whole or any(line.inside and k not in line.named for line in lines)}
+    return [line for line in lines if gone.isdisjoint(line.named)]
 
 
 def surging(weights: np.ndarray, span: int = SPAN, surge: int = SURGE) -> np.ndarray:
@@ -152,24 +189,73 @@ def surging(weights: np.ndarray, span: int = SPAN, surge: int = SURGE) -> np.nda
     return np.convolve(full, np.ones(span), "full")[span - 1 : span - 1 + len(weights)] > 0.5
 
 
+def stretch(weights: np.ndarray, span: int = SPAN, surge: int = SURGE, joins=lambda i, j: False) -> tuple[int, int]:
+    """First and last line (exclusive) of the stretch with the most text between a surge and a dive.
+
+    ``joins(i, j)`` says whether the lines from ``i`` to ``j`` (exclusive) between two stretches belong to both.
+    """
+    n = len(weights)
+    if n == 0 or not weights.any():
+        return 0, 0
+    loud = surging(weights, span, surge)
+    if not loud.any():
+        loud = surging(weights, span, 1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], loud, [0]])))
+    found: list[tuple[int, int]] = []
+    for i, j in zip(edges[::2], edges[1::2]):
+        heard = i + np.flatnonzero(weights[i:j])  # a loud window begins and ends with silent lines
+        i, j = int(heard[0]), int(heard[-1]) + 1
+        if found and joins(found[-1][1], i):
+            i = found.pop()[0]
+        found.append((i, j))
+    return max(found, key=lambda x: (weights[x[0] : x[1]].sum(), -x[0]))
+
+
 def with_heading(levels: list[int], start: int, span: int = SPAN) -> int:
     """The last heading of the highest level before the surge's first window ends, if it lies before the surge."""
     at = [i for i in range(min(len(levels), start + span)) if levels[i]]
     return min(start, min(at, key=lambda i: (levels[i], -i), default=start))
 
 
+def settle(lines: list[Line], start: int, end: int, short: float) -> tuple[int, int]:
+    """Move the ends of a stretch: off short lines of other elements, on to text of the same elements."""
+
+    def part(i):
+        return lines[i].marked or lines[i].level or lines[i].plain >= short
+
+    kin = {lines[i].parent for i in range(start, end) if part(i)}
+    while start < end and not part(start) and lines[start].parent not in kin:
+        start += 1
+    while end > start and not part(end - 1) and lines[end - 1].parent not in kin:
+        end -= 1
+    while start > 0 and lines[start - 1].parent in kin and lines[start - 1].marked and lines[start - 1].plain:
+        start -= 1
+    while end < len(lines) and lines[end].parent in kin and lines[end].marked and lines[end].plain:
+        end += 1
+    return start, end
+
+
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
-    lines = [x for x in lines_of(page or "") if x[1] >= 0]
+    lines = without_named(lines_of(page or ""))
     if not lines:
         return ""
-    weights, inside = np.array([len(t) for t, _, _ in lines], float), np.array([s > 0 for _, s, _ in lines])
-    loud = weights * surging(weights, span, surge)
+    inside = np.array([x.inside for x in lines])
+    sizes = np.array([len(x.text) for x in lines], float)
+    loud = sizes * surging(sizes, span, surge)
     if inside.any() and loud[inside].sum() >= loud[~inside].sum():
-        lines = [x for x in lines if x[1] > 0]
-        weights = np.maximum(weights[inside], surge)
-    a, b = stretch(weights, span, surge)
-    a = with_heading([level for _, _, level in lines], a, span)
-    return "\n".join(t for t, _, _ in lines[a:b])
+        lines = [x for x in lines if x.inside]
+        return "\n".join(x.text for x in lines)
+    weights = np.array([x.plain for x in lines], float)
+
+    def joins(i, j):
+        between = lines[i:j]
+        return lines[i - 1].parent == lines[j].parent or all(x.marked and x.plain for x in between)
+
+    a, b = stretch(weights, span, surge, joins)
+    if weights[a:b].max(initial=0) * span >= surge:
+        a, b = settle(lines, a, b, surge / span)
+    a = with_heading([x.level for x in lines], a, span)
+    return "\n".join(x.text for x in lines[a:b])
 
 
 def extract(pages: DataFrame, keep: list[str | Column] = ("page_id", "url"), span: int = SPAN, surge: int = SURGE) -> DataFrame:

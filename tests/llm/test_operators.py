@@ -281,6 +281,83 @@ def test_language_id(spark):
     assert (whole == parts).all()
 
 
+def brute_bayes(train, texts):
+    """Naive Bayes over all n-grams, one n-gram at a time."""
+    def grams(text):
+        text = text.lower()
+        for size in langid.SIZES:
+            for i in range(len(text) - size + 1):
+                h = size * 0x9E3779B1 & 0xFFFFFFFF
+                for c in text[i : i + size]:
+                    h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h % langid.BUCKETS
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in train:
+        if text is not None and lang is not None:
+            counts[lang].update(grams(text))
+            docs[lang] += 1
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        g = list(grams(text))
+        prior = {x: math.log(docs[x] / sum(docs.values())) for x in docs}
+        sums = {x: sum(math.log((counts[x][k] + 0.5) / (counts[x].total() + 0.5 * langid.BUCKETS)) for k in g) for x in docs}
+        best = max(sorted(docs), key=lambda x: sums[x] + prior[x])
+        temper = min(1.0, langid.TEMPER / max(1, len(g)))
+        out.append((best, 1 / sum(math.exp(sums[x] * temper + prior[x] - sums[best] * temper - prior[best]) for x in docs)))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    rnd = random.Random(8)
+    letters = {"aa": "abcdeilnorst", "bb": "abcdeilnorsz", "cc": "üöäßéè abc", "rare": "xyzabcde"}
+    word = lambda x: "".join(rnd.choice(letters[x]) for _ in range(rnd.randrange(1, 8)))
+    train = [(" ".join(word(x) for _ in range(30)), x) for x, n in (("aa", 70), ("bb", 60), ("cc", 20), ("rare", 3)) for _ in range(n)] + [(None, "aa"), ("", "bb"), ("Ab", None)]
+    texts = [" ".join(word(rnd.choice(list(letters))) for _ in range(rnd.randrange(1, 40))) for _ in range(150)] + [None, "", "7", "z", "ÀÉ"]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    langs, scores = langid.score_texts(model, texts)
+    want = brute_bayes(train, texts)
+    assert langs == [x for x, _ in want]
+    assert np.allclose(scores, [s for _, s in want], atol=1e-4)
+
+
+def test_rare_languages_are_learned_and_found(spark):
+    # a bound takes rows of frequent languages only, priors come from all rows
+    rows = [(f"the house of {i}", "en") for i in range(2000)] + [("ny hus og sne", "da")] * 2
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), max_docs=200)
+    assert model.languages == ["da", "en"] and np.allclose(np.exp(model.prior), [2 / 2002, 2000 / 2002])
+    assert langid.bound_of([2, 2000], 200) == 198 and langid.bound_of([5, 5], 100) >= 5 and langid.bound_of([], 10) == 10
+    # a long text of a rare language is not outvoted by the label shares, however small its lead a gram
+    even = np.full((2, langid.BUCKETS), -5.0, np.float32)
+    even[0] += 0.05
+    close = langid.Model(["da", "en"], even, np.log([1 / 601, 600 / 601]), langid.SIZES)
+    assert langid.score_texts(close, ["some words " * 100])[0] == ["da"]
+    assert langid.score_texts(close, ["some"])[0] == ["en"]
+    # equal posteriors go to the language first by code point
+    flat = langid.Model(["da", "en"], np.full((2, langid.BUCKETS), -5.0, np.float32), np.log([0.5, 0.5]), langid.SIZES)
+    assert langid.score_texts(flat, ["some"])[0] == ["da"]
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    from tidemark.llm.queries import op3, op8
+
+    rows = [(i if i < 40 else None, f"word number {i}", "en", "s") for i in range(42)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for op, n, k in ((op3, 5, 0), (op8, 3, 1)):
+        got = op(spark, str(tmp_path)).collect()
+        assert len(got) == 42 and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % n == k) for r in got)
+
+
+def test_repeated_labels_count_once(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (2, 1), (3, 0), (None, 1), (4, 7)], "doc_id bigint, quality int")
+    assert sorted(quality.bounded_sample(labels, 3).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
 def test_quality_ranking(spark):
     rnd = random.Random(1)
     good = [prose(rnd, 80).capitalize() + "." for _ in range(60)]

@@ -2,7 +2,11 @@
 
 Counts of every (language, bucket) are summed by Spark; the matrix of log probabilities has a
 fixed size (buckets x languages) and is broadcast; texts are scored in numpy, batch by batch, by
-summing the rows of the n-grams that occur.
+summing the rows of the n-grams that occur.  The language is the one of the largest posterior over
+all n-grams; neighbouring n-grams overlap, so the score is the posterior with the evidence tempered.
+
+At most about ``max_docs`` labelled texts are read for the counts: rare languages whole, frequent
+ones up to one bound for all.  The priors come from all labelled rows.
 
 Defined cases: a null text, an empty text or one without a letter is ``und`` with score 0; ties
 go to the language first by code point; with no labelled row everything is ``und``; rows that
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 SIZES = (2, 3)
-TEMPER = 40.0  # n-grams that the evidence of a text counts as at most: the score is a tempered posterior
+TEMPER = 40.0  # n-grams that the evidence of a text counts as at most in the score
 PIECE = 1 << 19  # code points that one numpy pass works on
 
 
@@ -61,6 +65,17 @@ def bucket_counts(text: str, sizes=SIZES, buckets: int = BUCKETS) -> np.ndarray:
     return total
 
 
+def bound_of(sizes: list[int], total: int) -> float:
+    """The bound that, put on every size, makes their sum at most ``total``."""
+    left, bound = total, float(total)
+    for k, size in enumerate(sorted(sizes)):
+        bound = left / (len(sizes) - k)
+        if size > bound:
+            break
+        left -= size
+    return bound
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -70,36 +85,32 @@ class Model:
 
 
 def fit(labelled: DataFrame, max_docs: int = 20_000, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS, smooth: float = 0.5) -> Model:
-    """Learn from ``labelled(text, lang)``; of more than ``max_docs`` rows a hash sample of about that many."""
+    """Learn from ``labelled(text, lang)``; of more than ``max_docs`` rows a hash sample of about that many, by language."""
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    n = rows.count()
-    if n > max_docs:
-        share = int(max_docs / n * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share)
+    known: dict[str, int] = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if sum(known.values()) > max_docs:
+        shares = {lang: min(1.0, bound_of(list(known.values()), max_docs) / n) for lang, n in known.items()}
+        share = F.create_map(*[F.lit(x) for lang, s in shares.items() for x in (lang, int(s * 1_000_000))])
+        rows = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 have.setdefault(lang, np.zeros(buckets, np.int64))
                 have[lang] += bucket_counts(text, sizes, buckets)
-                docs[lang] = docs.get(lang, 0) + 1
         for lang, c in have.items():
             at = np.flatnonzero(c)
-            at_, c_ = np.append(at, -1), np.append(c[at], docs[lang])  # bucket -1 counts the documents
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at_)), pa.array(at_), pa.array(c_)], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
 
     # at most buckets x languages rows reach the driver
     found: pd.DataFrame = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique())
+    languages = sorted(known)
     matrix = np.full((len(languages), buckets), smooth)
-    prior = np.zeros(len(languages))
     for i, lang in enumerate(languages):
         own = found[found["lang"] == lang]
-        grams_ = own[own["bucket"] >= 0]
-        matrix[i, grams_["bucket"]] += grams_["n"]
-        prior[i] = own.loc[own["bucket"] < 0, "n"].sum()
+        matrix[i, own["bucket"]] += own["n"]
+    prior = np.array([known[lang] for lang in languages], float)
     log_p = np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32) if languages else matrix.astype(np.float32)
     return Model(languages, log_p, np.log(prior / max(1.0, prior.sum())) if languages else prior, tuple(sizes))
 
@@ -119,9 +130,9 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
                 if len(at):
                     total += [row.take(at).sum(dtype=np.float64) for row in model.log_p]
             tail = piece[-(max(model.sizes) - 1) :] if max(model.sizes) > 1 else ""
+        best = int(np.argmax(total + model.prior))
         evidence = total * min(1.0, TEMPER / max(1, n)) + model.prior
         p = np.exp(evidence - evidence.max())
-        best = int(np.argmax(evidence))
         out.append(model.languages[best])
         scores[i] = p[best] / p.sum()
     return out, scores

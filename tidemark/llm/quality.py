@@ -132,8 +132,8 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def bounded_sample(labels: DataFrame, max_docs: int) -> DataFrame:
-    """About ``max_docs`` of the labels ``(doc_id, quality)`` by a hash of the id, all if there are fewer."""
-    rows = labels.select("doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL")
+    """About ``max_docs`` of the labels ``(doc_id, quality)`` by a hash of the id, all if there are fewer; several labels of one id count as their majority, 1 on a tie."""
+    rows = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     n = rows.count()
     if n <= max_docs:
         return rows

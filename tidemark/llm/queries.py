@@ -87,7 +87,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")  # a null id is neither learned from nor held out
     return langid.identify(docs, language_model(docs), ["doc_id", held_out])
 
 
@@ -178,7 +178,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = quality.bounded_sample(table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1), QUALITY_SAMPLE)
     model = quality.fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # bounded by QUALITY_SAMPLE
-    scored = quality.score(docs, model, ["doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out")])
+    scored = quality.score(docs, model, ["doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

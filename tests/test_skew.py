@@ -135,3 +135,18 @@ def test_first_event_at_or_after(spark):
     got = {r.ask: (r.at, r.seq) for r in skew.first_at_or_after(a, e, ["k"], "t", "at", ["seq"], bucket_ms=400).collect()}
     for ask, k, t in asks:
         assert got[ask] == min(((at, s) for s, ek, at in events if ek == k and at >= t), default=(None, None))
+
+
+def test_chunked_running_and_walked_chains(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, 1, 5, 9])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v int")
+    got = {r.seq: (r.upto, r.before) for r in skew.chunked_running(df, ["k"], "seq", {"upto": F.col("v")}, {"before": F.col("v")}, rows_per_chunk=40).collect()}
+    for k, i, _ in rows:
+        known = [(s, v) for g, s, v in rows if g == k and s <= i and v is not None]
+        assert got[i] == (max((v for _, v in known), default=None), max((v for s, v in known if s < i), default=None))
+    # a long chain, one that ends at once and a key without a start
+    jump = spark.createDataFrame([("a", i, i + 3) for i in range(0, 200)] + [("b", 7, 8)], "k string, at bigint, _next bigint")
+    starts = spark.createDataFrame([("a", 1), ("c", 5)], "k string, at bigint")
+    assert sorted(tuple(r) for r in skew.walked(starts, jump, ["k"], "at").collect()) == [("a", i) for i in range(1, 203, 3)] + [("c", 5)]
+    assert skew.walked(starts.limit(0), jump.limit(0), ["k"], "at").count() == 0

@@ -71,6 +71,21 @@ def test_circuits_over_history_and_stream(spark, tmp_path):
     assert shape(got) == want
 
 
+@pytest.mark.parametrize("threshold,cooldown", [(3, 5000), (1, 0), (5, 1)])
+def test_circuit_without_success_over_history(spark, threshold, cooldown):
+    # a capability that hardly ever succeeds, one that often does, one without a name, unknown operations, equal times
+    rnd, ms, rows = random.Random(3), 0, []
+    for seq in range(1500):
+        ms += rnd.choice([0, 0, 1, 50, 900])
+        cap = rnd.choice(["hot", "hot", "hot", "b", None])
+        rows.append((seq, ms, cap, rnd.choice(["failure"] * 4 + ["check"] * 6 + ["release", None]) if cap == "hot" else rnd.choice(["success", "failure", "failure", "check", "release"])))
+    rules, want = {}, {}
+    for seq, at, cap, op in rows:
+        want[seq] = rules.setdefault(cap, sf.Circuit(threshold, cooldown)).step(type("R", (), {"ms": at, "op": op}))
+    got = sf.replay_circuits(spark.createDataFrame(rows, OPS), threshold, cooldown, rows_per_chunk=200)
+    assert {r.seq: (r.state, r.failures, r.allowed, r.retry_after_ms) for r in got.collect()} == want
+
+
 REQ = "seq bigint, tenant_id string, workflow_name string, dedup_key string, ms bigint, cancelled boolean"
 
 

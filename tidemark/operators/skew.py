@@ -120,6 +120,21 @@ def chunked_running_sum(
     return rows.withColumn(alias, F.col("_run") + F.col("_base")).drop("_chunk", "_v", "_run", "_base")
 
 
+def chunked_running(
+    df: DataFrame, keys: Sequence[str], order_col: str, upto: Mapping[str, Column], before: Mapping[str, Column], rows_per_chunk: int = 1_000_000
+) -> DataFrame:
+    """The largest value of each column so far, up to the row (``upto``) or before it (``before``), all in one pass cut into chunks like ``chunked_lag``."""
+    values = {**upto, **before}
+    chunked = with_chunk(df, order_col, rows_per_chunk).withColumns({f"_v_{a}": c for a, c in values.items()})
+    tails = chunked.groupBy(*keys, "_chunk").agg(*[F.max(f"_v_{a}").alias(f"_t_{a}") for a in values])
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    base = tails.select(*keys, "_chunk", *[F.max(f"_t_{a}").over(earlier).alias(f"_b_{a}") for a in values])
+    inside = W.partitionBy(*keys, "_chunk").orderBy(order_col)
+    rows = chunked.withColumns({f"_r_{a}": F.max(f"_v_{a}").over(inside.rowsBetween(W.unboundedPreceding, 0 if a in upto else -1)) for a in values})
+    rows = _same_group(rows, base, [*keys, "_chunk"])
+    return rows.select(*df.columns, *[F.greatest(f"_r_{a}", f"_b_{a}").alias(a) for a in values])
+
+
 def _bin(value: Column) -> Column:
     """A monotone bin with a bounded number of values: about eight significant bits."""
     v = F.greatest(value, F.lit(0)).cast("bigint")
@@ -196,22 +211,32 @@ def spaced_firsts(df: DataFrame, keys: Sequence[str], at: str, span: int) -> Dat
     ``at`` is a whole number.  Each moment points at the next that would follow it; the chain from the first moment is then
     walked by pointer doubling, so a key of any length takes as many rounds as its chain has binary digits, each a join by moment.
     """
-    from tidemark.session import cut_lineage
-
     keys = list(keys)
     moments = df.select(*keys, at).distinct()
     asked = moments.withColumn("_due", F.col(at) + F.lit(span) + 1)
     events = moments.withColumnRenamed(at, "_next")
     jump = first_at_or_after(asked, events, keys, "_due", "_next", [], bucket_ms=max(1, span // 16)).where("_next IS NOT NULL")
+    return walked(moments.groupBy(*keys).agg(F.min(at).alias(at)), jump, keys, at)
+
+
+def walked(starts: DataFrame, jump: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """All ``keys, at`` reached from ``starts`` by following ``jump(keys, at, _next)``, which leads forward only.
+
+    Pointer doubling: every round doubles the length of a jump, and what was reached jumps on.
+    """
+    from tidemark.session import cut_lineage
+
+    keys = list(keys)
     jump = cut_lineage(jump.select(*keys, at, "_next"), "jumps")
-    found = cut_lineage(moments.groupBy(*keys).agg(F.min(at).alias(at)), "firsts")
+    found = cut_lineage(starts.select(*keys, at), "firsts")
     n = found.count()
-    while True:
+    while not jump.isEmpty():
         onward = _same_group(found, jump, [*keys, at]).select(*keys, F.col("_next").alias(at))
         found = cut_lineage(found.unionByName(onward).distinct(), "firsts")
         now = found.count()
         if now == n:
-            return found
+            break
         n = now
         after = jump.select(*keys, F.col(at).alias("_next"), F.col("_next").alias("_then"))
         jump = cut_lineage(_same_group(jump, after, [*keys, "_next"]).select(*keys, at, F.col("_then").alias("_next")), "jumps")
+    return found

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.operators.skew import _same_group, chunked_running_sum, first_at_or_after, spaced_firsts
+from tidemark.operators.skew import _same_group, chunked_running, chunked_running_sum, first_at_or_after, spaced_firsts, walked
+from tidemark.session import cut_lineage
 
 Rule = Callable[[], Any]
 
@@ -262,15 +263,47 @@ def dedup_requests(requests: DataFrame, window_ms: int, rows_per_chunk: int = 1_
 
 
 def replay_circuits(operations: DataFrame, threshold: int = 5, cooldown_ms: int = 30_000, rows_per_chunk: int = 1_000_000) -> DataFrame:
-    """Circuit state after every operation: capability, seq, ms, op.
+    """Circuit state after every operation: capability, seq, ms, op; ``seq`` follows time.
 
-    A success closes the circuit whatever came before, so history is split after
-    each success and the pieces run in parallel.
+    A success closes the circuit whatever came before, so history falls into parts that end with one.  In a part the
+    failure that reaches the threshold opens the circuit.  From then on the first check after the cool-down is a probe,
+    and the first failure after the probe opens the circuit again, so openings are a chain, walked by pointer doubling;
+    all other rows follow from the last opening and its probe.  A capability that never succeeds is spread like any other.
     """
-    ended = F.when(F.col("op") == "success", 1).otherwise(0)
-    o = chunked_running_sum(operations, ["capability"], "seq", ended, "_wins", rows_per_chunk)
-    o = o.withColumn("part", F.col("_wins") - ended).drop("_wins")
-    return fold_sorted(o, ["capability", "part"], ["seq"], lambda: Circuit(threshold, cooldown_ms), Circuit.fields).drop("part")
+    part, by_time = ["capability", "part"], cooldown_ms > 0
+    kind = F.when(F.col("op").isin("check", "success", "failure"), F.col("op")).otherwise("release")
+    ended, failed = F.when(F.col("kind") == "success", 1).otherwise(0), F.when(F.col("kind") == "failure", 1).otherwise(0)
+    o = chunked_running_sum(operations.withColumn("kind", kind), ["capability"], "seq", ended, "wins", rows_per_chunk)
+    o = chunked_running_sum(o.withColumn("part", F.col("wins") - ended).drop("wins"), part, "seq", failed, "fails", rows_per_chunk)
+    o = cut_lineage(o, "circuit-operations")
+
+    # the probe that would follow if a failure opened the circuit, and the failure after the probe
+    able = o.where((F.col("kind") == "failure") & (F.col("fails") >= threshold)).select(*part, "seq", "ms", "fails")
+    due = F.col("ms") + cooldown_ms if by_time else F.col("seq") + 1
+    checks = o.where("kind = 'check'").select(*part, F.col("ms" if by_time else "seq").alias("probe_at"), F.col("seq").alias("probe"))
+    able = first_at_or_after(able.withColumn("due", due), checks, part, "due", "probe_at", ["probe"], bucket_ms=3_600_000 if by_time else rows_per_chunk)
+    able = cut_lineage(able.drop("due", "probe_at"), "circuit-probes")
+    jump = first_at_or_after(able.where("probe IS NOT NULL").select(*part, "seq", "probe"), able.select(*part, F.col("seq").alias("_next")), part, "probe", "_next", [], bucket_ms=rows_per_chunk)
+    openings = walked(able.where(F.col("fails") == threshold), jump.where("_next IS NOT NULL"), part, "seq")
+
+    # every row with the last opening, its number and its probe, and with the last check or release before the row
+    opened = chunked_running_sum(_same_group(able.drop("fails"), openings, [*part, "seq"]), part, "seq", F.lit(1), "nth", rows_per_chunk)
+    opening = opened.select(F.col("capability").alias("_c"), F.col("part").alias("_p"), F.col("seq").alias("_s"), F.struct("nth", F.col("ms").alias("at"), "probe").alias("_opening"))
+    o = o.join(opening, F.col("capability").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s")), "left").drop("_c", "_p", "_s")
+    asked = F.when(F.col("kind").isin("check", "release"), F.struct("seq", "kind"))
+    o = chunked_running(o, part, "seq", {"opening": F.col("_opening")}, {"before": asked}, rows_per_chunk)
+    o = o.select("*", F.coalesce("opening.nth", F.lit(0)).alias("nth"), F.col("opening.at").alias("opened_ms"), F.col("opening.probe").alias("probe"))
+    half = F.coalesce(F.col("seq") >= F.col("probe"), F.lit(False))
+    closed = (F.col("kind") == "success") | (F.col("nth") == 0)
+    let = closed | (half & ((F.col("seq") == F.col("probe")) | (F.col("before.kind") == "release")))
+    check = F.col("kind") == "check"
+    return o.select(
+        *operations.columns,
+        F.when(closed, "closed").when(half, "half-open").otherwise("open").alias("state"),
+        F.when(F.col("kind") == "success", 0).otherwise(F.col("fails") - F.greatest(F.col("nth") - 1, F.lit(0))).cast("int").alias("failures"),
+        F.when(check, let).alias("allowed"),
+        F.when(check & ~let, F.when(half, 1000).otherwise(F.col("opened_ms") + cooldown_ms - F.col("ms"))).cast("bigint").alias("retry_after_ms"),
+    )
 
 
 def circuit_snapshot(replayed: DataFrame) -> DataFrame:

@@ -135,13 +135,39 @@ def operations(e):
     return e.select("seq", F.unix_millis("ts").alias("ms"), F.expr("concat('cap-', user_id % 12)").alias("capability"), F.expr(op).alias("op"))
 
 
-@query("t07_circuits")
+# the rule one operation after the other, as a recursion over the operations of each capability
+CIRCUIT_STEPS = """WITH RECURSIVE op AS (SELECT seq, epoch_us(ts) // 1000 AS ms, 'cap-' || (user_id % 12) AS capability, row_number() OVER (PARTITION BY user_id % 12 ORDER BY seq) AS n,
+  CASE event_type WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'release' WHEN 'view' THEN 'check' ELSE 'failure' END AS op FROM hist_events),
+walk AS (SELECT DISTINCT capability, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 'closed' AS state, CAST(0 AS INT) AS failures, CAST(NULL AS BIGINT) AS opened, false AS probing,
+  CAST(NULL AS BOOLEAN) AS allowed, CAST(NULL AS BIGINT) AS retry_after_ms FROM op
+UNION ALL SELECT o.capability, o.n, o.seq,
+  CASE WHEN o.op = 'success' THEN 'closed' WHEN o.op = 'check' AND w.state = 'open' AND o.ms >= w.opened + 3600000 THEN 'half-open'
+   WHEN o.op = 'failure' AND (w.state = 'half-open' OR w.failures + 1 >= 5) THEN 'open' ELSE w.state END,
+  CASE WHEN o.op = 'success' THEN 0 WHEN o.op = 'failure' AND w.state <> 'half-open' THEN w.failures + 1 ELSE w.failures END,
+  CASE WHEN o.op = 'success' THEN NULL WHEN o.op = 'failure' AND (w.state = 'half-open' OR (w.state = 'closed' AND w.failures + 1 >= 5)) THEN o.ms ELSE w.opened END,
+  CASE WHEN o.op <> 'check' THEN false WHEN w.state = 'half-open' OR (w.state = 'open' AND o.ms >= w.opened + 3600000) THEN true ELSE w.probing END,
+  CASE WHEN o.op = 'check' THEN w.state = 'closed' OR (w.state = 'open' AND o.ms >= w.opened + 3600000) OR (w.state = 'half-open' AND NOT w.probing) END,
+  CASE WHEN o.op = 'check' AND w.state = 'open' AND o.ms < w.opened + 3600000 THEN w.opened + 3600000 - o.ms WHEN o.op = 'check' AND w.state = 'half-open' AND w.probing THEN 1000 END
+FROM walk w JOIN op o ON o.capability = w.capability AND o.n = w.n + 1)
+"""
+CIRCUIT_COUNTS = CIRCUIT_STEPS + "SELECT capability, state, count(*) AS n, count(*) FILTER (NOT allowed) AS refused FROM walk WHERE n > 0 GROUP BY 1, 2"
+
+
+def replayed_circuits(h):
+    return sf.replay_circuits(operations(h.events), cooldown_ms=3_600_000, rows_per_chunk=100_000)
+
+
+@query("t07_circuits", CIRCUIT_COUNTS)
 def t07(h):
-    r = sf.replay_circuits(operations(h.events), cooldown_ms=3_600_000, rows_per_chunk=100_000)
-    return r.groupBy("capability", "state").agg(F.count("*").alias("n"), F.count_if(~C("allowed")).alias("refused"))
+    return replayed_circuits(h).groupBy("capability", "state").agg(F.count("*").alias("n"), F.count_if(~C("allowed")).alias("refused"))
+
+
+@query("t07_circuit_operations", CIRCUIT_STEPS + "SELECT seq, capability, state, failures, allowed, retry_after_ms FROM walk WHERE n > 0")
+def t07o(h):
+    return replayed_circuits(h).select("seq", "capability", "state", "failures", "allowed", "retry_after_ms")
 
 
-@query("t07_circuits_stream")
+@query("t07_circuits_stream", CIRCUIT_COUNTS)
 def t07s(h):
     out = sf.on_stream(operations(stream(h)), ["capability"], ["seq"], lambda: sf.Circuit(5, 3_600_000), sf.Circuit.fields)
     r = rt.run_available(out, "circuits")
@@ -162,10 +188,36 @@ def attempts(events):
                            F.expr(op).alias("op"), F.concat(F.lit("run-"), (C("user_id") % 60).cast("string")).alias("owner"), C("props").alias("output"))
 
 
-@query("t09_idempotency_ledger")
+LEDGER_STEPS = """WITH RECURSIVE att AS (SELECT seq, tenant_id, user_id % 30 AS key, epoch_us(ts) // 1000 AS ms, 'run-' || (user_id % 60) AS owner, props AS output,
+  CASE event_type WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'complete' ELSE 'claim' END AS op, row_number() OVER (PARTITION BY tenant_id, user_id % 30 ORDER BY ts, seq) AS n FROM hist_events),
+walk AS (SELECT DISTINCT tenant_id, key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS output,
+  CAST(NULL AS BIGINT) AS expires, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS BOOLEAN) AS reclaimed, CAST(NULL AS VARCHAR) AS replayed FROM att
+UNION ALL SELECT tenant_id, key, n, seq,
+  CASE result WHEN 'claimed' THEN 'in-progress' WHEN 'completed' THEN 'succeeded' WHEN 'released' THEN NULL ELSE state END,
+  CASE result WHEN 'claimed' THEN asker WHEN 'released' THEN NULL ELSE owner END,
+  CASE result WHEN 'completed' THEN given WHEN 'claimed' THEN NULL WHEN 'released' THEN NULL ELSE output END,
+  CASE result WHEN 'claimed' THEN ms + 7200000 WHEN 'completed' THEN ms + 86400000 WHEN 'released' THEN NULL ELSE expires END,
+  result, CASE WHEN result = 'claimed' THEN state IS NOT NULL END, CASE WHEN result = 'replay' THEN output END
+FROM (SELECT a.tenant_id, a.key, a.n, a.seq, a.ms, a.owner AS asker, a.output AS given, w.state, w.owner, w.output, w.expires,
+  CASE a.op WHEN 'claim' THEN CASE WHEN coalesce(w.expires > a.ms, false) AND w.state = 'succeeded' THEN 'replay' WHEN coalesce(w.expires > a.ms, false) AND w.owner <> a.owner THEN 'busy' ELSE 'claimed' END
+   WHEN 'complete' THEN CASE WHEN w.state IS NOT NULL AND w.owner = a.owner THEN 'completed' ELSE 'ignored' END
+   ELSE CASE WHEN w.state = 'in-progress' AND w.owner = a.owner THEN 'released' ELSE 'ignored' END END AS result
+  FROM walk w JOIN att a ON a.tenant_id = w.tenant_id AND a.key = w.key AND a.n = w.n + 1))
+"""
+
+
+def classified(h):
+    return sf.classify_attempts(attempts(h.events), lease_ms=7_200_000, ttl_ms=86_400_000)
+
+
+@query("t09_idempotency_ledger", LEDGER_STEPS + "SELECT tenant_id, result, count(*) AS n, count(*) FILTER (reclaimed) AS reclaimed FROM walk WHERE n > 0 GROUP BY 1, 2")
 def t09(h):
-    r = sf.classify_attempts(attempts(h.events), lease_ms=7_200_000, ttl_ms=86_400_000)
-    return r.groupBy("tenant_id", "result").agg(F.count("*").alias("n"), F.count_if("reclaimed").alias("reclaimed"))
+    return classified(h).groupBy("tenant_id", "result").agg(F.count("*").alias("n"), F.count_if("reclaimed").alias("reclaimed"))
+
+
+@query("t09_ledger_attempts", LEDGER_STEPS + "SELECT seq, tenant_id, result, reclaimed, replayed FROM walk WHERE n > 0")
+def t09a(h):
+    return classified(h).select("seq", "tenant_id", "result", "reclaimed", "replayed")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import nearest_rank, upper_median
+from tidemark.operators import aggregates as ag
 from tidemark.operators import joins as jn
 from tidemark.operators import ranking as rk
 from tidemark.operators import skew
@@ -150,3 +151,13 @@ def test_chunked_running_and_walked_chains(spark):
     starts = spark.createDataFrame([("a", 1), ("c", 5)], "k string, at bigint")
     assert sorted(tuple(r) for r in skew.walked(starts, jump, ["k"], "at").collect()) == [("a", i) for i in range(1, 203, 3)] + [("c", 5)]
     assert skew.walked(starts.limit(0), jump.limit(0), ["k"], "at").count() == 0
+
+
+def test_map_results_of_a_hot_step(spark):
+    rnd = random.Random(6)
+    items = [("r", "hot" if i % 10 else "cold", i, rnd.random() < 0.6, "m") for i in range(500)] + [(None, "s", 3, False, None)]
+    rnd.shuffle(items)
+    got = {(r.run_id, r.step_id, r.index): (r.place, r.failure) for r in ag.map_results(spark.createDataFrame(items, "run_id string, step_id string, index bigint, ok boolean, message string"), rows_per_chunk=64).collect()}
+    for run, step, i, ok, _ in items:
+        before = [x for x in items if x[:2] == (run, step) and x[2] <= i]
+        assert got[run, step, i] == (len(before), None if ok else sum(not x[3] for x in before))

@@ -12,7 +12,7 @@ from tidemark import model
 from tidemark.functions.stats import ms_between, nearest_rank, upper_median
 from tidemark.operators import filters as flt
 from tidemark.operators.joins import steps_of_runs
-from tidemark.operators.skew import ranked_values, top_n_per_group
+from tidemark.operators.skew import chunked_running_sum, ranked_values, top_n_per_group
 
 WF = ["tenant_id", "workflow_name"]
 
@@ -273,15 +273,18 @@ def map_outcome(items: DataFrame, tolerance: DataFrame) -> DataFrame:
     )
 
 
-def map_results(items: DataFrame) -> DataFrame:
+def map_results(items: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Results of fan-out steps in the order of their items: one row per item with its place among all and among the failed ones.
 
-    ``items`` as for ``map_outcome``; positions are given, so nothing is gathered into one array.
+    ``items`` as for ``map_outcome``; of items with one index the failed come first.  A step is cut into chunks of its
+    indexes, so one of any length spreads over tasks; positions are given, so nothing is gathered into one array.
     """
-    of_step = W.partitionBy("run_id", "step_id").orderBy("index")
-    upto = of_step.rowsBetween(W.unboundedPreceding, 0)
-    failed = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(upto)
-    return items.withColumns({"place": F.row_number().over(of_step), "failure": F.when(~F.col("ok"), failed)})
+    step = ["run_id", "step_id"]
+    failed = F.when(F.col("ok"), 0).otherwise(1)
+    ordered = items.withColumn("_at", F.col("index") * 2 + 1 - failed)
+    placed = chunked_running_sum(ordered, step, "_at", F.lit(1), "place", rows_per_chunk)
+    placed = chunked_running_sum(placed, step, "_at", failed, "failure", rows_per_chunk)
+    return placed.withColumn("failure", F.when(~F.col("ok"), F.col("failure"))).drop("_at")
 
 
 def parallel_join(dependencies: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ broadcasts one only when it is really small, and splits skewed partitions.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +76,33 @@ def events_to_triggers(events: DataFrame, triggers: DataFrame, row_filter: Colum
 
 
 def filter_by_text(column: str, texts: list[str]) -> Column:
-    """Row filter from a column of condition texts, given the distinct texts in the configuration."""
+    """Row filter from a column of condition texts, given the distinct texts in the configuration.
+
+    Under ANSI rules a value on which a text fails stops the job; ``where_text_passes`` rejects the row instead.
+    """
     out = F.when(F.col(column).isNull(), True)
     for t in texts:
         out = out.when(F.col(column) == t, flt.passes(t))
     return out.otherwise(False)
 
 
+def where_text_passes(df: DataFrame, column: str, texts: list[str]) -> DataFrame:
+    """Rows that pass the condition whose text they carry; none passes always.
+
+    A row is rejected where its condition fails to evaluate on it, or is no condition on these columns at all.
+    """
+
+    def usable(text: str) -> bool:
+        try:
+            df.select(flt.passes(text)).schema  # noqa: B018
+        except AnalysisException:  # also texts that do not parse
+            return False
+        return True
+
+    with flt.errors_as_null(df.sparkSession):
+        return df.where(filter_by_text(column, [t for t in texts if usable(t)]))
+
+
 def completions_to_triggers(runs: DataFrame, triggers: DataFrame) -> DataFrame:
     """Finished runs matched to enabled completion triggers; the wanted outcome becomes part of the join key."""
     wanted = (

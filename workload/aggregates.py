@@ -342,14 +342,27 @@ SELECT CAST(run_id AS VARCHAR) AS run_id, 'm' || step AS step_id, n, failures, a
   CASE WHEN failures > allowed THEN 'MAP_TOLERANCE_EXCEEDED' END AS code, CASE WHEN failures > allowed THEN ff[1] END AS first_failed_index, CASE WHEN failures > allowed THEN array_to_string(ff[1:10], ',') END AS first_failed FROM t""",
 )
 def a24(h):
-    items = h.raw("lineitem").select(
-        F.col("l_orderkey").cast("string").alias("run_id"), F.expr("concat('m', l_suppkey % 4)").alias("step_id"),
-        F.expr("l_partkey * 10 + l_linenumber").alias("index"), (F.col("l_returnflag") != "R").alias("ok"), F.lit("item failed").alias("message"))
     tolerance = h.spark.createDataFrame([("m0", 1, None), ("m1", None, None), ("m2", None, 50.0)], "step_id string, tol_count int, tol_percent double")
-    out = ag.map_outcome(items, tolerance)
+    out = ag.map_outcome(map_items(h), tolerance)
     return out.withColumn("first_failed", F.array_join(F.col("first_failures.index").cast("array<string>"), ",")).drop("first_failures")
 
 
+def map_items(h):
+    return h.raw("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("run_id"), F.expr("concat('m', l_suppkey % 4)").alias("step_id"),
+        F.expr("l_partkey * 10 + l_linenumber").alias("index"), (F.col("l_returnflag") != "R").alias("ok"), F.lit("item failed").alias("message"))
+
+
+@query(
+    "a24_map_results",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS run_id, 'm' || (l_suppkey % 4) AS step_id, l_partkey * 10 + l_linenumber AS "index", l_returnflag <> 'R' AS ok,
+  row_number() OVER w AS place, CASE WHEN l_returnflag = 'R' THEN count(*) FILTER (l_returnflag = 'R') OVER w END AS failure
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_suppkey % 4 ORDER BY l_partkey * 10 + l_linenumber, l_returnflag <> 'R' ROWS UNBOUNDED PRECEDING)""",
+)
+def a24r(h):
+    return ag.map_results(map_items(h)).drop("message")
+
+
 @query(
     "a25_parallel_join",
     """WITH d AS (SELECT s.run_id, CASE WHEN s.k % 2 = 0 THEN 'any' ELSE 'all' END AS mode, s.status FROM live_steps s)
@@ -367,8 +380,3 @@ A26 = f"""SELECT 'active_runs' AS metric, '' AS labels, CAST(count(*) FILTER (st
 UNION ALL SELECT 'queue_depth', '', CAST(count(*) FILTER (status = 'queued') AS DOUBLE) FROM runs
 UNION ALL SELECT 'approvals_pending', '', CAST(count(*) FILTER (status = 'pending') AS DOUBLE) FROM approvals
 UNION ALL SELECT 'event_log_events', '', CAST(count(*) AS DOUBLE) FROM events"""
-
-
-@query("a26_live_gauges", A26)
-def a26(h):
-    return ag.live_gauges(h.runs, h.approvals, h.events)

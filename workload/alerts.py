@@ -135,20 +135,20 @@ def k13(h):
     return o.select("tenant_id", "key", F.row_number().over(w).alias("place"))
 
 
-@query("l10_evaluate_all", f"SELECT * FROM ({L01}) UNION ALL SELECT * FROM ({L02}) UNION ALL SELECT * FROM ({L03}) UNION ALL SELECT * FROM ({L04})")
-def l10(h):
-    return al.evaluate(h.runs, h.live_steps, h.approvals, ts(AT), CFG)
+ALL_ALERTS = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (L01, L02, L03, L04, L05, L06))
 
 
-# with the circuits and the audit chain; l10 and a26 stay as a check of a part
-@query("l11_evaluate_all_sources", " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (L01, L02, L03, L04, L05, L06)))
+# with the circuits and the audit chain
+@query("l10_evaluate_all", ALL_ALERTS)
+@query("l11_evaluate_all_sources", ALL_ALERTS)
 def l11(h):
     return al.evaluate(h.runs, h.live_steps, h.approvals, ts(AT), CFG, circuits(h), verified(h))
 
 
-@query(
-    "a28_live_gauges_with_circuits",
-    f"""SELECT * FROM ({A26}) UNION ALL SELECT 'circuit_open', 'capability="' || capability || '"', CASE WHEN state = 'closed' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM ({CIRCUITS})""",
-)
+ALL_GAUGES = f"""SELECT * FROM ({A26}) UNION ALL SELECT 'circuit_open', 'capability="' || capability || '"', CASE WHEN state = 'closed' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM ({CIRCUITS})"""
+
+
+@query("a26_live_gauges", ALL_GAUGES)
+@query("a28_live_gauges_with_circuits", ALL_GAUGES)
 def a28(h):
     return ag.live_gauges(h.runs, h.approvals, h.events, circuits(h))

@@ -242,34 +242,6 @@ def r15(h):
     return show(fd.idle_workflows(facts(h, 1), T))
 
 
-R16_RULES = {k: v for k, v in fd.RULES.items() if k not in ("duplicate-workflows", "cost-hotspot-workflow", "cost-hotspot-step", "idle-workflow", "dead-step", "unexercised-compensation", "approval-rubber-stamp", "approval-often-denied", "approval-timeouts")}
-
-
-SIX = " UNION ALL ".join(f"({x})" for x in (R01, R02, R04, R11, R12, R13))
-
-
-@query("r16_analyse", SIX)
-def r16(h):
-    return show(rk.by_severity(fd.analyse(facts(h), LOOSE, R16_RULES)))
-
-
-R17 = f"""WITH f AS (SELECT tenant_id, key FROM ({SIX})),
-p AS (SELECT tenant_id, key, bool_or(status = 'open') AS is_open, max(created_at) FILTER (status = 'open') AS opened,
-  bool_or(status <> 'open' AND decided_by <> 'analysis' AND decided_at > TIMESTAMP '2001-08-02 00:00:00' - CASE WHEN status = 'accepted' THEN to_days(14) ELSE to_days(30) END) AS cooling FROM proposals GROUP BY 1, 2)
-SELECT * FROM (SELECT coalesce(f.tenant_id, p.tenant_id) AS tenant_id, coalesce(f.key, p.key) AS key,
-  CASE WHEN f.key IS NOT NULL AND coalesce(is_open, false) THEN 'suppress-open' WHEN f.key IS NOT NULL AND coalesce(cooling, false) THEN 'suppress-cooling' WHEN f.key IS NOT NULL THEN 'raise'
-   WHEN is_open AND opened <= TIMESTAMP '2001-08-01 00:00:00' THEN 'resolve' WHEN is_open THEN 'keep' END AS action
-FROM f FULL OUTER JOIN p ON p.tenant_id = f.tenant_id AND p.key = f.key) WHERE action IS NOT NULL"""
-
-
-@query("r17_reconcile", R17)
-def r17(h):
-    return fd.reconcile(fd.analyse(facts(h), LOOSE, R16_RULES), h.proposals, ts(RUNS_AS_OF)).select("tenant_id", "key", "action")
-
-
-K08 = f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, key) AS place FROM ({SIX})"
-
-
 def placed(f):
     from pyspark.sql import Window as W
 
@@ -277,12 +249,6 @@ def placed(f):
     return f.withColumn("place", F.row_number().over(W.partitionBy("tenant_id").orderBy(rank, F.collate("key", "UNICODE"))))
 
 
-@query("k08_severity_order", K08)
-def k08(h):
-    return placed(show(fd.analyse(facts(h), LOOSE, R16_RULES)))
-
-
-# the same three over all rules and one window; r16, r17 and k08 stay as a check of a part
 ALL_VIEWS = {**DUP_VIEWS, "dtok": "SELECT tenant_id, workflow, capability AS token FROM plan_steps"}  # no capability comes twice in a plan here
 R05 = finding_sql("duplicate-workflows", "'medium'", "'duplicate-workflows:' || x || ':' || y", "'''' || x || ''' and ''' || y || ''' are near-duplicates'", "SELECT * FROM dpair", workflow="x", step=None)
 R08 = finding_sql(
@@ -302,17 +268,31 @@ WHERE s.enabled AND NOT s.killed AND s.active_since <= TIMESTAMP '2001-08-02 00:
 FIFTEEN = " UNION ALL ".join(f"({x})" for x in (R01, R02, R03.format(STATS, 2 * LOOSE.min_samples), R04, R05, R06, R07, R08, R09, R10, R11, R12, R13, R14.format(RUNS, STATS, LOOSE.compensation_min_runs), R15_WIDE))
 
 
+R17 = f"""WITH f AS (SELECT tenant_id, key FROM ({FIFTEEN})),
+p AS (SELECT tenant_id, key, bool_or(status = 'open') AS is_open, max(created_at) FILTER (status = 'open') AS opened,
+  bool_or(status <> 'open' AND decided_by <> 'analysis' AND decided_at > TIMESTAMP '2001-08-02 00:00:00' - CASE WHEN status = 'accepted' THEN to_days(14) ELSE to_days(30) END) AS cooling FROM proposals GROUP BY 1, 2)
+SELECT * FROM (SELECT coalesce(f.tenant_id, p.tenant_id) AS tenant_id, coalesce(f.key, p.key) AS key,
+  CASE WHEN f.key IS NOT NULL AND coalesce(is_open, false) THEN 'suppress-open' WHEN f.key IS NOT NULL AND coalesce(cooling, false) THEN 'suppress-cooling' WHEN f.key IS NOT NULL THEN 'raise'
+   WHEN is_open AND opened <= TIMESTAMP '2001-08-01 00:00:00' THEN 'resolve' WHEN is_open THEN 'keep' END AS action
+FROM f FULL OUTER JOIN p ON p.tenant_id = f.tenant_id AND p.key = f.key) WHERE action IS NOT NULL"""
+K08 = f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, key) AS place FROM ({FIFTEEN})"
+
+
+# all 15 rules, one window, one set of thresholds
+@query("r16_analyse", FIFTEEN, extra=ALL_VIEWS)
 @query("r18_analyse_all_rules", FIFTEEN, extra=ALL_VIEWS)
 def r18(h):
     return show(rk.by_severity(fd.analyse(facts(h).written(), LOOSE)))
 
 
-@query("r19_reconcile_all_rules", R17.replace(SIX, FIFTEEN), extra=ALL_VIEWS)
+@query("r17_reconcile", R17, extra=ALL_VIEWS)
+@query("r19_reconcile_all_rules", R17, extra=ALL_VIEWS)
 def r19(h):
     return fd.reconcile(fd.analyse(facts(h).written(), LOOSE), h.proposals, ts(RUNS_AS_OF)).select("tenant_id", "key", "action")
 
 
-@query("k20_severity_order_all_rules", K08.replace(SIX, FIFTEEN), extra=ALL_VIEWS)
+@query("k08_severity_order", K08, extra=ALL_VIEWS)
+@query("k20_severity_order_all_rules", K08, extra=ALL_VIEWS)
 def k20(h):
     return placed(show(fd.analyse(facts(h).written(), LOOSE)))
 

@@ -100,6 +100,22 @@ def j08(h):
     return matched_triggers(h).select("seq", "trigger_id", "workflow_name")
 
 
+# conditions as the configuration holds them: two sound ones, one that fails on some values, one that names no column, one that does not parse
+CONDITIONS = ["value >= 50", "cast(get_json_object(data, '$.k') AS int) % 2 = 0", "seq % 5 > 0 AND 10 / (seq % 3) > 5", "no_such_column > 1", "value >"]
+
+
+@query(
+    "j08_triggers_with_conditions",
+    """SELECT e.seq, t.id AS trigger_id FROM hist_events e JOIN (SELECT *, CAST(split_part(id, '-', 2) AS INT) % 7 AS c FROM triggers) t ON t.tenant_id = e.tenant_id AND t.on_event = e.type
+WHERE t.enabled AND t.type = 'event' AND CASE t.c WHEN 0 THEN e.value >= 50 WHEN 1 THEN TRY_CAST(json_extract_string(e.props, '$.k') AS INT) % 2 = 0
+ WHEN 2 THEN e.seq % 5 > 0 AND e.seq % 3 > 0 AND 10 / (e.seq % 3) > 5 WHEN 3 THEN false WHEN 4 THEN false ELSE true END""",
+)
+def j08c(h):
+    number = F.split_part("id", F.lit("-"), F.lit(2)).cast("int") % 7
+    t = h.triggers.withColumn("condition", F.get(F.array(*map(F.lit, CONDITIONS)), number))
+    return jn.where_text_passes(jn.events_to_triggers(h.events, t), "condition", CONDITIONS).select("seq", "trigger_id")
+
+
 @query(
     "j09_completions_to_triggers",
     """SELECT r.id AS run_id, t.id AS trigger_id FROM runs r JOIN completion_triggers t ON t.tenant_id = r.tenant_id AND t.on_workflow = r.workflow_name

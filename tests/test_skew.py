@@ -157,7 +157,7 @@ def test_map_results_of_a_hot_step(spark):
     rnd = random.Random(6)
     items = [("r", "hot" if i % 10 else "cold", i, rnd.random() < 0.6, "m") for i in range(500)] + [(None, "s", 3, False, None)]
     rnd.shuffle(items)
-    got = {(r.run_id, r.step_id, r.index): (r.place, r.failure) for r in ag.map_results(spark.createDataFrame(items, "run_id string, step_id string, index bigint, ok boolean, message string"), rows_per_chunk=64).collect()}
+    got = {(r.run_id, r.step_id, r["index"]): (r.place, r.failure) for r in ag.map_results(spark.createDataFrame(items, "run_id string, step_id string, index bigint, ok boolean, message string"), rows_per_chunk=64).collect()}
     for run, step, i, ok, _ in items:
         before = [x for x in items if x[:2] == (run, step) and x[2] <= i]
         assert got[run, step, i] == (len(before), None if ok else sum(not x[3] for x in before))

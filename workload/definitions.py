@@ -219,5 +219,5 @@ s AS (SELECT tenant_id, plan_hash, count(*) AS findings, least(100, sum(CASE sev
 SELECT tenant_id, plan_hash, findings, CAST(score AS BIGINT) AS score, CASE WHEN score >= 60 THEN 'critical' WHEN score >= 35 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'low' END AS level, blocking FROM s""",
 )
 def d06(h):
-    r = df_.all_risks(h.order_plans, h.order_edges, plans(h))
+    r = cut_lineage(df_.all_risks(h.order_plans, h.order_edges, plans(h)), "risks")
     return df_.risk_scores(r.unionByName(r))  # said twice: equal findings count once

@@ -48,6 +48,26 @@ def test_chain_intact_tampered_and_shortened(spark):
     assert verify(spark, rows) == {"a": (True, 6, None, None), "b": (False, 2, 7, LINK)}
 
 
+def test_chain_resumed_from_its_verified_head(spark):
+    def frame(rows):
+        return spark.createDataFrame([tuple(r) for r in rows], model.schema_of("events"))
+
+    tampered = chain()
+    tampered[8][10] = '{"z":99}'  # seq 9, tenant b
+    gone = [r for r in chain() if r[0] != 8]  # tenant a loses its fourth event
+    new_tenant = chain() + [[20 + i, *r[1:2], "c", *r[3:]] for i, r in enumerate(chain(2, ("c",)))]
+    empty = spark.createDataFrame([], ql.HEADS)
+    for rows, cut in ((tampered, 6), (tampered, 10), (gone, 7), (new_tenant, 12)):
+        df = frame(rows)
+        early = ql.verify_further(df.where(F.col("seq") <= cut), empty, rows_per_chunk=4)
+        late = ql.verify_further(df, ql.verified_heads(early), rows_per_chunk=4)
+        assert sorted(late.drop("head_seq", "head_hash").collect()) == sorted(ql.verify_chain(df, rows_per_chunk=3).collect())
+    done = ql.verify_further(frame(chain()), None)
+    assert {r.tenant_id: r.head_seq for r in done.collect()} == {"a": 12, "b": 11}
+    again = ql.verify_further(frame(chain()), ql.verified_heads(done))  # nothing new
+    assert sorted(again.collect()) == sorted(done.collect())
+
+
 def test_event_checks(spark):
     e = spark.createDataFrame([("step.started", "r", '{"attempt":1}'), ("step.started", None, '{"attempt":1}'), ("step.started", "r", "{}"), ("nope", "r", "{}"), ("alert.raised", None, '{"key":1,"title":2}')], "type string, run_id string, data string")
     assert [(r.code, r.field) for r in ql.validate_events(e).orderBy(F.monotonically_increasing_id()).collect()] == [

@@ -241,14 +241,63 @@ def test_alert_lifecycle_over_batches(spark, tmp_path):
 
 
 def test_canary_watch(spark, tmp_path):
+    """Verdicts after each micro-batch are those of the whole history so far; only the newest runs are kept."""
+    from tidemark.operators import ranking as rk
+
     ddl = "tenant_id string, workflow_name string, id string, status string, canary boolean, workflow_version string, created_at timestamp"
-    runs = lambda lo, n, status: [("t", "w", f"r{lo + i:03d}", status, True, "2.0.0", T0 + dt.timedelta(minutes=lo + i)) for i in range(n)]
-    settings = spark.createDataFrame([("t", "w", "2.0.0", 10)], "tenant_id string, name string, canary_version string, canary_percent int")
-    step = so.canary_watch(str(tmp_path / "h"), settings, str(tmp_path / "v"))
-    step(spark.createDataFrame(runs(0, 6, "succeeded"), ddl), 0)
-    step(spark.createDataFrame(runs(6, 4, "failed"), ddl), 1)
-    got = {(r.batch, r.runs, r.failed, r.roll_back) for r in spark.read.parquet(str(tmp_path / "v")).collect()}
-    assert got == {(0, 6, 0, False), (1, 10, 4, True)}
+    rnd = random.Random(5)
+    row = lambda i, status: ("t", rnd.choice("vw"), f"r{i:03d}", status, rnd.random() < 0.8, rnd.choice(["2.0.0", "2.0.0", "1.0.0"]), T0 + dt.timedelta(minutes=i))
+    batches = [[row(i, rnd.choice(["succeeded", "failed", "running", "cancelled"])) for i in range(n * 20, n * 20 + 20)] for n in range(4)]
+    batches[2].append((*[x for x in batches[0] if x[3] == "running"][0][:3], "failed", True, "2.0.0", T0))  # an old run ends late
+    settings = spark.createDataFrame([("t", "w", "2.0.0", 10), ("t", "v", "2.0.0", 10), ("t", "u", "2.0.0", 10)], "tenant_id string, name string, canary_version string, canary_percent int")
+    trials = rt.run_available(so.canary_trials(files(spark, str(tmp_path / "runs"), *batches, ddl=ddl), newest=15), "trials", mode="update")
+    for n in range(4):
+        got = so.trial_verdicts(rt.newest_per_key(trials.where(F.col("batch") <= n), ["tenant_id", "workflow_name"]), settings, min_runs=3)
+        last = {r[2]: r for b in batches[: n + 1] for r in b}
+        want = rk.canary_verdicts(spark.createDataFrame(list(last.values()), ddl), settings, newest=15, min_runs=3)
+        cols = ["workflow_name", "canary_version", "runs", "failed", "roll_back"]
+        assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect()), n
+    so.canary_watch(settings, str(tmp_path / "v"), min_runs=3)(trials.where("batch = 3").drop("batch"), 3)
+    assert spark.read.parquet(str(tmp_path / "v")).count() == len(trials.where("batch = 3").select("workflow_name").collect())
+
+
+class _Tally:
+    """Counts rows; a later release says a hundred times as much."""
+
+    fields = "n int"
+    memory = "count int"
+
+    def __init__(self):
+        self.count = 0
+
+    def step(self, row):
+        self.count += 1
+        return (self.count,)
+
+
+class _TallyToo(_Tally):
+    fields = "n int"
+
+    def step(self, row):
+        super().step(row)
+        return (self.count * 100,)
+
+
+def test_state_has_typed_columns_and_outlives_the_code(spark, tmp_path):
+    ddl = "key string, seq bigint"
+    path, state, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows, make in (([("a", 1), ("a", 2), ("b", 3)], _Tally), ([("a", 4)], _TallyToo)):
+            spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+            src = spark.readStream.schema(ddl).parquet(path)
+            q = sf.on_stream(src, ["key"], ["seq"], make, "n int").writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", out).start()
+            q.awaitTermination()
+        held = spark.read.format("statestore").option("stateVarName", "rule").load(state)
+        assert {(r["key"]["key"], r["value"]["count"]) for r in held.collect()} == {("a", 3), ("b", 1)}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert {(r.seq, r.n) for r in spark.read.parquet(out).collect()} == {(1, 1), (2, 2), (3, 1), (4, 300)}
 
 
 def test_follow_ends_with_the_run(spark, tmp_path):

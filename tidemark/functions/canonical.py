@@ -107,42 +107,49 @@ def _clean(text: str) -> str:
     return _HIDDEN.sub("", unicodedata.normalize("NFC", text))
 
 
-def scrub(text: str, limit: int | None = None) -> str:
+def scrub(text: str) -> str:
     out = _clean(text)
     for p in _SECRETS:
         out = p.sub(pt.REDACTED, out)
-    if limit is not None and len(out) > limit:
-        out = f"{out[:limit]}…[truncated {len(out) - limit} chars]"
     return out
 
 
-def redacted(value, depth: int = 0, key: str | None = None, limits=(None, None, None, None)):
-    """Deep copy without sensitive members and credential-shaped strings; limits of depth, text, items and members only where given."""
-    max_depth, max_text, max_items, max_keys = limits
-    if key is not None and value is not None and _KEY.search(key):
-        return value if isinstance(value, (bool, int, float)) else pt.REDACTED
+def _scrubbed(value):
+    """Strings without credentials, also those of a list; objects come here already done."""
     if isinstance(value, str):
-        return scrub(value, max_text)
+        return scrub(value)
+    return [_scrubbed(v) for v in value] if isinstance(value, list) else value
+
+
+def _members(pairs: list) -> dict:
+    """Members of one object: text, lists and objects under a sensitive name are hidden, numbers and nulls tell nothing."""
+    hide = lambda name, value: isinstance(value, (str, list, dict)) and _KEY.search(name) is not None
+    return {_clean(name): pt.REDACTED if hide(name, value) else _scrubbed(value) for name, value in pairs}
+
+
+def redacted(text: str):
+    """JSON text, read without credentials: the parser hands over every object from the inside out."""
+    return _scrubbed(json.loads(text, object_pairs_hook=_members))
+
+
+def shortened(value, depth: int | None = None, chars: int | None = None, entries: int | None = None):
+    """At most so many levels, characters of a text, and items or members; what is left out shows as ``…``."""
+    if isinstance(value, str):
+        return value if chars is None or len(value) <= chars else value[:chars] + "…"
     if not isinstance(value, (list, dict)):
         return value
-    if max_depth is not None and depth >= max_depth:
-        return "[MaxDepth]"
+    if depth == 0:
+        return "…"
+    below = None if depth is None else depth - 1
+    rest = entries is not None and len(value) > entries
     if isinstance(value, list):
-        kept = [redacted(v, depth + 1, None, limits) for v in value[:max_items]]
-        return kept + ([f"…[{len(value) - max_items} more items]"] if max_items is not None and len(value) > max_items else [])
-    out = {}
-    for i, (k, v) in enumerate(value.items()):
-        if max_keys is not None and i >= max_keys:
-            out["…"] = "truncated"
-            break
-        if k not in ("__proto__", "constructor", "prototype"):
-            out[_clean(k)] = redacted(v, depth + 1, k, limits)
-    return out
+        return [shortened(v, below, chars, entries) for v in value[:entries]] + ["…"] * rest
+    few = {k: shortened(value[k], below, chars, entries) for k in list(value)[:entries]}
+    return {**few, "…": len(value) - len(few)} if rest else few
 
 
-def redact_json(text: Column, max_depth: int | None = None, max_text: int | None = None, max_items: int | None = None, max_keys: int | None = None) -> Column:
+def redact_json(text: Column, depth: int | None = None, chars: int | None = None, entries: int | None = None) -> Column:
     """Redacted, compact JSON text; invalid JSON gives null.  Nothing is shortened unless a limit is given."""
-    limits = (max_depth, max_text, max_items, max_keys)
 
     @F.pandas_udf("string")
     def clean(batch: pd.Series) -> pd.Series:
@@ -150,7 +157,7 @@ def redact_json(text: Column, max_depth: int | None = None, max_text: int | None
             if s is None:
                 return None
             try:
-                return json.dumps(redacted(json.loads(s), limits=limits), ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(shortened(redacted(s), depth, chars, entries), ensure_ascii=False, separators=(",", ":"))
             except ValueError:
                 return None
 

@@ -205,8 +205,9 @@ def day_of(t: Column) -> Column:
 
 epoch_ms = F.unix_millis
 
-# Duration units in milliseconds
+# Duration units in milliseconds, the accepted short form and the accepted ISO 8601 form
 UNIT_MS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
+_SHORT = r"(\d+(?:\.\d+)?)(ms|s|m|h|d|w)"
 _ISO = r"(?i)^P(?=[\dT])(?:(\d+)W)?(?:(\d+)D)?(?:T(?=\d)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
 
 
@@ -214,14 +215,14 @@ def duration_ms(text: Column, strict: bool = True) -> Column:
     """``250ms``, ``1h30m`` or ``PT1H30M`` to milliseconds."""
     t = trim(text)
     units = F.create_map(*[F.lit(x) for kv in UNIT_MS.items() for x in kv])
-    amounts = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)(ms|s|m|h|d|w)"), 1)
-    names = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)(ms|s|m|h|d|w)"), 2)
+    amounts = F.regexp_extract_all(t, F.lit(_SHORT), 1)
+    names = F.regexp_extract_all(t, F.lit(_SHORT), 2)
     plain = F.aggregate(F.zip_with(amounts, names, lambda a, u: a.cast("double") * F.element_at(units, u)), F.lit(0.0), lambda a, x: a + x)
     piece = lambda i, ms: F.coalesce(F.regexp_extract(t, _ISO, i).try_cast("double"), F.lit(0.0)) * ms
     iso = piece(1, 604_800_000) + piece(2, 86_400_000) + piece(3, 3_600_000) + piece(4, 60_000) + piece(5, 1000)
-    ms = F.when(t.rlike(_ISO), iso).when(t.rlike(r"^(?:\d+(?:\.\d+)?(?:ms|s|m|h|d|w))+$"), plain)
+    ms = F.when(t.rlike(_ISO), iso).when(t.rlike(f"^(?:{_SHORT})+$"), plain)
     ms = F.floor(ms + 0.5).cast("bigint")
-    return F.coalesce(ms, _raise("Invalid duration", "bigint")) if strict else ms
+    return F.coalesce(ms, _raise("not a duration", "bigint")) if strict else ms
 
 
 def duration_text(ms: Column) -> Column:

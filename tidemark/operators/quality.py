@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark import model
 from tidemark.functions.canonical import canonical_json
@@ -79,26 +80,60 @@ def event_content_hash() -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(*parts, F.lit("}")), 256))
 
 
+LINK_BROKEN, CONTENT_BROKEN = "chain link does not match the previous event", "event content does not match its hash"
+HEADS = "tenant_id string, seq bigint, hash string, checked bigint"
+
+
 def verify_chain(events: DataFrame, content_hash: Column | None = None, genesis: str = model.GENESIS_HASH, rows_per_chunk: int = 1_000_000) -> DataFrame:
-    """Check every tenant's hash chain: ok, checked, broken_at_seq, reason.
+    """Check every tenant's hash chain: ok, checked, broken_at_seq, reason.  See ``verify_further``."""
+    return verify_further(events, None, content_hash, genesis, rows_per_chunk).drop("head_seq", "head_hash")
+
+
+def verify_further(
+    events: DataFrame, heads: DataFrame | None, content_hash: Column | None = None, genesis: str = model.GENESIS_HASH, rows_per_chunk: int = 1_000_000,
+) -> DataFrame:
+    """Check every tenant's hash chain from its verified head on: ok, checked, broken_at_seq, reason, head_seq, head_hash.
 
-    The chain is cut into chunks of the global sequence; only each chunk's last
-    hash travels to the next one, so one huge tenant still verifies in parallel.
-    A broken link is reported before broken content of the same event.
+    ``heads`` (see ``HEADS`` and ``verified_heads``) says how far a former run came; events up to there are not read again, a tenant
+    without a head is checked from its first event.  Tenants of ``heads`` without new events are reported as they were left.
+
+    The log is read once.  The chain is cut into chunks of the global sequence; each gives one row (its ends, its
+    length, its first break inside), and only these rows are put in order per tenant, so one huge tenant still
+    verifies in parallel.  A broken link is reported before broken content of the same event.
     """
     want = event_content_hash() if content_hash is None else content_hash
-    e = events.withColumn("_want", want).select("tenant_id", "seq", "hash", "prev_hash", "_want")
-    e = chunked_lag(e, ["tenant_id"], "seq", {"hash": "_before"}, rows_per_chunk, index="_idx")
-    link = ~(C("prev_hash") == F.coalesce("_before", F.lit(genesis)))
-    content = ~(C("_want") == C("hash"))
-    reason = F.when(link, "chain link does not match the previous event").when(content, "event content does not match its hash")
+    e = events.withColumn("_want", want).select("tenant_id", "seq", "hash", "prev_hash", C("_want").eqNullSafe(C("hash")).alias("_same"))
+    if heads is not None:
+        h = heads.select(C("tenant_id").alias("_tenant"), C("seq").alias("_from"))
+        e = e.join(h, C("tenant_id").eqNullSafe(C("_tenant")), "left").where(C("_from").isNull() | (C("seq") > C("_from"))).drop("_tenant", "_from")
+    e = e.withColumn("_chunk", F.floor(C("seq") / rows_per_chunk))
+    w = W.partitionBy("tenant_id", "_chunk").orderBy("seq")
+    e = e.withColumn("_at", F.row_number().over(w)).withColumn("_before", F.lag("hash").over(w))
+    linked = C("prev_hash").eqNullSafe(C("_before"))
+    reason = F.when((C("_at") > 1) & ~linked, LINK_BROKEN).when((C("_at") > 1) & ~C("_same"), CONTENT_BROKEN)
     e = e.withColumn("_reason", reason)
-    broken = F.min(F.when(C("_reason").isNotNull(), F.struct("seq", "_idx", "_reason")))
-    g = e.groupBy("tenant_id").agg(F.count("*").alias("_n"), broken.alias("_b"))
+    chunks = e.groupBy("tenant_id", "_chunk").agg(
+        F.count("*").alias("_n"), F.min_by(F.struct("seq", "prev_hash", "_same"), "_at").alias("_first"), F.max_by(F.struct("seq", "hash"), "_at").alias("_last"),
+        F.min(F.when(C("_reason").isNotNull(), F.struct("seq", "_at", "_reason"))).alias("_inside"))
+    if heads is not None:
+        past = heads.select("tenant_id", F.lit(None).cast("bigint").alias("_chunk"), C("checked").alias("_n"), F.struct("seq", "hash").alias("_last"))
+        chunks = chunks.unionByName(past, allowMissingColumns=True)  # a head is the chunk before all others
+    v = W.partitionBy("tenant_id").orderBy(C("_chunk").asc_nulls_first())
+    chunks = chunks.withColumn("_done", F.sum("_n").over(v) - C("_n")).withColumn("_hash", F.coalesce(F.lag("_last.hash").over(v), F.lit(genesis)))
+    start = F.when(~C("_first.prev_hash").eqNullSafe(C("_hash")), LINK_BROKEN).when(~C("_first._same"), CONTENT_BROKEN)
+    start = F.when(C("_first").isNotNull(), start)
+    found = F.when(start.isNotNull(), F.struct(C("_first.seq").alias("seq"), C("_done").alias("checked"), start.alias("reason"))).when(
+        C("_inside").isNotNull(), F.struct(C("_inside.seq").alias("seq"), (C("_done") + C("_inside._at") - 1).alias("checked"), C("_inside._reason").alias("reason")))
+    g = chunks.withColumn("_found", found).groupBy("tenant_id").agg(F.sum("_n").alias("_all"), F.min("_found").alias("_b"), F.max("_last").alias("_end"))
+    ok = C("_b").isNull()
     return g.select(
-        "tenant_id", C("_b").isNull().alias("ok"), F.coalesce(C("_b._idx") - 1, C("_n")).alias("checked"),
-        C("_b.seq").alias("broken_at_seq"), C("_b._reason").alias("reason"),
-    )
+        "tenant_id", ok.alias("ok"), F.coalesce("_b.checked", "_all").alias("checked"), C("_b.seq").alias("broken_at_seq"), C("_b.reason").alias("reason"),
+        F.when(ok, C("_end.seq")).alias("head_seq"), F.when(ok, C("_end.hash")).alias("head_hash"))
+
+
+def verified_heads(result: DataFrame) -> DataFrame:
+    """Where the next ``verify_further`` may go on: tenants whose chain held so far; a broken one is checked whole again."""
+    return result.where("ok").select("tenant_id", C("head_seq").alias("seq"), C("head_hash").alias("hash"), "checked")
 
 
 def illegal_transitions(history: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:

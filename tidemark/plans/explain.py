@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import human_ms, ms_between
 from tidemark.operators import filters as flt
 
-# What an error class usually means, and what to do about it.
-ADVICE = {
-    "transient": ("Something the step depends on had a passing problem.", "Retry the run; if it recurs, check that dependency and add back-off."),
-    "systemic": ("A dependency was down, or its circuit is open.", "Check the capability's health and retry once it recovers."),
-    "contract": ("Data did not match its declared shape.", "Correct the input or follow the upstream change; a retry will not help before that."),
-    "business": ("The other side understood the request and refused it.", "Decide: correct the data, or give this outcome its own branch or error route."),
-    "authorisation": ("A credential, permission or network rule stood in the way.", "Check the secret, the scopes and the allowed hosts before retrying."),
-    "catastrophic": ("An internal invariant broke.", "Keep the run as evidence and report it as a defect."),
+# Headline of each status; {took} is the duration, {at} the waiting step, {step} the first failed one
+HEADLINES = {
+    "succeeded": "Succeeded{took}.",
+    "cancelled": "Cancelled before it finished.",
+    "queued": "Queued; it has not started yet.",
+    "running": "Running.",
+    "waiting-approval": "Paused, waiting for approval{at}.",
+    "waiting-event": "Paused, waiting for an event{at}.",
+    "rolled-back": "Failed at {step} and was rolled back.",
+    "compensation-failed": "Failed at {step} and the rollback did not complete — needs attention.",
 }
+OTHER_HEADLINE = "Failed at {step}."
 
 
 def _quoted(step: Column) -> Column:
@@ -41,38 +44,35 @@ def first_bad_step(steps: DataFrame) -> DataFrame:
     )
 
 
+def _filled(template: Column, **marks: Column) -> Column:
+    """A template with its marks replaced, all at once, so that values may hold braces."""
+    parts = F.split(template, r"[{}]")
+    values = F.create_map(*[x for name, value in marks.items() for x in (F.lit(name), value)])
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.element_at(values, p))), "")
+
+
 def explain_runs(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """Headline, cause and suggestion for every run."""
-    advice = F.create_map(*[x for k, (cause, todo) in ADVICE.items() for x in (F.lit(k), F.struct(F.lit(cause).alias("cause"), F.lit(todo).alias("todo")))])
+    """Headline for every run; cause, effect and next step of a failed one, told from its own error and undo records."""
     j = runs.join(first_bad_step(steps), F.col("id") == F.col("run_id"), "left")
-    s = F.col("status")
     took = human_ms(ms_between(F.col("started_at"), F.col("finished_at")))
-    at = F.when(F.col("waiting_step").isNotNull(), F.concat(F.lit(" at "), _quoted(F.col("waiting_step")))).otherwise("")
-    failed_at = F.concat(F.lit("Failed at "), _quoted(F.col("bad.step_id")))
-    headline = (
-        F.when(s == "succeeded", F.when(took.isNull(), "Succeeded.").otherwise(F.concat(F.lit("Succeeded in "), took, F.lit("."))))
-        .when(s == "cancelled", "Cancelled before it finished.")
-        .when(s == "queued", "Queued; it has not started yet.")
-        .when(s == "running", "Running.")
-        .when(s == "waiting-approval", F.concat(F.lit("Paused, waiting for approval"), at, F.lit(".")))
-        .when(s == "waiting-event", F.concat(F.lit("Paused, waiting for an event"), at, F.lit(".")))
-        .when(s == "rolled-back", F.concat(failed_at, F.lit(" and was rolled back.")))
-        .when(s == "compensation-failed", F.concat(failed_at, F.lit(" and the rollback did not complete — needs attention.")))
-        .otherwise(F.concat(failed_at, F.lit(".")))
-    )
-    failed = flt.is_failed(s)
+    after = lambda word, text: F.coalesce(F.concat(F.lit(word), text), F.lit(""))
+    waiting = F.when(F.col("waiting_step").isNotNull(), _quoted(F.col("waiting_step")))
+    templates = F.create_map(*[F.lit(x) for kv in HEADLINES.items() for x in kv])
+    template = F.coalesce(F.try_element_at(templates, F.coalesce("status", F.lit(""))), F.lit(OTHER_HEADLINE))
+    headline = _filled(template, took=after(" in ", took), at=after(" at ", waiting), step=_quoted(F.col("bad.step_id")))
+    failed = flt.is_failed(F.col("status"))
     err = F.coalesce(F.col("bad.error"), F.col("error"))
-    tip = F.try_element_at(advice, F.coalesce(err["class"], F.lit("systemic")))
-    next_ = (
-        F.when(F.col("undo_failed") > 0, F.format_string("Undoing %d earlier step(s) failed; someone has to clean up.", F.col("undo_failed")))
-        .when(F.col("undone") > 0, F.format_string("%d earlier step(s) were undone.", F.col("undone")))
-        .otherwise("Nothing had to be undone.")
-    )
+    code, kind = F.coalesce(err["code"], F.lit("UNKNOWN")), F.coalesce(err["class"], F.lit("unknown"))
+    cause = F.concat(code, F.lit(" ("), kind, F.lit(")"), after(": ", err["message"]))
+    undo = F.format_string("%d steps undone, %d not", F.coalesce("undone", F.lit(0)), F.coalesce("undo_failed", F.lit(0)))
+    again = F.when(F.coalesce(err["retryable"], F.lit(False)), F.concat(code, F.lit(" is marked retryable: run it again"))).otherwise(
+        F.concat(code, F.lit(" is not marked retryable: a second run needs another input, definition or environment")))
+    left_over = F.when(F.col("undo_failed") > 0, F.format_string("; first clear up after %d steps", F.col("undo_failed"))).otherwise("")
     return j.select(
         "tenant_id", "id", headline.alias("headline"),
-        F.when(failed, F.coalesce(err["code"], F.lit("UNKNOWN"))).alias("code"),
-        F.when(failed, F.coalesce(err["class"], F.lit("unknown"))).alias("error_class"),
-        F.when(failed, F.concat_ws(" ", F.coalesce(err["message"], F.lit("No error detail was recorded.")), tip["cause"])).alias("cause"),
-        F.when(failed, next_).alias("what_happened_next"),
-        F.when(failed, tip["todo"]).alias("suggestion"),
+        F.when(failed, code).alias("code"),
+        F.when(failed, kind).alias("error_class"),
+        F.when(failed, cause).alias("cause"),
+        F.when(failed, undo).alias("what_happened_next"),
+        F.when(failed, F.concat(again, left_over)).alias("suggestion"),
     )

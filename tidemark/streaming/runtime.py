@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +71,8 @@ def newest_per_key(table: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def replayed(history: DataFrame, at: str, purpose: str, slices: int = 4, files: int = 1, closing: DataFrame | None = None) -> DataFrame:
-    """History as a stream of several micro-batches: slices of equal length in time, oldest first, then ``closing``.
+def replayed(history: DataFrame, at: str, purpose: str, slices: int = 4, files: int = 1, closing: DataFrame | Sequence[DataFrame] | None = None) -> DataFrame:
+    """History as a stream of several micro-batches: slices of equal length in time, oldest first, then each table of ``closing``.
 
     Each slice is written as ``files`` files, which is what a micro-batch reads.
     """
@@ -84,6 +84,6 @@ def replayed(history: DataFrame, at: str, purpose: str, slices: int = 4, files:
     for i in range(slices):
         mine = F.coalesce(part, F.lit(0)) == i
         history.where(mine).repartition(files).write.mode("append").parquet(folder)
-    if closing is not None:
-        closing.select(history.columns).repartition(files).write.mode("append").parquet(folder)
+    for last in [closing] if isinstance(closing, DataFrame) else closing or []:
+        last.select(history.columns).repartition(files).write.mode("append").parquet(folder)
     return spark.readStream.schema(history.schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -1,6 +1,6 @@
 """Sequential rules per key, as state processors for streams and as sorted folds for history.
 
-The rules themselves are small classes with a ``step``.  ``fold_sorted`` runs one
+The rules themselves are small classes with a ``step`` and named columns of ``memory``.  ``fold_sorted`` runs one
 over history: rows are hash partitioned by key, sorted, and passed to the rule
 batch by batch, so a long key costs time, not memory.
 ``processor`` runs the same rule on a stream with its state in the state store;
@@ -9,7 +9,6 @@ a micro-batch bounds how many rows of a key are looked at together.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -32,6 +31,7 @@ class DedupWindow:
     """
 
     fields = "status string, joined bigint"
+    memory = "at bigint, owner bigint"
 
     def __init__(self, window_ms: int):
         self.window_ms, self.at, self.owner = window_ms, None, None
@@ -49,49 +49,52 @@ class DedupWindow:
 class Circuit:
     """Closed, open after N failures in a row, one probe after the cool-down.
 
-    Rows: ms, op in check / success / failure / release.
+    Rows: ms, op in check / success / failure, anything else gives a probe back.  A half-open circuit
+    is ``ready`` for its probe or ``probing``.
     """
 
     fields = "state string, failures int, allowed boolean, retry_after_ms bigint"
+    memory = "phase string, failures int, opened bigint"
+    PROBE_WAIT_MS = 1000
+    # phase, what happens: next phase, is the caller let through, does it count as a failure
+    MOVES = {
+        ("closed", "check"): ("closed", True, 0),
+        ("closed", "failure"): ("closed", None, 1),
+        ("closed", "last failure"): ("open", None, 1),
+        ("open", "early check"): ("open", False, 0),
+        ("open", "check"): ("probing", True, 0),
+        ("open", "failure"): ("open", None, 1),
+        ("open", "last failure"): ("open", None, 1),
+        ("ready", "check"): ("probing", True, 0),
+        ("ready", "failure"): ("open", None, 0),
+        ("ready", "last failure"): ("open", None, 0),
+        ("probing", "check"): ("probing", False, 0),
+        ("probing", "failure"): ("open", None, 0),
+        ("probing", "last failure"): ("open", None, 0),
+        ("probing", "release"): ("ready", None, 0),
+    }
 
     def __init__(self, threshold: int = 5, cooldown_ms: int = 30_000):
         self.threshold, self.cooldown_ms = threshold, cooldown_ms
-        self.state, self.failures, self.opened, self.probing = "closed", 0, None, False
-
-    def _open(self, ms: int) -> None:
-        self.state, self.opened = "open", ms
-
-    def _check(self, ms: int) -> tuple[bool, int | None]:
-        if self.state == "closed":
-            return True, None
-        if self.state == "open":
-            left = self.opened + self.cooldown_ms - ms
-            if left > 0:
-                return False, left
-            self.state, self.probing = "half-open", True
-            return True, None
-        if self.probing:
-            return False, 1000
-        self.probing = True
-        return True, None
+        self.phase, self.failures, self.opened = "closed", 0, None
 
     def step(self, row) -> tuple:
-        allowed = wait = None
-        if row.op == "check":
-            allowed, wait = self._check(row.ms)
-        elif row.op == "success":
-            self.state, self.failures, self.opened, self.probing = "closed", 0, None, False
-        elif row.op == "failure":
-            self.probing = False
-            if self.state == "half-open":
-                self._open(row.ms)
-            else:
-                self.failures += 1
-                if self.state == "closed" and self.failures >= self.threshold:
-                    self._open(row.ms)
-        else:
-            self.probing = False
-        return self.state, self.failures, allowed, wait
+        if row.op == "success":
+            self.phase, self.failures, self.opened = "closed", 0, None
+            return "closed", 0, None, None
+        what = row.op if row.op in ("check", "failure") else "release"
+        left = 0 if self.phase != "open" else self.opened + self.cooldown_ms - row.ms
+        if what == "check" and left > 0:
+            what = "early check"
+        if what == "failure" and self.failures + 1 >= self.threshold:
+            what = "last failure"
+        before = self.phase
+        self.phase, allowed, counted = self.MOVES.get((before, what), (before, None, 0))
+        self.failures += counted
+        if self.phase == "open" != before:
+            self.opened = row.ms
+        wait = None if allowed is not False else left if left > 0 else self.PROBE_WAIT_MS
+        return self.phase if self.phase in ("closed", "open") else "half-open", self.failures, allowed, wait
 
 
 class Ledger:
@@ -101,36 +104,45 @@ class Ledger:
     """
 
     fields = "result string, reclaimed boolean, replayed string"
+    memory = "state string, owner string, output string, expires bigint"
+    # operation, record held, asked by the owner, record still valid: verdict
+    VERDICTS = {
+        ("claim", "in-progress", False, True): "busy",
+        ("claim", "succeeded", False, True): "replay",
+        ("claim", "succeeded", True, True): "replay",
+        ("complete", "in-progress", True, False): "completed",
+        ("complete", "in-progress", True, True): "completed",
+        ("complete", "succeeded", True, False): "completed",
+        ("complete", "succeeded", True, True): "completed",
+        ("release", "in-progress", True, False): "released",
+        ("release", "in-progress", True, True): "released",
+    }
+    OTHERWISE = {"claim": "claimed", "complete": "ignored", "release": "ignored"}
 
     def __init__(self, lease_ms: int = 300_000, ttl_ms: int = 7 * 86_400_000):
         self.lease_ms, self.ttl_ms = lease_ms, ttl_ms
         self.state = self.owner = self.output = self.expires = None
 
     def step(self, row) -> tuple:
-        if row.op == "claim":
-            live = self.state is not None and self.expires > row.ms
-            if live and self.state == "succeeded":
-                return "replay", None, self.output
-            if live and self.owner != row.owner:
-                return "busy", None, None
-            again = self.state is not None
-            self.state, self.owner, self.output, self.expires = "in-progress", row.owner, None, row.ms + self.lease_ms
-            return "claimed", again, None
-        if row.op == "complete":
-            if self.state is None or self.owner != row.owner:
-                return "ignored", None, None
-            self.state, self.output, self.expires = "succeeded", row.output, row.ms + self.ttl_ms
-            return "completed", None, None
-        if self.state == "in-progress" and self.owner == row.owner:
-            self.state = self.owner = self.output = self.expires = None
-            return "released", None, None
-        return "ignored", None, None
+        op = row.op if row.op in ("claim", "complete") else "release"
+        valid = self.expires is not None and self.expires > row.ms
+        result = self.VERDICTS.get((op, self.state, self.owner == row.owner, valid), self.OTHERWISE[op])
+        reclaimed = self.state is not None if result == "claimed" else None
+        replayed = self.output if result == "replay" else None
+        after = {
+            "claimed": ("in-progress", row.owner, None, row.ms + self.lease_ms),
+            "completed": ("succeeded", self.owner, row.output, row.ms + self.ttl_ms),
+            "released": (None, None, None, None),
+        }
+        self.state, self.owner, self.output, self.expires = after.get(result, (self.state, self.owner, self.output, self.expires))
+        return result, reclaimed, replayed
 
 
 class RunState:
     """Run row rebuilt from its events.  Rows: ms, seq, type, cost, code."""
 
     fields = "status string, started_ms bigint, finished_ms bigint, cost double, code string"
+    memory = "status string, started bigint, finished bigint, cost double, code string"
     # Status each event leads to
     MOVES = {
         "run.queued": "queued", "run.started": "running", "run.resumed": "running", "run.compensating": "compensating", "run.succeeded": "succeeded",
@@ -159,6 +171,7 @@ class Lockout:
     """Account lock after n failed logins; success resets.  Rows: ms, ok."""
 
     fields = "failures int, locked boolean, locked_until_ms bigint"
+    memory = "failures int, until bigint"
 
     def __init__(self, limit: int = 5, lock_ms: int = 900_000):
         self.limit, self.lock_ms, self.failures, self.until = limit, lock_ms, 0, None
@@ -211,22 +224,28 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], make:
     return ordered.mapInPandas(run, schema)
 
 
+_PLAIN = {"string": str, "integer": int, "long": int, "double": float, "boolean": bool}
+
+
 class _Processor(StatefulProcessor):
-    """Runs a rule per key with its state kept as one value in the state store."""
+    """Runs a rule per key; what the rule remembers is one row of typed columns in the state store."""
 
-    def __init__(self, make: Rule, order: Sequence[str], names: Sequence[str], ttl_ms: int | None):
+    def __init__(self, make: Rule, order: Sequence[str], names: Sequence[str], memory: str, ttl_ms: int | None):
         self.make, self.order, self.names, self.ttl_ms = make, list(order), list(names), ttl_ms
+        self.columns = T.StructType.fromDDL(memory)
 
     def init(self, handle) -> None:
-        self.cell = handle.getValueState("rule", T.StructType([T.StructField("blob", T.BinaryType())]), self.ttl_ms)
+        self.cell = handle.getValueState("rule", self.columns, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         rule = self.make()
         if self.cell.exists():
-            rule.__dict__.update(pickle.loads(self.cell.get()[0]))
+            for column, value in zip(self.columns, self.cell.get()):
+                setattr(rule, column.name, value)
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, ignore_index=True)
         out = _apply(rule, pdf, self.names)
-        self.cell.update((pickle.dumps(rule.__dict__),))
+        held = ((c, getattr(rule, c.name)) for c in self.columns)
+        self.cell.update(tuple(None if v is None or v != v else _PLAIN[c.dataType.typeName()](v) for c, v in held))
         yield out
 
     def close(self) -> None:
@@ -234,10 +253,14 @@ class _Processor(StatefulProcessor):
 
 
 def on_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Rule, fields: str, ttl_ms: int | None = None) -> DataFrame:
-    """The same rule over a stream.  State of silent keys expires after ``ttl_ms`` of processing time."""
+    """The same rule over a stream.  State of silent keys expires after ``ttl_ms`` of processing time.
+
+    The state has the columns of the rule's ``memory``, so it can be read with the state data source and
+    outlives changes to the rule's code.
+    """
     names = [f.name for f in T.StructType.fromDDL(fields).fields]
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Processor(make, order, names, ttl_ms), outputStructType=_schema(df, fields), outputMode="append",
+        statefulProcessor=_Processor(make, order, names, make().memory, ttl_ms), outputStructType=_schema(df, fields), outputMode="append",
         timeMode="processingTime" if ttl_ms else "none")
 
 
@@ -511,3 +534,44 @@ def let_through(timed: DataFrame, keys: Sequence[str], order: Sequence[str], spa
     """Rows of a stream with a watermark and ``once_us``, once per key and span."""
     return timed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=OnceProcessor(span_us, order), outputStructType=timed.schema, outputMode="append", timeMode="eventTime")
+
+
+class NewestProcessor(StatefulProcessor):
+    """The newest runs of a workflow as list state, and what they say about each version on trial."""
+
+    RUN = T.StructType().add("us", T.LongType()).add("id", T.StringType()).add("status", T.StringType()).add("canary", T.BooleanType()).add("version", T.StringType())
+    FIELDS = "tenant_id string, workflow_name string, trials array<struct<version:string,runs:bigint,failed:bigint>>"
+
+    def __init__(self, newest: int, finished: Sequence[str]):
+        self.newest, self.finished = newest, set(finished)
+
+    def init(self, handle) -> None:
+        self.runs = handle.getListState("runs", self.RUN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {r[1]: tuple(r) for r in self.runs.get()} if self.runs.exists() else {}
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                old = known.get(r.id)
+                if old is None or old[2] not in self.finished:  # a finished run does not go back
+                    known[r.id] = (int(r.us), r.id, r.status, bool(r.canary), r.workflow_version)
+        kept = sorted(known.values(), key=lambda r: (r[0], r[1]), reverse=True)[: self.newest]
+        self.runs.put(kept)
+        counts: dict[str, list[int]] = {}
+        for _, _, status, canary, version in kept:
+            if canary and status in self.finished and version is not None:
+                n = counts.setdefault(version, [0, 0])
+                n[0] += 1
+                n[1] += status != "succeeded"
+        trials = [{"version": v, "runs": n, "failed": bad} for v, (n, bad) in sorted(counts.items())]
+        yield pd.DataFrame({"tenant_id": [key[0]], "workflow_name": [key[1]], "trials": [trials]})
+
+    def close(self) -> None:
+        pass
+
+
+def newest_trials(runs: DataFrame, newest: int, finished: Sequence[str]) -> DataFrame:
+    """Per workflow with news in a micro-batch: finished trial runs among its newest, by version (update mode)."""
+    rows = runs.select("tenant_id", "workflow_name", F.unix_micros("created_at").alias("us"), "id", "status", F.coalesce("canary", F.lit(False)).alias("canary"), "workflow_version")
+    return rows.groupBy("tenant_id", "workflow_name").transformWithStateInPandas(
+        statefulProcessor=NewestProcessor(newest, finished), outputStructType=T.StructType.fromDDL(NewestProcessor.FIELDS), outputMode="update", timeMode="none")

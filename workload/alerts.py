@@ -78,9 +78,12 @@ SELECT t.tenant_id, b.seq IS NULL AS ok, coalesce(b.rn - 1, t.n) AS checked, b.s
 FROM (SELECT tenant_id, count(*) AS n FROM e GROUP BY 1) t LEFT JOIN b ON b.tenant_id = t.tenant_id AND b.first = 1"""
 
 
+def content():
+    return F.sha2(F.concat_ws("|", F.col("seq") - 1, "user_id", "event_type", "props"), 256)
+
+
 def verified(h):
-    content = F.sha2(F.concat_ws("|", F.col("seq") - 1, "user_id", "event_type", "props"), 256)
-    return ql.verify_chain(h.chained_events, content_hash=content, genesis="genesis", rows_per_chunk=100_000)
+    return ql.verify_chain(h.chained_events, content_hash=content(), genesis="genesis", rows_per_chunk=100_000)
 
 
 L06 = f"""SELECT tenant_id, 'audit-integrity' AS key, 'critical' AS severity, 'The audit log failed its integrity check' AS title,

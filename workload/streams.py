@@ -130,6 +130,24 @@ def t06(h):
     return e.withColumn("new_expires_at", st.iso(C("new_expires_at")))
 
 
+TIMERS = """WITH p AS (SELECT tenant_id, id, on_timeout, escalated, epoch_us(requested_at) // 1000 AS asked, epoch_us(expires_at) // 1000 AS due FROM approvals WHERE status = 'pending')
+SELECT tenant_id, id, CASE WHEN on_timeout = 'escalate' AND NOT escalated THEN 'escalate' WHEN on_timeout = 'approve' THEN 'approve' ELSE 'time-out' END AS action, due AS at_ms FROM p
+UNION ALL SELECT tenant_id, id, 'time-out', due + (due - asked) FROM p WHERE on_timeout = 'escalate' AND NOT escalated"""
+
+
+@query("t06_approval_timers", TIMERS)
+def t06s(h):
+    a = h.approvals.select(
+        "id", "tenant_id", C("requested_at").alias("ts"), F.unix_micros("requested_at").alias("seq"), "status", "on_timeout", "escalated",
+        F.unix_millis("requested_at").alias("requested_ms"), F.unix_millis("expires_at").alias("expires_ms"))
+    # two last rows later than every deadline, also the one after an escalation
+    end = a.agg(F.max(2 * C("expires_ms") - C("requested_ms")).alias("m"))
+    tick = lambda days: end.select(
+        F.lit("").alias("id"), F.lit("").alias("tenant_id"), F.timestamp_millis(C("m") + days * 86_400_000).alias("ts"), F.lit(0).cast("bigint").alias("seq"), F.lit("approved").alias("status"),
+        F.lit("").alias("on_timeout"), F.lit(False).alias("escalated"), C("m").alias("requested_ms"), C("m").alias("expires_ms"))
+    return rt.run_available(sf.approval_timers(rt.replayed(a, "ts", "approval-rows", closing=[tick(1), tick(2)])), "approval-timers")
+
+
 def operations(e):
     op = "CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'release' WHEN 'view' THEN 'check' ELSE 'failure' END"
     return e.select("seq", F.unix_millis("ts").alias("ms"), F.expr("concat('cap-', user_id % 12)").alias("capability"), F.expr(op).alias("op"))
@@ -239,6 +257,46 @@ def t10(h):
     return al.transitions(now, open_, at).select("tenant_id", "key", "event", "open_for_ms")
 
 
+LIFE = """WITH e AS (SELECT tenant_id, 'k' || (user_id % 40) AS key, least(floor((epoch_us(ts) - lo) * 4 / (hi - lo + 1)), 3) AS batch
+  FROM hist_events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM hist_events) WHERE event_type = 'error' AND user_id % 7 = floor((epoch_us(ts) - lo) * 4 / (hi - lo + 1))),
+s AS (SELECT DISTINCT tenant_id, key, CAST(batch AS BIGINT) AS batch, 1 AS seen FROM e), k AS (SELECT DISTINCT tenant_id, key FROM s),
+g AS (SELECT k.tenant_id, k.key, b.batch, coalesce(s.seen, 0) AS seen FROM k CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS batch) b LEFT JOIN s ON s.tenant_id = k.tenant_id AND s.key = k.key AND s.batch = b.batch),
+w AS (SELECT *, coalesce(lag(seen) OVER (PARTITION BY tenant_id, key ORDER BY batch), 0) AS was FROM g)
+SELECT tenant_id, key, CAST(batch AS BIGINT) AS batch, CASE WHEN seen = 0 THEN 'resolved' WHEN was = 0 THEN 'raised' ELSE 'reminder' END AS event,
+  CASE WHEN seen = 0 THEN (SELECT count(*) FROM w x WHERE x.tenant_id = w.tenant_id AND x.key = w.key AND x.batch < w.batch
+    AND x.batch > coalesce((SELECT max(y.batch) FROM w y WHERE y.tenant_id = w.tenant_id AND y.key = w.key AND y.batch < w.batch AND y.seen = 0), -1)) * 86400000 END AS open_for_ms
+FROM w WHERE seen = 1 OR was = 1"""
+
+
+@query("t10_alert_life", LIFE)
+def t10l(h):
+    """Errors of four spans of time, one micro-batch a day each: alerts are raised, reminded of, resolved and raised again."""
+    lo, hi = h.events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    span = F.least(F.floor((F.unix_micros("ts") - (lo or 0)) * 4 / ((hi or 0) - (lo or 0) + 1)), F.lit(3))
+    e = h.events.select("tenant_id", F.expr("concat('k', user_id % 40)").alias("key"), "ts", "event_type", "user_id", span.alias("span"))
+    rows = rt.replayed(e, "ts", "alert-batches")
+
+    def step_of(base):
+        n = {"day": 0}
+
+        def evaluate(batch):
+            at = ts("2024-02-01 00:00:00") + F.expr(f"make_dt_interval({n['day']})")
+            found = batch.where((C("event_type") == "error") & (C("user_id") % 7 == C("span"))).select("tenant_id", "key").distinct()
+            return found.select("*", *[F.lit(x).alias(x) for x in ("severity", "title", "message")]), at, True
+
+        life = so.alert_lifecycle(evaluate, f"{base}/alerts", al.AlertConfig(renotify_ms=3_600_000))
+
+        def step(batch, number):
+            n["day"] = number
+            life(batch, number)
+
+        return step
+
+    base = rt.run_each(rows, "alert-life", step_of)
+    done = h.spark.read.schema("tenant_id string, key string, event string, open_for_ms bigint, batch bigint").parquet(f"{base}/alerts")
+    return done.select("tenant_id", "key", "batch", "event", "open_for_ms")
+
+
 @query("t10_alert_lifecycle_stream", "SELECT DISTINCT tenant_id, 'k' || (user_id % 40) AS key, 'raised' AS event FROM hist_events WHERE event_type = 'error'")
 def t10s(h):
     e = stream(h).where("event_type = 'error'").select("tenant_id", F.expr("concat('k', user_id % 40)").alias("key"))
@@ -322,7 +380,7 @@ def t14(h):
 
 @query("t14_run_states_stream", RUNSTATE)
 def t14s(h):
-    out = rt.run_available(sf.on_stream(run_events(stream(h)), ["tenant_id", "run_id"], ["seq"], sf.RunState, "status string, started_ms bigint, finished_ms bigint, total double, last_code string"), "runs")
+    out = rt.run_available(sf.on_stream(run_events(rt.replayed(h.events, "ts", "run-events")), ["tenant_id", "run_id"], ["seq"], sf.RunState, "status string, started_ms bigint, finished_ms bigint, total double, last_code string"), "runs")
     last = out.groupBy("tenant_id", "run_id").agg(F.max_by(F.struct("status", "started_ms", "finished_ms", "total", "last_code"), "seq").alias("r"))
     return last.select("tenant_id", "run_id", "r.status", "r.started_ms", "r.finished_ms", st.half_up(C("r.total"), 2).alias("cost"), C("r.last_code").alias("code"))
 
@@ -359,10 +417,10 @@ def t16(h):
 
 @query("t16_canary_watch", CANARY)
 def t16w(h):
-    settings = canary_runs(h.events).select("tenant_id", C("workflow_name").alias("name")).distinct().withColumn("canary_version", F.lit("2.0.0")).withColumn("canary_percent", F.lit(10))
-    base = rt.run_each(canary_runs(stream(h)), "canary-watch", lambda at: so.canary_watch(f"{at}/history", settings, f"{at}/verdicts"))
-    told = h.spark.read.parquet(f"{base}/verdicts")
-    return told.where(C("batch") == told.agg(F.max("batch")).first()[0]).drop("batch", "canary_version")
+    runs = canary_runs(h.events)
+    settings = runs.select("tenant_id", C("workflow_name").alias("name")).distinct().withColumn("canary_version", F.lit("2.0.0")).withColumn("canary_percent", F.lit(10))
+    trials = rt.run_available(so.canary_trials(rt.replayed(runs, "created_at", "canary-runs")), "canary-watch", mode="update")
+    return so.trial_verdicts(rt.newest_per_key(trials, ["tenant_id", "workflow_name"]), settings).drop("canary_version")
 
 
 @query("s05_tail_events", "SELECT seq, type FROM hist_events WHERE tenant_id = 't2' AND seq > 300")
@@ -387,8 +445,8 @@ def u01(h):
     return h.raw("events").select("event_id", canonical_json(text).alias("js"))
 
 
-@query("u05_keyed_state")
+@query("u05_keyed_state", LEDGER_STEPS + "SELECT tenant_id, result, count(*) AS n, count(*) FILTER (reclaimed) AS reclaimed FROM walk WHERE n > 0 GROUP BY 1, 2")
 def u05(h):
-    out = sf.on_stream(attempts(stream(h)), ["tenant_id", "capability", "key"], ["ms", "seq"], lambda: sf.Ledger(7_200_000, 86_400_000), sf.Ledger.fields)
+    out = sf.on_stream(attempts(rt.replayed(h.events, "ts", "attempts")), ["tenant_id", "capability", "key"], ["ms", "seq"], lambda: sf.Ledger(7_200_000, 86_400_000), sf.Ledger.fields)
     r = rt.run_available(out, "ledger")
     return r.groupBy("tenant_id", "result").agg(F.count("*").alias("n"), F.count_if("reclaimed").alias("reclaimed"))

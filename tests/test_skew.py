@@ -115,6 +115,20 @@ def test_nearest_names_match_brute_force(spark):
         assert got.get(u) == ((known[i], d) if d <= max(2, len(u) // 3) else None), u
 
 
+def test_short_names_meet_few_others(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4))
+    known = sorted({word() for _ in range(10_000)})
+    unknown = [word() for _ in range(300)] + ["", "a", None]
+    u, k = spark.createDataFrame([(n,) for n in unknown], "name string"), spark.createDataFrame([(n, i) for i, n in enumerate(known)], "name string, position int")
+    assert jn.name_candidates(u, k).count() < 0.08 * 300 * len(known)
+    got = {r.unknown: (r.suggestion, r.distance) for r in jn.nearest_names(u, k).collect()}
+    for n in unknown[:20] + ["", "a"]:
+        d, i = min((edits(n, m), i) for i, m in enumerate(known))
+        assert got.get(n) == ((known[i], d) if d <= 2 else None), n
+    assert None not in got
+
+
 def test_semver_order(spark):
     versions = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.10", "1.2.0", "10.0.0"]
     df = spark.createDataFrame([(v,) for v in random.Random(2).sample(versions, len(versions))], "v string")

@@ -146,14 +146,42 @@ def nearest_names(unknown: DataFrame, known: DataFrame) -> DataFrame:
     """Closest known name for each unknown one, within max(2, floor(len / 3)) edits.
 
     ``unknown(name)``, ``known(name, position)``.  Ties go to the earlier known
-    name.  Instead of comparing everything with everything, a known name is cut
-    into (edits + 1) pieces: a name within reach must contain one piece unchanged
-    and near its place, which is an equality join on (edits, length, piece no, piece).
+    name.  Instead of comparing everything with everything, short names meet on
+    what is left of both after two deletions, longer ones on a piece unchanged.
+    """
+    near = name_candidates(unknown, known).withColumn("distance", F.levenshtein("ul", "kl")).where("distance <= d")
+    best = near.groupBy("unknown").agg(F.min_by(F.struct("known", "distance"), F.struct("distance", "position")).alias("b"))
+    return best.select("unknown", F.col("b.known").alias("suggestion"), F.col("b.distance").alias("distance"))
+
+
+SHORT_NAME = 8  # up to this length two edits are allowed, whatever the name
+
+
+def _after_deletions(text: str) -> str:
+    """SQL for the strings left of a text after no, one or two deletions."""
+    one = lambda t: f"transform(filter(sequence(0, length({t})), p -> p > 0), p -> concat(substr({t}, 1, p - 1), substr({t}, p + 1)))"
+    once = f"array_distinct({one(text)})"
+    return f"array_distinct(concat(array({text}), {once}, flatten(transform({once}, s -> {one('s')}))))"
+
+
+def name_candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of names that may be within reach: unknown, ul, d, known, kl, position.
+
+    Two short names two edits apart have a string in common that is left of either after at most two
+    deletions; names have at most 56 of these.  A longer known name is cut into (edits + 1) pieces: a
+    name within reach must contain one piece unchanged and near its place, which is an equality join on
+    (edits, length, piece no, piece).
     """
     u = unknown.select(F.col("name").alias("unknown")).distinct().withColumn("ul", F.lower("unknown"))
     u = u.withColumn("d", F.greatest(F.lit(2), F.floor(F.length("unknown") / 3)).cast("int"))
     k = known.groupBy(F.col("name").alias("known")).agg(F.min("position").alias("position"))
     k = k.withColumn("kl", F.lower("known")).withColumn("len", F.length(F.lower("known")))
+    brief = u.where(F.length("ul") <= SHORT_NAME).where("d = 2")
+    left = brief.withColumn("rest", F.explode(F.expr(_after_deletions("ul"))))
+    right = k.where(F.col("len") <= SHORT_NAME + 2).select("known", "kl", "position", F.explode(F.expr(_after_deletions("kl"))).alias("rest"))
+    short_pairs = left.join(right, "rest").select("unknown", "ul", "d", "known", "kl", "position")
+
+    u = u.where((F.length("ul") > SHORT_NAME) | (F.col("d") > 2))
     reach = u.select("d", F.explode(F.expr("sequence(greatest(0, length(ul) - d), length(ul) + d)")).alias("len")).distinct()
     # piece i of a name of this length covers [i*len/(d+1), (i+1)*len/(d+1))
     pieces = k.join(reach, "len").select(
@@ -173,10 +201,8 @@ def nearest_names(unknown: DataFrame, known: DataFrame) -> DataFrame:
     hi = F.expr("least(at + i, at + length(ul) - len + (d - i), length(ul) - size)")
     probes = probes.withColumn("lo", lo).withColumn("hi", hi).where("hi >= lo").withColumn("s", F.explode(F.sequence("lo", "hi")))
     probes = probes.select("unknown", "ul", "d", "len", "i", F.expr("substring(ul, s + 1, size)").alias("piece")).distinct()
-    pairs = probes.join(pieces, ["d", "len", "i", "piece"]).select("unknown", "ul", "d", "known", "kl", "position").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("ul", "kl")).where("distance <= d")
-    best = near.groupBy("unknown").agg(F.min_by(F.struct("known", "distance"), F.struct("distance", "position")).alias("b"))
-    return best.select("unknown", F.col("b.known").alias("suggestion"), F.col("b.distance").alias("distance"))
+    pairs = probes.join(pieces, ["d", "len", "i", "piece"]).select("unknown", "ul", "d", "known", "kl", "position")
+    return short_pairs.unionByName(pairs).distinct()
 
 
 def dependency_states(steps: DataFrame, edges: DataFrame) -> DataFrame:

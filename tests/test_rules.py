@@ -128,3 +128,25 @@ def test_alert_history_limit_is_per_tenant(spark):
     e = spark.createDataFrame(rows, "tenant_id string, seq bigint, type string, ts timestamp, data string")
     assert al.alert_history(e).count() == 10
     assert {(r.tenant_id, r.seq) for r in al.alert_history(e, limit=2).collect()} == {(t, i) for t in "ab" for i in (3, 4)}
+
+
+def test_explanations_come_from_the_records(spark):
+    err = "struct<code:string,message:string,class:string,retryable:boolean>"
+    runs = spark.createDataFrame([
+        ("a", "failed", None, T0, T0), ("b", "succeeded", None, T0, T0 + dt.timedelta(seconds=3)), ("c", "rolled-back", ("X", "odd {at}", "business", False), T0, T0),
+        ("d", "waiting-event", None, T0, None), ("e", "compensation-failed", None, T0, T0), ("f", "strange", None, None, None), ("g", None, None, None, None)],
+        f"id string, status string, error {err}, started_at timestamp, finished_at timestamp").withColumn("tenant_id", F.lit("t"))
+    step = lambda run, name, status, error=None, undo=None, seq=None: (run, name, status, None, error, undo, seq)
+    steps = spark.createDataFrame([
+        step("a", "pay {step}", "failed", ("HTTP_500", "no answer", "transient", True)), step("c", "s1", "succeeded", undo="done"), step("d", "hold", "waiting-event"),
+        step("e", "s1", "succeeded", undo="failed"), step("e", "s2", "failed", ("E", None, None, None), seq=2)],
+        f"run_id string, step_id string, status string, handled string, error {err}, compensation_status string, completed_seq bigint")
+    got = {r.id: r for r in ex.explain_runs(runs, steps).collect()}
+    assert got["a"].headline == "Failed at “pay {step}”." and got["a"].cause == "HTTP_500 (transient): no answer"
+    assert got["a"].suggestion == "HTTP_500 is marked retryable: run it again" and got["a"].what_happened_next == "0 steps undone, 0 not"
+    assert got["b"].headline.startswith("Succeeded in 3")
+    assert got["b"].cause is None and got["b"].suggestion is None
+    assert got["c"].headline == "Failed at “a step” and was rolled back." and got["c"].cause == "X (business): odd {at}" and got["c"].what_happened_next == "1 steps undone, 0 not"
+    assert got["d"].headline == "Paused, waiting for an event at “hold”."
+    assert got["e"].suggestion.endswith("first clear up after 1 steps") and got["e"].cause == "E (unknown)"
+    assert got["f"].headline == "Failed at “a step”." == got["g"].headline

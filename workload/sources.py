@@ -75,6 +75,16 @@ def s08(h):
     return rows
 
 
+@query("s08_query_summary", "SELECT count(*) AS row_count, count(*) > 1000 AS truncated, least(count(*), 1000) AS returned FROM orders WHERE o_totalprice > 100000")
+def s08b(h):
+    """The summary tells of all rows, those returned are the first thousand."""
+    h.raw("orders").createOrReplaceTempView("orders_source")
+    rows, summary = xt.query_source(h.spark, "SELECT o_orderkey FROM orders_source WHERE o_totalprice > :floor", {"floor": 100000}, max_rows=1000)
+    told = summary.select("row_count", "truncated", F.lit(None).cast("bigint").alias("returned"))
+    both = told.unionByName(rows.agg(F.count("*").alias("returned")), allowMissingColumns=True)
+    return both.agg(F.max("row_count").alias("row_count"), F.bool_or("truncated").alias("truncated"), F.max("returned").alias("returned"))
+
+
 @query(
     "s09_apply_once",
     """SELECT idempotency_key, seq, value FROM (SELECT user_id || '/' || json_extract_string(props, '$.k') AS idempotency_key, seq, value, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY seq) AS rn FROM hist_events WHERE event_type <> 'error') e
@@ -99,15 +109,30 @@ def s09s(h):
     return h.spark.read.schema(f"{e.schema.toDDL()}, batch bigint").parquet(f"{base}/table").drop("batch")
 
 
-@query("s10_list_files")
+FILES = "SELECT c_nationkey AS nation, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY 1"
+
+
+def name_files(h):
+    """Folder with one text file per nation that lists its customers."""
+    folder = shared_dir(h.spark, "name-files")
+    c = h.raw("customer").select("c_nationkey", "c_custkey", C("c_name").alias("value"))
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.mode("append").partitionBy("c_nationkey").text(folder)
+    return folder
+
+
+def nation_of(path):
+    return F.regexp_extract(path, r"c_nationkey=(\d+)/", 1).cast("bigint").alias("nation")
+
+
+@query("s10_list_files", f"SELECT CAST(nation AS BIGINT) AS nation, 'file' AS type, CAST(strlen(body) AS BIGINT) AS size FROM ({FILES})")
 def s10(h):
-    return xt.list_files(h.spark, h.dir, glob="*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "type", "size")
+    return xt.list_files(h.spark, name_files(h), recursive=True, glob="*.txt").select(nation_of("path"), "type", C("size").cast("bigint").alias("size"))
 
 
-@query("s11_read_files")
+@query("s11_read_files", f"SELECT CAST(nation AS BIGINT) AS nation, CAST(strlen(body) AS BIGINT) AS size, sha256(body) AS sha256, md5(body) AS text_md5 FROM ({FILES})")
 def s11(h):
-    f = xt.read_files(h.spark, h.dir, encoding="base64", glob="*.parquet")
-    return f.select(F.substring_index("path", "/", -1).alias("name"), "size", "sha256", F.length("content").alias("encoded_length"))
+    f = xt.read_files(h.spark, name_files(h), recursive=True, glob="*.txt")
+    return f.select(nation_of("path"), C("size").cast("bigint").alias("size"), "sha256", F.md5("content").alias("text_md5"))
 
 
 @query(

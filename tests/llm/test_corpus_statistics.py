@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,21 @@ def test_audit_of_nothing(spark, corpus):
     assert got.select("value").distinct().collect() == [(0,)] and got.where("part = 'term'").count() == 0
 
 
+def test_counting_needs_little_memory():
+    """A slice of texts is counted in less than 14 times its bytes."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(40_000)]
+    texts = [" ".join(rnd.choices(vocabulary, k=400)) for _ in range(3_000)]
+    batch = pa.table({"lang": ["en"] * 3_000, "source": [f"s{i % 20}" for i in range(3_000)], "text": texts}).to_batches()[0]
+    count = divergence._count(divergence.Groups([("en", f"s{i}") for i in range(20)]), 64)
+    tracemalloc.start()
+    sizes = [found.num_rows for found in count(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) > 400_000
+    assert peak < 14 * sum(map(len, texts))
+
+
 def test_rate_is_exact(spark):
     row = spark.range(1).select(divergence.rate(F.lit(10**15 + 7), F.lit(3 * 10**15), F.lit(10**9), 5, 10**9).alias("p")).first()
     assert row.p == 1 + 10**9 * (10**15 + 12) // (3 * 10**15 + 5 * 10**9)

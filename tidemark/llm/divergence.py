@@ -33,7 +33,8 @@ from tidemark.session import cut_lineage
 
 SLICE = 16 << 20  # bytes of text counted together
 KNOWN = 2_000_000  # digests that are sent to every task at most; more are joined by shuffle
-COMPARED = 1 << 18  # places compared with the first of their digest at a time
+COMPARED = 1 << 16  # places gathered, or compared with the first of their digest, at a time
+HANDED = 1 << 17  # rows handed on at a time
 TILE = 256  # sources compared with all others at a time
 CELLS = 1 << 21  # numbers in one comparison
 
@@ -65,8 +66,13 @@ class Groups:
 
 def _terms(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, digest and text of each term."""
-    starts, ends, hashes, first = words(buf, offsets)
-    return starts, ends, (hashes >> np.uint64(64 - bits)).view(np.int64), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    narrow = np.int32 if len(buf) < 1 << 31 else np.int64
+    parts = []
+    for i, j in slices(offsets):
+        starts, ends, hashes, first = words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        text = np.repeat(np.arange(i, j, dtype=narrow), np.diff(first))
+        parts.append(((starts + offsets[i]).astype(narrow), (ends + offsets[i]).astype(narrow), (hashes >> np.uint64(64 - bits)).view(np.int64), text))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -76,9 +82,43 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 def _gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the given places one after another, and where each begins."""
-    size = ends - starts
-    at = np.concatenate(([0], np.cumsum(size)))
-    return buf[np.repeat(starts - at[:-1], size) + np.arange(at[-1])], at
+    at = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
+    out = np.empty(at[-1], np.uint8)
+    for lo in range(0, len(starts), COMPARED):
+        part = at[lo : lo + COMPARED + 1]
+        out[part[0] : part[-1]] = buf[np.repeat(starts[lo : lo + COMPARED] - part[:-1], np.diff(part)) + np.arange(part[0], part[-1])]
+    return out, at
+
+
+def _numbered(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct digests in order, the first place of each, and the number among them of each place."""
+    order = np.argsort(digest, kind="stable")
+    ranked = digest[order]
+    head = _runs(ranked)
+    number = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    number[order] = np.repeat(np.arange(len(head), dtype=number.dtype), np.diff(np.append(head, len(order))))
+    return ranked[head], order[head], number
+
+
+def _sums(group: np.ndarray, text: np.ndarray, number: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group and digest number of each cell, its texts and its places."""
+    spot = text.astype(np.int64)
+    spot *= ids
+    spot += number
+    spot.sort()
+    run_at = _runs(spot)
+    n, spot = np.diff(np.append(run_at, len(spot))), spot[run_at]
+    del run_at
+    cell = group[spot // ids] * ids
+    spot %= ids
+    cell += spot
+    del spot
+    order = np.argsort(cell, kind="stable")
+    cell, n = cell[order], n[order]
+    del order
+    run_at = _runs(cell)
+    docs, n = np.diff(np.append(run_at, len(cell))), np.add.reduceat(n, run_at)
+    return *np.divmod(cell[run_at], ids), docs, n
 
 
 def _spellings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -104,31 +144,35 @@ def _spellings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     return pa.array(smallest, pa.string()), pa.array(largest, pa.string())
 
 
+def _counted(known: Groups, group: np.ndarray, buf: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts and spellings of a slice of texts; what one step needs is gone before the next."""
+    names = [f.split(" ")[0] for f in COUNTS.split(", ")]
+    starts, ends, digest, text = _terms(buf, offsets, bits)
+    if not len(starts):
+        return
+    ids, first, number = _numbered(digest)
+    del digest
+    g, at, docs, n = _sums(group, text, number, len(ids))
+    del text
+    for lo in range(0, len(g), HANDED):
+        some = slice(lo, lo + HANDED)
+        none = pa.nulls(len(g[some]), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(known.lang[g[some]]), pa.array(g[some].astype(np.int32)), pa.array(ids[at[some]]), pa.array(docs[some]), pa.array(n[some]), none, none], names)
+    del g, at, docs, n
+    none, gap = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64())
+    spelt = pa.RecordBatch.from_arrays([none, none, pa.array(ids), gap, gap, *_spellings(buf, starts, ends, first, number)], names)
+    del starts, ends, ids, first, number, buf
+    for lo in range(0, spelt.num_rows, HANDED):
+        yield spelt.slice(lo, HANDED)
+
+
 def _count(known: Groups, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split(" ")[0] for f in COUNTS.split(", ")]
         for batch in batches:
             group = known.of(batch)
             texts, offsets = text_buffer(batch.column("text"))
             for lo, hi in slices(offsets, SLICE):
-                buf = _TERM[texts[offsets[lo] : offsets[hi]]]
-                starts, ends, digest, text = _terms(buf, offsets[lo : hi + 1] - offsets[lo], bits)
-                if not len(starts):
-                    continue
-                ids, first, number = np.unique(digest, return_index=True, return_inverse=True)
-                spot = np.sort(text * len(ids) + number)
-                run_at = _runs(spot)
-                n, spot = np.diff(np.append(run_at, len(spot))), spot[run_at]
-                cell = group[lo:hi][spot // len(ids)] * len(ids) + spot % len(ids)
-                order = np.argsort(cell, kind="stable")
-                cell, n = cell[order], n[order]
-                run_at = _runs(cell)
-                g, at = cell[run_at] // len(ids), cell[run_at] % len(ids)
-                docs, n = np.diff(np.append(run_at, len(cell))), np.add.reduceat(n, run_at)
-                none = pa.nulls(len(g), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(known.lang[g]), pa.array(g.astype(np.int32)), pa.array(ids[at]), pa.array(docs), pa.array(n), none, none], names)
-                none, gap = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids), gap, gap, *_spellings(buf, starts, ends, first, number)], names)
+                yield from _counted(known, group[lo:hi], _TERM[texts[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo], bits)
 
     return run
 

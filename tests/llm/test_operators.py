@@ -461,6 +461,28 @@ def test_token_files_round_trip(spark, corpus, bits, tmp_path):
         at += len(ids)
 
 
+def test_encoder_remembers_parts_in_little_memory(monkeypatch):
+    """A worker keeps what it has learned: hash, place and ids of each part, no objects."""
+    import gc
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    enc, n = tokens.Encoder(tokenizer_path()), 60_000
+    tracemalloc.start()
+    enc.encode([" ".join(f"w{i}x" for i in range(lo, lo + 1000)) for lo in range(0, n, 1000)])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(enc.known) >= n - 1000 and held < len(enc.known) * 32 + len(enc.flat) * 4 + 1_000_000
+    # what is forgotten is learned again; long parts count by their ids
+    monkeypatch.setattr(tokens, "CACHE_IDS", 50)
+    t = Tokenizer.from_file(tokenizer_path())
+    for text in ["one two three, four", "x" * 500 + " one", "", "two three " * 40, "one two"]:
+        assert [list(x) for x in enc.encode([text, text])] == [t.encode(text, add_special_tokens=False).ids] * 2
+    assert len(enc.flat) < 500
+
+
 def test_planes():
     for ids in ([], [0], [1, 2, 70000, 2**31], list(range(1000))):
         x = np.array(ids, "<u4")

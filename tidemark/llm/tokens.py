@@ -36,7 +36,8 @@ END_ID = 2
 CHUNK = 1 << 18  # ids gathered into one chunk, unless one document has more
 BLOCK = 1 << 16  # ids shuffled together
 CACHE = 1_000_000  # parts of texts whose ids a worker remembers
-BATCH = 2 << 20  # bytes of text encoded together
+CACHE_IDS = 6 * CACHE  # ids that it remembers for them
+BATCH = 1 << 20  # bytes of text encoded together
 
 OPENS = ("\u0120", "\u010a")  # how byte-level vocabularies write a space and a line end
 
@@ -57,7 +58,8 @@ class Encoder:
     In this kind of tokenizer a space or line end that follows something else always begins a new
     piece, and pieces are encoded apart.  So texts are cut there; the distinct parts of a batch are
     found by 64-bit hashes, the ids of each are looked up or learned once, and the ids of all parts
-    are gathered.  Texts for which that does not hold go through the library whole.
+    are gathered.  What is known lies in plain arrays, sorted by hash, because a worker keeps it
+    as long as it lives.  Texts for which that does not hold go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -75,7 +77,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a part: its place in the arrays below
+        self.known = np.zeros(0, np.uint64)  # hashes of parts, ascending; where the ids of each lie:
         self.flat, self.start, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -112,23 +114,23 @@ class Encoder:
         h = np.add.reduceat(_BYTE[buf] * cached_powers(int((ends - starts).max()))[place], starts, dtype=np.uint64)
         h = mix(h + (ends - starts).astype(np.uint64) * BASE)
         distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or len(self.flat) > CACHE_IDS:
             self._forget()
-        at = np.array([self.known.get(x, -1) for x in distinct.tolist()], np.int64)
-        missing = np.flatnonzero(at < 0)
+        have = np.zeros(len(distinct), bool)
+        if len(self.known):
+            have = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] == distinct
+        missing = np.flatnonzero(~have)
         if len(missing):
-            self._learn([raw[a:b].decode() for a, b in zip(starts[one[missing]].tolist(), ends[one[missing]].tolist())])
-            at[missing] = len(self.count) - len(missing) + np.arange(len(missing))
-            self.known.update(zip(distinct[missing].tolist(), at[missing].tolist()))
-        part = at[which]
+            self._learn(distinct[missing], [raw[a:b].decode() for a, b in zip(starts[one[missing]].tolist(), ends[one[missing]].tolist())])
+        part = np.searchsorted(self.known, distinct)[which]
         counts = self.count[part]
         upto = np.cumsum(counts)
         out = self.flat[np.arange(upto[-1]) + np.repeat(self.start[part] - (upto - counts), counts)]
         edges = np.concatenate([[0], upto])[np.searchsorted(starts, bounds)]
         return [out[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Append the ids of parts.  Many that begin with a space or line end are encoded as one text, which is cut where one begins a token."""
+    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        """Add the ids of parts, whose hashes ascend.  Many that begin with a space or line end are encoded as one text, which is cut where one begins a token."""
         start, count = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         plain = [i for i, x in enumerate(parts) if x[0] in " \n" and not x[-1].isspace()]
         rest = sorted(set(range(len(parts))).difference(plain))
@@ -147,7 +149,9 @@ class Encoder:
             start[i], count[i] = size, len(ids)
             flats.append(ids)
             size += len(ids)
-        self.flat, self.start, self.count = np.concatenate(flats), np.concatenate([self.start, start]), np.concatenate([self.count, count])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.count = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.count, at, count)
+        self.flat = np.concatenate(flats)
 
 
 _ENCODERS: dict[str, Encoder] = {}

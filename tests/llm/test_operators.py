@@ -101,6 +101,17 @@ def test_suffixes_match_brute_force(spark, corpus, most):
     assert [got[i] for i in range(len(corpus))] == brute_bytes(corpus, 400)
 
 
+def test_crowded_buckets_go_through_the_texts_once(spark, monkeypatch):
+    """Buckets of few and of many contents are settled from the same contents."""
+    rng, passes = random.Random(5), []
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = ["".join(rng.choice("ijklmnop ") for _ in range(300)) + passage[k * 20 : 450 + k * 30] for k in range(12)]
+    texts += [t[:650] for t in texts[:3]]
+    monkeypatch.setattr(suffixes, "with_speakers", lambda *a, f=suffixes.with_speakers: passes.append(1) or f(*a))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal_digest(docs_of(spark, texts), most=4).collect()}
+    assert len(passes) == 1 and [got[i] for i in range(len(texts))] == brute_bytes(texts, 400)
+
+
 def test_difference_cover():
     for v in (8, 32, 64):
         d = suffixes.difference_cover(v)

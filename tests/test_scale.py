@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins as jn
 from tidemark.streaming import operators as so
+from tidemark.streaming import stateful as sf
+from tests.test_streaming import files
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -48,3 +50,62 @@ def test_finished_runs_meet_triggers_in_lists(spark, monkeypatch):
     fits = {"any": ("succeeded", "failed", "rolled-back"), "failed": ("failed", "rolled-back"), "succeeded": ("succeeded",)}
     want = [("t", "w", s, i, c) for i, _, _, s in runs for c, _, _, w, _, on in triggers if on and s in fits[w]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def _state_of(spark, path, make, stream, variable):
+    """Runs a stream of the files in ``path`` and returns its rows and how many cells of state it holds."""
+    from tidemark.session import ROCKSDB
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        q = make(stream).writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start()
+        q.awaitTermination()
+        held = spark.read.format("statestore").option("stateVarName", variable).load(f"{path}/state").count()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.schema(make(stream).schema).parquet(f"{path}/out").collect(), held
+
+
+def test_keys_share_a_place_of_state(spark, tmp_path, monkeypatch):
+    """Deliveries over several micro-batches, also out of order and repeated: the rule per key, in a cell of state per place."""
+    monkeypatch.setattr(sf, "PLACES", 4)
+    rnd = random.Random(2)
+    ddl = "tenant_id string, trigger_id string, nonce string, received_at timestamp, sent_at timestamp, seq bigint"
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    batches, seq = [], 0
+    for n in range(3):
+        rows = []
+        for _ in range(300):
+            seq, s = seq + 1, n * 500 + rnd.randrange(600)
+            rows.append((rnd.choice(["t", "u", None]), rnd.choice(["a", '"a"', None]), rnd.choice([None, *map(str, range(40))]), at(s), at(s - rnd.choice([0, 299, 301])), seq))
+        batches.append(rows)
+    got, held = _state_of(spark, str(tmp_path), so.fresh_deliveries, files(spark, str(tmp_path / "in"), *batches, ddl=ddl), "last")
+    last, want = {}, []
+    for rows in batches:
+        for r in sorted(rows, key=lambda r: (r[3], r[5])):
+            if abs(r[3] - r[4]) <= dt.timedelta(minutes=5) and (r[:3] not in last or r[3] - last[r[:3]] > dt.timedelta(minutes=10)):
+                last[r[:3]] = r[3]
+                want.append(r[5])
+    assert sorted(r.seq for r in got) == sorted(want)
+    assert 0 < held <= 4
+
+
+def test_approvals_share_a_place_of_state(spark, tmp_path, monkeypatch):
+    """Deadlines of a place go by one timer each; each approval still follows its own rule."""
+    monkeypatch.setattr(sf, "PLACES", 4)
+    ddl = "id string, tenant_id string, ts timestamp, seq bigint, status string, on_timeout string, escalated boolean, requested_ms bigint, expires_ms bigint"
+    ms = lambda m: int((T0 + dt.timedelta(minutes=m)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    row = lambda i, at, seq, due, rule="deny", status="pending", up=False: (i, "t", T0 + dt.timedelta(minutes=at), seq, status, rule, up, ms(0), ms(due))
+    rules = ["deny", "approve", "escalate"]
+    first = [row(f"a{i}", 0, 1, 60 + i, rules[i % 3], up=i % 6 == 2) for i in range(60)] + [row("late", 0, 1, 5000)]
+    second = [row(f"a{i}", 30, 2, 60, status="approved") for i in range(0, 60, 7)]
+    ticks = [[row(f"tick{t}", t, 3, 0, status="done")] for t in (90, 300, 600, 900)]
+    got, held = _state_of(spark, str(tmp_path), sf.approval_timers, files(spark, str(tmp_path / "in"), first, second, *ticks, ddl=ddl), "approvals")
+    want = []
+    for i in range(60):
+        if i % 7:
+            up = i % 3 == 2 and i % 6 != 2
+            want.append((f"a{i}", "escalate" if up else "approve" if i % 3 == 1 else "time-out", ms(60 + i)))
+            want += [(f"a{i}", "time-out", ms(2 * (60 + i)))] if up else []
+    assert sorted((r.id, r.action, r.at_ms) for r in got) == sorted(want)
+    assert held == 1  # the one that is not due yet

@@ -382,47 +382,80 @@ def expire_approvals(approvals: DataFrame, as_of) -> DataFrame:
     )
 
 
+PLACES = 2048  # state is kept by place, not by key: a call into Python costs as much as a thousand keys in it
+
+
+def _placed(df: DataFrame, key: str) -> DataFrame:
+    """Adds the place that a key shares with others."""
+    return df.withColumn("place", F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int"))
+
+
 class _ApprovalTimer(StatefulProcessor):
-    """Keeps a pending approval and wakes up at its deadline."""
+    """Keeps the pending approvals of a place and wakes up at their deadlines."""
 
     FIELDS = "tenant_id string, id string, action string, at_ms bigint"
-    STATE = (
-        T.StructType().add("tenant_id", T.StringType()).add("on_timeout", T.StringType()).add("span", T.LongType()).add("escalated", T.BooleanType())
+    OPEN = (
+        T.StructType().add("id", T.StringType()).add("tenant_id", T.StringType()).add("on_timeout", T.StringType()).add("span", T.LongType())
+        .add("escalated", T.BooleanType()).add("due", T.ArrayType(T.LongType()))
     )
+    STATE = T.StructType().add("open", T.ArrayType(OPEN)).add("woken", T.LongType())
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.cell = handle.getValueState("approval", self.STATE)
+        self.cell = handle.getValueState("approvals", self.STATE)
 
-    def _forget(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.cell.clear()
+    def _held(self) -> tuple[dict, int | None]:
+        open_, woken = self.cell.get() if self.cell.exists() else ([], None)
+        return {r[0]: tuple(r[1:5]) + (list(r[5]),) for r in open_}, woken
+
+    def _hold(self, held: dict, woken: int | None) -> None:
+        """Writes what is open, and asks to be woken at the next deadline."""
+        if not held:
+            self.cell.clear()
+            return
+        due = min(min(a[4]) for a in held.values())
+        if due != woken:
+            self.handle.registerTimer(due)
+        self.cell.update(([(i, *a) for i, a in held.items()], due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        row = pdf.iloc[-1]
-        if row.status == "pending":
-            span = int(row.expires_ms) - int(row.requested_ms)
-            self.cell.update((row.tenant_id, row.on_timeout, span, bool(row.escalated)))
-            self.handle.registerTimer(int(row.expires_ms))
-        elif self.cell.exists():
-            self._forget()
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable").drop_duplicates("id", keep="last")
+        held, woken = self._held()
+        for row in pdf.itertuples(index=False):
+            if row.status == "pending":
+                due = held[row.id][4] if row.id in held else []
+                expires = int(row.expires_ms)
+                held[row.id] = (row.tenant_id, row.on_timeout, expires - int(row.requested_ms), bool(row.escalated), due if expires in due else [*due, expires])
+            else:
+                held.pop(row.id, None)
+        if held or woken is not None:
+            self._hold(held, woken)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.cell.exists():
+        held, woken = self._held()
+        if woken is None:
             return
-        tenant, rule, span, escalated = self.cell.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if rule == "escalate" and not escalated:
-            action = "escalate"
-            self.cell.update((tenant, rule, span, True))
-            self.handle.registerTimer(at + span)
-        else:
-            action = "approve" if rule == "approve" else "time-out"
-            self.cell.clear()
-        yield pd.DataFrame({"tenant_id": [tenant], "id": [key[0]], "action": [action], "at_ms": [at]})
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        out = []
+        for i, (tenant, rule, span, escalated, due) in list(held.items()):
+            later = [at for at in due if at > limit]
+            for at in sorted(at for at in due if at <= limit):
+                if rule == "escalate" and not escalated:
+                    out.append((tenant, i, "escalate", at))
+                    escalated = True
+                    later.append(at + span)
+                else:
+                    out.append((tenant, i, "approve" if rule == "approve" else "time-out", at))
+                    later = []
+                    break
+            if later:
+                held[i] = (tenant, rule, span, escalated, later)
+            else:
+                del held[i]
+        self._hold(held, woken)
+        if out:
+            yield pd.DataFrame(out, columns=["tenant_id", "id", "action", "at_ms"])
 
     def close(self) -> None:
         pass
@@ -430,7 +463,7 @@ class _ApprovalTimer(StatefulProcessor):
 
 def approval_timers(stream: DataFrame, late: str = "1 minute") -> DataFrame:
     """Approval expiry on a stream of approval rows (id, tenant_id, ts, seq, status, on_timeout, escalated, requested_ms, expires_ms)."""
-    return stream.withWatermark("ts", late).groupBy("id").transformWithStateInPandas(
+    return _placed(stream.withWatermark("ts", late), "id").groupBy("place").transformWithStateInPandas(
         statefulProcessor=_ApprovalTimer(), outputStructType=T.StructType.fromDDL(_ApprovalTimer.FIELDS), outputMode="append", timeMode="eventTime")
 
 
@@ -498,9 +531,12 @@ def settle_waits(offered: DataFrame, processor: WaitsProcessor) -> DataFrame:
 
 
 class OnceProcessor(StatefulProcessor):
-    """Lets a row of a key through unless another was within the span before; forgets the key when the watermark has passed its span."""
+    """Lets a row of a key through unless another was within the span before; forgets a key when the watermark has passed its span.
+
+    All keys of a place are looked at together; its state is their texts and the moments of the rows that were let through last.
+    """
 
-    STATE = T.StructType().add("us", T.LongType())
+    STATE = T.StructType().add("keys", T.ArrayType(T.StringType())).add("us", T.ArrayType(T.LongType())).add("woken", T.LongType())
 
     def __init__(self, span_us: int, order: Sequence[str]):
         self.span_us, self.order = span_us, list(order)
@@ -509,21 +545,38 @@ class OnceProcessor(StatefulProcessor):
         self.handle = handle
         self.cell = handle.getValueState("last", self.STATE)
 
+    def _held(self) -> tuple[dict, int | None]:
+        keys, us, woken = self.cell.get() if self.cell.exists() else ([], [], None)
+        return dict(zip(keys, us)), woken
+
+    def _hold(self, held: dict, woken: int | None, watermark_us: int) -> None:
+        """Writes what is not forgotten, and asks to be woken when the next key is to be."""
+        held = {k: us for k, us in held.items() if us + self.span_us >= watermark_us}
+        if not held:
+            self.cell.clear()
+            return
+        due = (min(held.values()) + self.span_us) // 1000 + 1
+        if due != woken:
+            self.handle.registerTimer(due)
+        self.cell.update((list(held), list(held.values()), due))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, ignore_index=True)
-        last = self.cell.get()[0] if self.cell.exists() else None
+        held, woken = self._held()
         through = []
-        for us in pdf["once_us"]:
+        for k, us in zip(pdf["once_key"].tolist(), pdf["once_us"].tolist()):
+            last = held.get(k)
             through.append(last is None or us - last > self.span_us)
-            last = int(us) if through[-1] else last
+            if through[-1]:
+                held[k] = int(us)
         if any(through):
-            self.cell.update((last,))
-            self.handle.registerTimer((last + self.span_us) // 1000 + 1)
+            self._hold(held, woken, timerValues.getCurrentWatermarkInMs() * 1000)
         yield pdf[pd.Series(through, index=pdf.index)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.cell.exists() and self.cell.get()[0] + self.span_us < timerValues.getCurrentWatermarkInMs() * 1000:
-            self.cell.clear()
+        held, woken = self._held()
+        if woken is not None:
+            self._hold(held, woken, timerValues.getCurrentWatermarkInMs() * 1000)
         return iter([])
 
     def close(self) -> None:
@@ -532,8 +585,10 @@ class OnceProcessor(StatefulProcessor):
 
 def let_through(timed: DataFrame, keys: Sequence[str], order: Sequence[str], span_us: int) -> DataFrame:
     """Rows of a stream with a watermark and ``once_us``, once per key and span."""
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=OnceProcessor(span_us, order), outputStructType=timed.schema, outputMode="append", timeMode="eventTime")
+    text = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    keyed = _placed(timed.withColumn("once_key", text), "once_key")
+    return keyed.groupBy("place").transformWithStateInPandas(
+        statefulProcessor=OnceProcessor(span_us, order), outputStructType=keyed.schema, outputMode="append", timeMode="eventTime").drop("once_key", "place")
 
 
 class NewestProcessor(StatefulProcessor):
